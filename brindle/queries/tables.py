@@ -222,8 +222,8 @@ def _(t):
 
 
 @query("index_create", f"""
-WITH d AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
-n AS (SELECT *, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM d)
+WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM d)
 SELECT vec_id, label, {rd('norm', 5)} AS norm, len(v) AS dimensions, {rd('v[1] / norm', 5)} AS first_unit, {rd('v[64] / norm', 5)} AS last_unit FROM n""")
 def _(t):
     index = tables.index_create(t.embeddings, fresh_path(t.spark, "index"), "vec_id", "embedding", ["label"])
