@@ -45,33 +45,30 @@ def parse_vector(text: Column) -> Column:
     return F.when(F.exists(parsed, lambda x: x.isNull()), F.lit(None)).otherwise(parsed)
 
 
-HASH_BITS = 128
+HASH_BITS, LIMB_BITS = 128, 32
 
 
 def hash_embedding(text: Column, size: int = 384) -> Column:
-    """Stand-in embedding: ``(md5(text) >> i) % 1000 / 1000`` for each position i.
+    """Stand-in embedding: ``(md5(text) >> i) % 1000 / 1000`` for each position i, 0 beyond the digest.
 
-    The digest is read as four 32-bit limbs; bit offset ``i`` is a whole-limb skip plus a shift
-    below 32, so every intermediate value stays inside a long.
+    The digest is read once as four 32-bit limbs. Position ``i`` needs the limb it falls into, shifted,
+    plus the higher limbs weighted by powers of two modulo 1000, so every value fits a long.
     """
     digest = F.md5(text)
-    limb = [
-        F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("bigint") for k in range(4)
-    ]  # limb[3] is the lowest
-    step = pow(2, 32, 1000)
-
-    def at(i: int) -> Column:
-        if i >= HASH_BITS:
-            return F.lit(0.0)
-        skip, shift = divmod(i, 32)
-        # limbs above the skipped ones, lowest first; each is split at the shift
-        kept = limb[: 4 - skip][::-1]
-        low = F.shiftright(kept[0], shift)
-        total = low % 1000
-        weight = pow(2, 32 - shift, 1000)
-        for value in kept[1:]:
-            total = total + (value % 1000) * weight
-            weight = weight * step % 1000
-        return (total % 1000) / F.lit(1000.0)
-
-    return F.array(*[at(i) for i in range(size)])
+    limbs = F.array(*[
+        F.conv(F.substring(digest, HASH_BITS // 4 - 8 * k - 7, 8), 16, 10).cast("bigint") for k in range(4)
+    ])  # lowest first
+    powers = F.array(*[F.lit(pow(2, e, 1000)) for e in range(HASH_BITS)])
+    positions = F.array(*[F.lit(i) for i in range(min(size, HASH_BITS))])
+
+    def at(limb: Column, i: Column) -> Column:
+        skip = F.floor(i / LIMB_BITS).cast("int")
+        own = F.call_function("shiftright", F.get(limb, skip), i % LIMB_BITS) % 1000
+        for k in range(1, 4):
+            higher = F.get(limb, F.lit(k)) % 1000 * F.get(powers, LIMB_BITS * k - i)
+            own = own + F.when(skip < k, higher).otherwise(0)
+        return own % 1000 / F.lit(1000.0)
+
+    # the outer transform binds the limbs, so the digest is taken once per row
+    hashed = F.get(F.transform(F.array(limbs), lambda limb: F.transform(positions, lambda i: at(limb, i))), F.lit(0))
+    return F.concat(hashed, F.array_repeat(F.lit(0.0), max(size - HASH_BITS, 0)))

@@ -96,8 +96,7 @@ def _scorer(queries: np.ndarray, metric: str) -> Callable[[pd.Series], np.ndarra
             lengths = np.outer(norms, np.linalg.norm(rows, axis=1))
             out = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
         elif metric == "euclidean":
-            square = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * products
-            out = -np.sqrt(np.maximum(square, 0.0))
+            out = np.stack([-np.linalg.norm(rows - q, axis=1) for q in queries])
             out[:, ~fits] = -np.inf
         else:
             out = products

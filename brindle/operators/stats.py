@@ -244,3 +244,11 @@ def chart_risk(scored: DataFrame, probability: str, bins: int = 20) -> DataFrame
     )
 
 
+
+
+def data_fingerprint(df: DataFrame, columns: list[str], size: int = 8) -> DataFrame:
+    """Order-free hash of the rows: one pass, partial sums per partition."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    part = F.conv(F.left(F.md5(row), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    mixed = F.concat_ws(":", F.coalesce(F.sum(part), F.lit(0)).cast("string"), F.count("*").cast("string"))
+    return df.agg(F.left(F.md5(mixed), F.lit(size)).alias("fingerprint"))
