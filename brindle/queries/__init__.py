@@ -19,8 +19,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}.parquet"
+    def stream_path(self, name: str) -> str:
+        """A pattern, as a stream does not start from the path of a single file."""
+        return f"{self.folder}/{name}.parquet*"
 
 
 def query(name: str, sql: str | None = None):
