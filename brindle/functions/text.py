@@ -10,6 +10,11 @@ WHITESPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same characters one by one.
+WHITESPACE_CHARS = "".join(
+    map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+
 # Name parts of a money column and of a duration column.
 MONEY_TERMS = ("charge", "cost", "revenue", "price")
 ANSWER_MONEY_TERMS = ("charge", "revenue", "cost")
@@ -17,7 +22,7 @@ DURATION_TERMS = ("tenure", "month")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARS))
 
 
 def clean_whitespace(text: Column) -> Column:

@@ -51,24 +51,27 @@ HASH_BITS, LIMB_BITS = 128, 32
 def hash_embedding(text: Column, size: int = 384) -> Column:
     """Stand-in embedding: ``(md5(text) >> i) % 1000 / 1000`` for each position i, 0 beyond the digest.
 
-    The digest is read once as four 32-bit limbs. Position ``i`` needs the limb it falls into, shifted,
-    plus the higher limbs weighted by powers of two modulo 1000, so every value fits a long.
+    The digest is read as four 32-bit limbs. A position inside a limb needs the limb, shifted, plus
+    everything above it modulo 1000 times a power of two, so every value fits a long.
     """
     digest = F.md5(text)
-    limbs = F.array(*[
+    limbs = [
         F.conv(F.substring(digest, HASH_BITS // 4 - 8 * k - 7, 8), 16, 10).cast("bigint") for k in range(4)
-    ])  # lowest first
-    powers = F.array(*[F.lit(pow(2, e, 1000)) for e in range(HASH_BITS)])
-    positions = F.array(*[F.lit(i) for i in range(min(size, HASH_BITS))])
-
-    def at(limb: Column, i: Column) -> Column:
-        skip = F.floor(i / LIMB_BITS).cast("int")
-        own = F.call_function("shiftright", F.get(limb, skip), i % LIMB_BITS) % 1000
-        for k in range(1, 4):
-            higher = F.get(limb, F.lit(k)) % 1000 * F.get(powers, LIMB_BITS * k - i)
-            own = own + F.when(skip < k, higher).otherwise(0)
-        return own % 1000 / F.lit(1000.0)
-
-    # the outer transform binds the limbs, so the digest is taken once per row
-    hashed = F.get(F.transform(F.array(limbs), lambda limb: F.transform(positions, lambda i: at(limb, i))), F.lit(0))
-    return F.concat(hashed, F.array_repeat(F.lit(0.0), max(size - HASH_BITS, 0)))
+    ]  # lowest first
+    step = pow(2, LIMB_BITS, 1000)
+    uppers = [F.lit(0).cast("bigint")]
+    for limb in reversed(limbs[1:]):
+        uppers.insert(0, (limb % 1000 + uppers[0] * step) % 1000)
+    parts = F.array(*[F.struct(a.alias("limb"), b.alias("upper")) for a, b in zip(limbs, uppers)])
+    shifts = F.array(*[
+        F.struct(F.lit(j).alias("by"), F.lit(pow(2, LIMB_BITS - j, 1000)).alias("weight")) for j in range(LIMB_BITS)
+    ])
+
+    def at(part: Column, shift: Column) -> Column:
+        own = F.call_function("shiftright", part["limb"], shift["by"])
+        return (own + part["upper"] * shift["weight"]) % 1000 / F.lit(1000.0)
+
+    hashed = F.flatten(F.transform(parts, lambda part: F.transform(shifts, lambda shift: at(part, shift))))
+    if size <= HASH_BITS:
+        return F.slice(hashed, 1, size)
+    return F.concat(hashed, F.array_repeat(F.lit(0.0), size - HASH_BITS))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.numbers import round_to, severity_forest, severity_z
 from brindle.operators.quantiles import exact_quantiles
+from brindle.session import written
 
 Z_LIMIT, FENCE = 3.0, 1.5
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.1, 42
@@ -133,11 +134,18 @@ def fit_forest(df: DataFrame, ids: list[str], columns: list[str], trees: int = T
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
     pool = df.select(key.alias("_k"), *[F.col(c).cast("double").alias(c) for c in columns])
     pool = pool.orderBy(F.xxhash64(F.lit(seed), "_k"), "_k").limit(trees * sample)
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    turn = Window.partitionBy("tree").orderBy(F.xxhash64("tree", F.lit(seed), "_k"), "_k")
-    drawn = dealt.withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= sample)
+    # positions in the pool, dealt in runs of one sample per tree and from the start again when used up
+    everything = Window.partitionBy(F.lit(0))
+    placed = pool.withColumns({
+        "_p": F.row_number().over(everything.orderBy(F.xxhash64(F.lit(seed), "_k"), "_k")) - 1, "_m": F.count("*").over(everything),
+    })
+    each = F.least(F.lit(sample), F.col("_m"))
+    turns = F.sequence(F.col("_p"), trees * each - 1, F.col("_m"))
+    drawn = placed.filter(F.col("_p") < trees * each).withColumn("_turn", F.explode(turns)).withColumn(
+        "tree", F.floor(F.col("_turn") / each).cast("int")
+    )
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("_k")[columns].to_numpy()
         return pd.DataFrame({"tree": [key[0]], **{k: [v] for k, v in _grow(ordered, seed + key[0]).items()}})
 
@@ -180,7 +188,8 @@ def forest_scores(df: DataFrame, ids: list[str], columns: list[str], share: floa
     ])
     size = min(SAMPLE, filled.limit(SAMPLE).count())
     trees = fit_forest(filled, ids, columns, seed=seed)
-    raw = filled.withColumn("_raw", forest_score(trees, columns, size))
+    # scored once: the cut and the result both read the written scores
+    raw = written(filled.select(*ids, forest_score(trees, columns, size).alias("_raw")), "scores")
     offset = raw.agg(F.percentile_approx("_raw", share, QUANTILE_ACCURACY)).scalar()
     shifted = raw.withColumn("score", F.col("_raw") - offset)
     return shifted.select(*ids, "score", (F.col("score") < 0).alias("anomaly"))

@@ -4,12 +4,15 @@ the work is spread over documents in Arrow batches."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.vectors import hash_embedding
+
 # Characters per chunk and words shared by neighbours.
 CHUNK_CHARS, OVERLAP_WORDS = 512, 50
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -67,21 +70,25 @@ def sentence_pieces(text: str, size: int) -> list[str]:
     return done
 
 
-def word_chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_WORDS) -> Column:
+def _cutter(cut: Callable[[str], list[str]]):
+    """Arrow-batched function from text to its pieces."""
     @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        split = (t.split() if t else [] for t in texts)
-        return pd.Series([[" ".join(w[a:b]) for a, b in word_spans(w, size, overlap)] for w in split])
+    def pieces(texts: pd.Series) -> pd.Series:
+        return pd.Series([cut(t) if t else [] for t in texts])
 
-    return cut(text)
+    return pieces
 
 
-def sentence_chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([sentence_pieces(t, size) if t else [] for t in texts])
+def word_cutter(size: int = CHUNK_CHARS, overlap: int = OVERLAP_WORDS):
+    def cut(text: str) -> list[str]:
+        words = text.split()
+        return [" ".join(words[a:b]) for a, b in word_spans(words, size, overlap)]
+
+    return _cutter(cut)
+
 
-    return cut(text)
+def sentence_cutter(size: int = CHUNK_CHARS):
+    return _cutter(lambda text: sentence_pieces(text, size))
 
 
 def _explode(df: DataFrame, keep: list[str], pieces: Column) -> DataFrame:
@@ -89,11 +96,11 @@ def _explode(df: DataFrame, keep: list[str], pieces: Column) -> DataFrame:
 
 
 def chunk_words(df: DataFrame, keep: list[str], text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    return _explode(df, keep, word_chunks(F.col(text), size, overlap))
+    return _explode(df, keep, word_cutter(size, overlap)(F.col(text)))
 
 
 def chunk_sentences(df: DataFrame, keep: list[str], text: str, size: int = CHUNK_CHARS) -> DataFrame:
-    return _explode(df, keep, sentence_chunks(F.col(text), size))
+    return _explode(df, keep, sentence_cutter(size)(F.col(text)))
 
 
 def chunk_corpus(df: DataFrame, doc_id: str, filename: str, text: str) -> DataFrame:
@@ -104,3 +111,32 @@ def chunk_corpus(df: DataFrame, doc_id: str, filename: str, text: str) -> DataFr
         F.col("chunk").alias("text"),
         F.create_map(F.lit("source"), F.lit("upload"), F.lit("doc_id"), F.col(doc_id).cast("string")).alias("metadata"),
     )
+
+
+def embed(df: DataFrame, text: str, model=None, out: str = "embedding") -> DataFrame:
+    """Adds a vector per row: the hash stand-in, or ``model(texts: pd.Series) -> list of vectors`` in Arrow batches."""
+    if model is None:
+        return df.withColumn(out, hash_embedding(F.col(text)))
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, v)) for v in model(texts)])
+
+    return df.withColumn(out, vectors(F.col(text)))
+
+
+@F.udtf(returnType="chunk_index int, chunk string")
+class ChunkTable:
+    """Table function: ``SELECT * FROM docs, LATERAL chunk_table(text)``."""
+
+    def eval(self, text: str):
+        words = (text or "").split()
+        for i, (a, b) in enumerate(word_spans(words, CHUNK_CHARS, OVERLAP_WORDS)):
+            yield i, " ".join(words[a:b])
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``chunk_words(text)`` and ``chunk_sentences(text)`` as SQL functions, ``chunk_table`` as a table function."""
+    spark.udf.register("chunk_words", word_cutter())
+    spark.udf.register("chunk_sentences", sentence_cutter())
+    spark.udtf.register("chunk_table", ChunkTable)

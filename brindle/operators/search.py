@@ -131,6 +131,33 @@ def vector_search(
     return _merge(parts, k)
 
 
+def _term_scorer(place: dict[str, int], weights: np.ndarray) -> Callable[[pd.Series], np.ndarray]:
+    """Scores by contained terms. A term holds no space, so a text contains it when one of its words does;
+    the terms inside a word are found once per distinct word."""
+    sizes = sorted({len(term) for term in place})
+
+    def terms_in(word: str) -> list[int]:
+        inside = set()
+        for size in sizes:
+            if size > len(word):
+                break
+            inside.update(place[piece] for i in range(len(word) - size + 1) if (piece := word[i : i + size]) in place)
+        return list(inside)
+
+    def score(texts: pd.Series) -> np.ndarray:
+        known: dict[str, list[int]] = {}
+        present = np.zeros((len(texts), len(place)))
+        for row, text in zip(present, texts):
+            for word in set(text.split()):
+                hits = known.get(word)
+                if hits is None:
+                    hits = known[word] = terms_in(word)
+                row[hits] = 1.0
+        return weights @ present.T
+
+    return score
+
+
 def keyword_search(
     queries: DataFrame, chunks: DataFrame, query_key: str, question: str, chunk_key: str, text: str,
     newest: str, k: int = 5, block: int = QUERY_BLOCK,
@@ -148,10 +175,7 @@ def keyword_search(
             for term in terms:
                 weights[row, place[term]] += 1
 
-        def score(texts: pd.Series, vocabulary=vocabulary, weights=weights) -> np.ndarray:
-            present = np.array([[term in t for term in vocabulary] for t in texts], dtype=float)
-            return weights @ present.reshape(len(texts), -1).T
-
+        score = _term_scorer(place, weights)
         parts.append(_scan(lowered, chunk_key, "_low", found["q"].to_numpy(dtype=object), k, score, types + ", score double", 0.0))
     silent = asked.filter(F.size("terms") == 0).select(F.col("q").alias("query_id"))
     latest = chunks.orderBy(F.desc(newest), chunk_key).limit(k).select(F.col(chunk_key).alias("chunk_id"), F.lit(0.0).alias("score"))

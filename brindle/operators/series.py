@@ -145,15 +145,13 @@ def trend_fit(
     df: DataFrame, entity: Sequence[str], ts: str, value: str, ties: Sequence[str] = (), slot: str = "month"
 ) -> DataFrame:
     """Per entity: line through (0..n-1, value), its R2, variation, direction and strength."""
-    rows = df.filter(F.col(value).isNotNull())
-    placed = by_time(rows, entity, ts, ties, slot)
+    known, missing = df.filter(F.col(value).isNotNull()), df.filter(F.col(value).isNull())
+    placed = by_time(known, entity, ts, ties, slot).unionByName(missing.withColumn("pos", F.lit(None).cast("bigint")))
     y, x = F.col(value).cast("double"), F.col("pos").cast("double")
     fitted = placed.groupBy(*entity).agg(
-        F.count("*").alias("n"), F.regr_slope(y, x).alias("_slope"), F.regr_r2(y, x).alias("_r2"),
-        F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_sd"),
+        F.count("*").alias("_all"), F.count(value).alias("n"), F.regr_slope(y, x).alias("_slope"),
+        F.regr_r2(y, x).alias("_r2"), F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_sd"),
     )
-    sizes = df.groupBy(*entity).agg(F.count("*").alias("_all"))
-    known = join_null_safe(sizes, fitted, list(entity)) if entity else sizes.join(fitted)
     short = F.col("_all") < MIN_TREND_ROWS
     relative = F.coalesce(F.try_divide(F.col("_slope"), F.col("_mean")), F.lit(0.0))
     cv = F.coalesce(F.try_divide(F.col("_sd"), F.col("_mean")), F.lit(0.0))
@@ -166,8 +164,8 @@ def trend_fit(
         .when(F.abs(relative) < STABLE_SLOPE, 1 - F.abs(relative) * 10)
         .otherwise(F.least(F.abs(relative) * 10, F.lit(1.0)))
     )
-    return known.select(
-        *entity, F.coalesce("n", F.lit(0)).alias("n"),
+    return fitted.select(
+        *entity, "n",
         F.when(short, 0.0).otherwise(F.coalesce("_slope", F.lit(0.0))).alias("slope"),
         F.when(short, 0.0).otherwise(F.coalesce("_r2", F.lit(0.0))).alias("r2"),
         F.when(short, 0.0).otherwise(cv).alias("cv"), direction.alias("direction"), strength.alias("strength"),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str, key: str) -> DataFrame:
+        """The table for work that is heavy per row."""
+        return spread(getattr(self, name), key)
+
     def stream_path(self, name: str) -> str:
         """A pattern, as a stream does not start from the path of a single file."""
         return f"{self.folder}/{name}.parquet*"
@@ -49,7 +55,4 @@ def load_all() -> None:
         "tables", "cleaning", "predicates", "statistics", "shapes", "series", "scalars",
         "retrieval", "questions", "models", "streams", "charts",
     ):
-        try:
-            import_module(f"brindle.queries.{part}")
-        except ModuleNotFoundError:
-            pass
+        import_module(f"brindle.queries.{part}")

@@ -183,7 +183,7 @@ COLS = ("o_totalprice", "spread")
 
 
 def _priced(t):
-    return t.orders.select("o_orderkey", "o_totalprice", (F.pow(F.col("o_totalprice") / 100000, F.lit(4.0))).alias("spread"))
+    return t.wide("orders", "o_orderkey").select("o_orderkey", "o_totalprice", (F.pow(F.col("o_totalprice") / 100000, F.lit(4.0))).alias("spread"))
 
 
 PRICED = "(SELECT o_orderkey, o_totalprice, pow(o_totalprice / 100000, 4.0) AS spread FROM orders)"

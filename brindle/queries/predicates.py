@@ -180,9 +180,9 @@ UNION ALL SELECT 'part', k, {VERDICT.format('text')}, {FIRST.format('text')} FRO
 UNION ALL SELECT 'document', doc_id, {VERDICT.format('text')}, {FIRST.format('text')} FROM documents""")
 def _(t):
     texts = (
-        t.pages.select(F.lit("page").alias("source"), F.col("page_id").alias("k"), F.col("html").alias("text"))
+        t.wide("pages", "page_id").select(F.lit("page").alias("source"), F.col("page_id").alias("k"), F.col("html").alias("text"))
         .unionByName(_attacked(t).select(F.lit("part").alias("source"), F.col("p_partkey").alias("k"), "text"))
-        .unionByName(t.documents.select(F.lit("document").alias("source"), F.col("doc_id").alias("k"), "text"))
+        .unionByName(t.wide("documents", "doc_id").select(F.lit("document").alias("source"), F.col("doc_id").alias("k"), "text"))
     )
     return texts.select(
         "source", "k", P.injection_verdict(F.col("text")).alias("verdict"), P.injection_pattern(F.col("text")).alias("pattern")

@@ -25,18 +25,18 @@ chunk AS (SELECT c.doc_id, p.source, c.chunk_index, array_to_string(p.ws[a + 1 :
 
 
 def _chunks(t):
-    return C.chunk_corpus(t.documents, "doc_id", "source", "text")
+    return C.chunk_corpus(t.wide("documents", "doc_id"), "doc_id", "source", "text")
 
 
 @query("chunk_words", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_index, md5(text) AS chunk_md5, length(text) AS chars FROM chunk")
 def _(t):
-    out = C.chunk_words(t.documents, ["doc_id"], "text")
+    out = C.chunk_words(t.wide("documents", "doc_id"), ["doc_id"], "text")
     return out.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
 
 
 @query("chunk_sentences")
 def _(t):
-    out = C.chunk_sentences(t.documents, ["doc_id"], "text")
+    out = C.chunk_sentences(t.wide("documents", "doc_id"), ["doc_id"], "text")
     return out.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
 
 
@@ -107,7 +107,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 
 
 def _self(t, **options):
-    hits = R.vector_search(t.embeddings, t.embeddings, "vec_id", "embedding", "vec_id", "embedding", **options)
+    hits = R.vector_search(t.embeddings, t.wide("embeddings", "vec_id"), "vec_id", "embedding", "vec_id", "embedding", **options)
     return hits.withColumn("score", round_to(F.col("score"), 6))
 
 
@@ -157,7 +157,7 @@ x AS (SELECT item_id AS query_id, doc_id AS chunk_id, len(list_filter(terms, lam
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x WHERE score > 0)
 SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def _(t):
-    return R.keyword_search(t.benchmark, t.documents, "item_id", "text", "doc_id", "text", "doc_id")
+    return R.keyword_search(t.benchmark, t.wide("documents", "doc_id"), "item_id", "text", "doc_id", "text", "doc_id")
 
 
 @query("join_hybrid_context", """
@@ -170,3 +170,18 @@ def _(t):
     data = t.labels.select("doc_id", F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("data_answer"))
     out = R.hybrid_context(t.documents.select("doc_id"), text, data, "doc_id")
     return out.select("doc_id", F.md5("answer").alias("answer_md5"))
+
+
+@query("chunk_table", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_index, md5(text) AS chunk_md5 FROM chunk")
+def _(t):
+    C.register_functions(t.spark)
+    return t.spark.sql(
+        "SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5 FROM {docs}, LATERAL chunk_table(text)", docs=t.documents
+    )
+
+
+@query("embed_hook", "SELECT item_id, len(string_split(text, ' ')) AS spaces, length(text) AS chars FROM benchmark")
+def _(t):
+    model = lambda texts: [(float(s.count(" ") + 1), float(len(s))) for s in texts]
+    vectors = C.embed(t.benchmark, "text", model)
+    return vectors.select("item_id", F.element_at("embedding", 1).cast("int").alias("spaces"), F.element_at("embedding", 2).cast("int").alias("chars"))

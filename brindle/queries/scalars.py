@@ -162,9 +162,11 @@ def _(t):
 
 def hash_sql(text: str, size: int = 384) -> str:
     """SQL list of the hash embedding: the digest as a 128-bit number, divided by powers of two."""
-    h = f"(CAST(('0x' || substr(md5({text}), 1, 16)) AS UBIGINT)::UHUGEINT * 18446744073709551616::UHUGEINT + CAST(('0x' || substr(md5({text}), 17, 16)) AS UBIGINT)::UHUGEINT)"
+    half = "CAST(('0x' || substr(d, {0}, 16)) AS UBIGINT)::UHUGEINT"
+    number = f"list_transform([md5({text})], lambda d: {half.format(1)} * 18446744073709551616::UHUGEINT + {half.format(17)})"
     powers = "[" + ", ".join(f"{2**i}::UHUGEINT" for i in range(128)) + "]"
-    return f"list_concat(list_transform({powers}, lambda p: CAST(({h} // p) % 1000 AS DOUBLE) / 1000), list_transform(range(0, {size - 128}), lambda i: 0.0::DOUBLE))"
+    hashed = f"list_transform({number}, lambda h: list_transform({powers}, lambda p: CAST((h // p) % 1000 AS DOUBLE) / 1000))[1]"
+    return f"list_concat({hashed}, list_transform(range(0, {size - 128}), lambda i: 0.0::DOUBLE))"
 
 
 @query("hash_embedding", f"""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brindle.operators import stats
-from brindle.plans.spec import QuerySpec, run_spec
+from brindle.plans.spec import LIST_LIMIT, QuerySpec, run_spec
 from brindle.queries import query, rd
 
 PCT = "100.0 * {0} / {1}"
@@ -200,3 +200,29 @@ SELECT {rd('avg(CASE WHEN score < 0.1 THEN 1.0 ELSE 0.0 END)', 6)} AS anomaly_ra
   {rd('stddev_pop(score)', 6)} AS std_score, count(*) AS n FROM {SCORED}""")
 def _(t):
     return stats.score_stats(scored(t), "score", F.col("score") < 0.1)
+
+
+# Sorts and limits
+
+@query("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def _(t):
+    return run_spec(t.orders, QuerySpec(columns=("o_orderkey", "o_totalprice"), order_by="o_totalprice", limit=10, ties=("o_orderkey",)))
+
+
+@query("bottom_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
+def _(t):
+    spec = QuerySpec(columns=("o_orderkey", "o_totalprice"), order_by="o_totalprice", desc=False, limit=25, ties=("o_orderkey",))
+    return run_spec(t.orders, spec)
+
+
+@query("list_limit", "SELECT 50 AS asked, 50 AS n FROM orders LIMIT 1")
+def _(t):
+    listed = run_spec(t.orders, QuerySpec(columns=("o_orderkey",), limit=LIST_LIMIT))
+    return listed.agg(F.count("*").cast("int").alias("n")).select(F.lit(LIST_LIMIT).alias("asked"), "n")
+
+
+@query("top_groups", """
+WITH c AS (SELECT l_partkey, count(*) AS total, count(*) FILTER (l_returnflag = 'R') AS positive FROM lineitem GROUP BY 1)
+SELECT 'l_partkey' AS "column", CAST(l_partkey AS VARCHAR) AS category, total, positive FROM c ORDER BY total DESC, category LIMIT 15""")
+def _(t):
+    return stats.category_rate(account(t), "churn_label", ["l_partkey"]).drop("rate")

@@ -35,12 +35,12 @@ def _sliding(t):
 SELECT event_id, reason IS NOT NULL AS limited, reason, CAST(CASE reason WHEN 'burst' THEN 1 WHEN 'minute' THEN greatest(1, (7200000000 - (us - mo)) // {US})
  WHEN 'hour' THEN greatest(1, (86400000000 - (us - ho)) // {US}) END AS INTEGER) AS retry_after FROM r""")
 def _(t):
-    return _sliding(t).select("event_id", "limited", "reason", "retry_after")
+    return _sliding(t).select(F.col("key").alias("event_id"), "limited", "reason", "retry_after")
 
 
-@query("remaining_quota", f"{SLIDING} SELECT event_id, CAST(greatest(0, 5 - mu) AS BIGINT) AS minute_remaining, CAST(greatest(0, 30 - hu) AS BIGINT) AS hour_remaining FROM r")
+@query("remaining_quota", f"{SLIDING} SELECT event_id, CAST(greatest(0, 5 - mu) AS INTEGER) AS minute_remaining, CAST(greatest(0, 30 - hu) AS INTEGER) AS hour_remaining FROM r")
 def _(t):
-    return _sliding(t).select("event_id", "minute_remaining", "hour_remaining")
+    return _sliding(t).select(F.col("key").alias("event_id"), "minute_remaining", "hour_remaining")
 
 
 # one recursion step per call: counters are reset by age, then the call is judged

@@ -48,3 +48,13 @@ def written(df, label: str):
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, key: str):
+    """Rows dealt over all cores when the table is a few files only, else ``df`` as it is.
+
+    A small file is one row group and so one task. Work that is heavy per row is worth a shuffle
+    then; a table of many files is already spread and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

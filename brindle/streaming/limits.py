@@ -1,10 +1,11 @@
-"""Request limits per client: sliding windows as range windows, restarting windows as carried state."""
+"""Request limits per client: sliding windows by sorted times, restarting windows as carried state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from brindle.session import written
 
 SECOND = 1_000_000
+VERDICT = "limited boolean, reason string, retry_after int, minute_remaining int, hour_remaining int"
 DAY = 86_400
 
 
@@ -32,64 +34,58 @@ def micros(ts: Column) -> Column:
 def rate_limit_sliding(
     calls: DataFrame, client: str, ts: str, key: str, limits: Limits = Limits(), slot_seconds: int = DAY
 ) -> DataFrame:
-    """Adds limited, reason, retry_after and what is left in both windows.
+    """(client, key, limited, reason, retry_after, minute_remaining, hour_remaining) with sliding windows.
 
-    Every call counts, refused or not; calls of one client at the same instant count once. Windows
-    run per client and time slot, and the end of a slot is copied into the next one, so a busy
-    client is spread over as many tasks as it has slots.
+    Every call counts, refused or not; calls of one client at the same instant count once. A group is
+    one client in one time slot, with the end of the slot before copied in, so a busy client is
+    spread over as many tasks as it has slots. Inside a group the counts are positions in the sorted
+    times: a range window in SQL would add up every frame again and take quadratic time.
     """
     reach = max(limits.burst[1], limits.minute[1], limits.hour[1]) * SECOND
     slot = slot_seconds * SECOND
     if reach > slot:
         raise ValueError("a slot must be as long as the longest window")
-    us = micros(F.col(ts))
-    own = F.floor(us / slot)
-    homes = F.when(us % slot >= slot - reach, F.array(own, own + 1)).otherwise(F.array(own))
-    placed = calls.withColumn("_us", us).withColumn("_slot", F.explode(homes)).withColumn("_copy", F.col("_slot") > F.floor(F.col("_us") / slot))
-    line = Window.partitionBy(client, "_slot").orderBy("_us", key)
-    first = placed.withColumn("_first", F.when(F.lag("_us").over(line) == F.col("_us"), 0).otherwise(1))
-    span = Window.partitionBy(client, "_slot").orderBy("_us")
-
-    def prior(seconds: int) -> Column:
-        before = F.coalesce(F.sum("_first").over(span.rangeBetween(1 - seconds * SECOND, -1)), F.lit(0))
-        return before + (1 - F.col("_first"))
-
-    def oldest(seconds: int) -> Column:
-        return F.min("_us").over(span.rangeBetween(1 - seconds * SECOND, 0))
-
-    def used(seconds: int) -> Column:
-        return F.sum("_first").over(span.rangeBetween(-seconds * SECOND, 0))
-
-    counted = first.withColumns({
-        "_b": prior(limits.burst[1]), "_m": prior(limits.minute[1]), "_h": prior(limits.hour[1]),
-        "_mo": oldest(limits.minute[1]), "_ho": oldest(limits.hour[1]),
-        "_mu": used(limits.minute[1]), "_hu": used(limits.hour[1]),
-    }).filter("NOT _copy")
-    reason = (
-        F.when(F.col("_b") >= limits.burst[0], "burst").when(F.col("_m") >= limits.minute[0], "minute")
-        .when(F.col("_h") >= limits.hour[0], "hour")
-    )
-
-    def wait(seconds: int, start: Column) -> Column:
-        left = F.floor((F.lit(seconds * SECOND) - (F.col("_us") - start)) / SECOND)
-        return F.greatest(F.lit(1), left).cast("int")
-
-    judged = counted.withColumn("reason", reason)
-    out = judged.withColumns({
-        "limited": F.col("reason").isNotNull(),
-        "retry_after": F.when(F.col("reason") == "burst", 1)
-        .when(F.col("reason") == "minute", wait(limits.minute[1], F.col("_mo")))
-        .when(F.col("reason") == "hour", wait(limits.hour[1], F.col("_ho"))),
-        "minute_remaining": F.greatest(F.lit(0), limits.minute[0] - F.col("_mu")),
-        "hour_remaining": F.greatest(F.lit(0), limits.hour[0] - F.col("_hu")),
-    })
-    return out.select(*calls.columns, "limited", "reason", "retry_after", "minute_remaining", "hour_remaining")
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
+    lines = calls.select(F.col(client).alias("client"), F.col(key).alias("key"), micros(F.col(ts)).alias("us"))
+    own = F.floor(F.col("us") / slot)
+    homes = F.when(F.col("us") % slot >= slot - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    placed = lines.withColumn("slot", F.explode(homes)).withColumn("copy", F.col("slot") > own)
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["us", "key"])
+        now = rows["us"].to_numpy()
+        times = np.unique(now)
+        place = np.searchsorted(times, now)
+        again = np.concatenate(([False], now[1:] == now[:-1]))
+
+        def opened(seconds: int) -> np.ndarray:
+            return np.searchsorted(times, now - seconds * SECOND, side="right")
+
+        def left(limit: tuple[int, int]) -> np.ndarray:
+            used = place + 1 - np.searchsorted(times, now - limit[1] * SECOND, side="left")
+            return np.maximum(0, limit[0] - used)
+
+        def wait(limit: tuple[int, int]) -> np.ndarray:
+            age = now - times[opened(limit[1])]
+            return np.maximum(1, (limit[1] * SECOND - age) // SECOND)
+
+        order = (("burst", limits.burst), ("minute", limits.minute), ("hour", limits.hour))
+        over = [place - opened(limit[1]) + again >= limit[0] for _, limit in order]
+        out = rows[["client", "key"]].copy()
+        out["limited"] = over[0] | over[1] | over[2]
+        out["reason"] = np.select(over, [name for name, _ in order], "")
+        out["reason"] = out["reason"].where(out["limited"], None)
+        out["retry_after"] = pd.array(np.select(over, [np.ones_like(now), wait(limits.minute), wait(limits.hour)], 0), dtype="Int32")
+        out["retry_after"] = out["retry_after"].where(out["limited"], pd.NA)
+        out["minute_remaining"], out["hour_remaining"] = left(limits.minute), left(limits.hour)
+        return out[~rows["copy"].to_numpy()]
+
+    return placed.groupBy("client", "slot").applyInPandas(judge, f"client {kinds[client]}, key {kinds[key]}, {VERDICT}")
 
 
 # Restarting windows
 
 STATE = "minute_start bigint, minute_count int, hour_start bigint, hour_count int, burst array<bigint>"
-VERDICT = "limited boolean, reason string, retry_after int, minute_remaining int, hour_remaining int"
 
 
 class Meter:
