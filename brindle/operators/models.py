@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,8 @@ from brindle.functions.numbers import clip, recommendation, risk_level, round_to
 from brindle.functions.predicates import POSITIVE_TARGETS, target_flag
 from brindle.operators.schema import select_features
 from brindle.operators.series import with_position
-from brindle.operators.stats import confusion, count_true
+from brindle.operators.stats import count_true, measures
+from brindle.session import written
 
 SEED, TRAIN_SHARE = 42, 0.8
 MIN_CLASSIFIER_ROWS, MIN_REGRESSOR_ROWS = 50, 10
@@ -25,6 +26,8 @@ UNKNOWN = "Unknown"
 PERFECT = 0.99
 HASH_BINS = 65_536
 SCORE_BINS = 4_096
+PREFIXES, SLOT_LABELS = (2, 4, 8, 16, 32), 1_000_000
+TREE_MEMORY_MB = 1_024
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,8 @@ class Trained:
     model: PipelineModel
     features: list[str]
     target: str
-    metrics: DataFrame
+    metrics: DataFrame | None
+    codes: dict[str, DataFrame]
 
 
 # Targets, codes and splits
@@ -47,13 +51,18 @@ def binary_target(df: DataFrame, column: str, out: str = "label") -> DataFrame:
     return df.withColumn(out, target_flag(df, column, POSITIVE_TARGETS).cast("int"))
 
 
-def label_table(df: DataFrame, column: str, prefix: int = 2) -> DataFrame:
+def label_table(df: DataFrame, column: str) -> DataFrame:
     """(value, code): alphabetical codes from 0, nulls as one more value.
 
-    Codes are counted per leading characters and shifted by the counts before them, so a column
-    with very many values is never ordered in one task.
+    Codes are counted per leading characters and shifted by the counts before them. The prefix grows
+    until no group is large, so a column with very many values is never ordered in one task.
     """
-    values = df.select(F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN)).alias("value")).distinct()
+    found = df.select(F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN)).alias("value")).distinct()
+    values = written(found, "labels")
+    for prefix in PREFIXES:
+        largest = values.groupBy(F.left("value", F.lit(prefix))).count().agg(F.max("count")).first()[0]
+        if (largest or 0) <= SLOT_LABELS:
+            break
     return with_position(values, [], [F.asc("value")], F.left("value", F.lit(prefix)), out="code")
 
 
@@ -103,29 +112,44 @@ def split_stratified(
 
 # Measures
 
-def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the curve, ties at half weight, for scores in [0, 1]; 0.5 for a single class.
-
-    Equal scores collapse first; the negatives below a score are those of lower score bins (a
-    table of at most ``SCORE_BINS`` rows) plus those before it inside its own bin.
-    """
-    per = scored.groupBy(F.col(score).cast("double").alias("s")).agg(
+def _by_score(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """(s, p, n): positives and negatives of each distinct score."""
+    return scored.groupBy(F.col(score).cast("double").alias("s")).agg(
         count_true(F.col(label) == 1).alias("p"), count_true(F.col(label) != 1).alias("n")
-    ).withColumn("bin", F.floor(clip(F.col("s"), 0.0, 1.0) * (SCORE_BINS - 1)).cast("int"))
-    bins = per.groupBy("bin").agg(F.sum("n").alias("bn"))
+    )
+
+
+def _area(per: DataFrame) -> DataFrame:
+    """The negatives below a score are those of lower score bins (a table of at most ``SCORE_BINS``
+    rows) plus those before it inside its own bin."""
+    placed = per.withColumn("bin", F.floor(clip(F.col("s"), 0.0, 1.0) * (SCORE_BINS - 1)).cast("int"))
+    bins = placed.groupBy("bin").agg(F.sum("n").alias("bn"))
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bins.select("bin", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("below"))
     inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "bin")
+    ranked = placed.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "bin")
     pairs = F.sum(F.col("p").cast("double") * (F.col("below") + F.col("within") + F.col("n") / 2.0))
     total = F.sum("p").cast("double") * F.sum("n").cast("double")
     return ranked.agg(F.coalesce(F.try_divide(pairs, total), F.lit(0.5)).alias("auc"))
 
 
+def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """Exact area under the curve, ties at half weight, for scores in [0, 1]; 0.5 for a single class."""
+    return _area(_by_score(scored, label, score))
+
+
 def classifier_metrics(scored: DataFrame, label: str, score: str, cut: float = 0.5) -> DataFrame:
-    """Confusion cells, accuracy, precision, recall, F1 and AUC in one row."""
-    area = auc(scored, label, score).scalar()
-    return confusion(scored, label, score, cut).withColumn("auc", round_to(area, 4))
+    """Confusion cells, accuracy, precision, recall, F1 and AUC in one row, all from the counts per score."""
+    per = _by_score(scored, label, score)
+
+    def total(column: str, on: Column) -> Column:
+        return F.coalesce(F.sum(F.when(on, F.col(column))), F.lit(0))
+
+    said = F.col("s") >= cut
+    cells = per.agg(
+        total("p", said).alias("tp"), total("n", ~said).alias("tn"), total("n", said).alias("fp"), total("p", ~said).alias("fn")
+    )
+    return measures(cells).withColumn("auc", round_to(_area(per).scalar(), 4))
 
 
 def overfit_alert(metrics: DataFrame) -> DataFrame:
@@ -135,37 +159,31 @@ def overfit_alert(metrics: DataFrame) -> DataFrame:
 
 # Training
 
-def _feature_stages(train: DataFrame, categorical: list[str], numeric: list[str]) -> tuple[list, list[str]]:
-    """Fitted stages that turn raw columns into the feature vector."""
-    filled = [f"coalesce(cast(`{c}` AS string), '{UNKNOWN}') AS `{c}__text`" for c in categorical]
-    filled += [f"coalesce(try_cast(`{c}` AS double), 0D) AS `{c}__num`" for c in numeric]
-    fill = SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
-    stages: list = [fill]
-    codes = []
-    if categorical:
-        indexer = StringIndexer(
-            inputCols=[f"{c}__text" for c in categorical], outputCols=[f"{c}__code" for c in categorical],
-            stringOrderType="alphabetAsc", handleInvalid="keep",
-        ).fit(fill.transform(train.select(*categorical, *numeric)))
-        # codes are ordinals: an unseen value becomes 0 and the category metadata is dropped
-        codes = [
-            f"CASE WHEN `{c}__code` >= {len(labels)} THEN 0D ELSE `{c}__code` END AS `{c}__ord`"
-            for c, labels in zip(categorical, indexer.labelsArray)
-        ]
-        stages += [indexer, SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__")]
-    inputs = [f"{c}__ord" for c in categorical] + [f"{c}__num" for c in numeric]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return stages, [f"{c}_encoded" for c in categorical] + list(numeric)
+def fit_codes(df: DataFrame, categorical: list[str]) -> dict[str, DataFrame]:
+    """Code table per column, kept as tables: the values of a column may be too many for the driver."""
+    return {c: written(label_table(df, c), "codes") for c in categorical}
+
+
+def _numeric_stages(categorical: list[str], numeric: list[str]) -> tuple[list, list[str]]:
+    """Stages from coded columns and raw numbers to the feature vector; what is no number becomes 0."""
+    names = [f"{c}_encoded" for c in categorical] + list(numeric)
+    filled = ", ".join(f"coalesce(try_cast(`{c}` AS double), 0D) AS `{c}__num`" for c in names)
+    fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+    return [fill, VectorAssembler(inputCols=[f"{c}__num" for c in names], outputCol="features")], names
+
+
+def _transform(trained: Trained, df: DataFrame) -> DataFrame:
+    return trained.model.transform(encode_labels(df, list(trained.codes), trained.codes))
 
 
 def _classifier(algorithm: str, seed: int):
     if algorithm == "gradient_boosting":
         return GBTClassifier(
-            labelCol="label", maxIter=100, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed
+            labelCol="label", maxIter=100, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed, maxMemoryInMB=TREE_MEMORY_MB
         )
     return RandomForestClassifier(
         labelCol="label", numTrees=100, maxDepth=8, minInstancesPerNode=5,
-        featureSubsetStrategy="sqrt", subsamplingRate=0.8, seed=seed,
+        featureSubsetStrategy="sqrt", subsamplingRate=0.8, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
     )
 
 
@@ -180,17 +198,19 @@ def train_classifier(
     rows = binary_target(df, target).select(*ids, "label", target, *categorical, *numeric)
     if rows.limit(MIN_CLASSIFIER_ROWS).count() < MIN_CLASSIFIER_ROWS:
         raise ValueError(f"need at least {MIN_CLASSIFIER_ROWS} rows")
+    codes = fit_codes(rows, categorical)
     split = split_stratified(rows, ids, "label", TRAIN_SHARE, seed)
     train, test = split.filter("is_train"), split.filter("NOT is_train")
-    stages, features = _feature_stages(train, categorical, numeric)
-    prepared = PipelineModel(stages).transform(train).select("features", "label")
+    stages, features = _numeric_stages(categorical, numeric)
+    prepared = PipelineModel(stages).transform(encode_labels(train, categorical, codes)).select("features", "label")
     fitted = _classifier(algorithm, seed).fit(prepared)
     model = PipelineModel(stages + [fitted])
-    scored = score_batch(Trained(model, features, target, None), test, ids)
+    scored = score_batch(Trained(model, features, target, None, codes), test, ids)
     metrics = overfit_alert(classifier_metrics(scored, "actual", "probability")).withColumns({
         "algorithm": F.lit(algorithm), "features_used": F.lit(len(features)), "target": F.lit(target),
     })
-    return Trained(model, features, target, metrics)
+    # one row, computed here once
+    return Trained(model, features, target, written(metrics, "metrics"), codes)
 
 
 def _probability(transformed: DataFrame) -> Column:
@@ -199,7 +219,7 @@ def _probability(transformed: DataFrame) -> Column:
 
 def score_batch(trained: Trained, df: DataFrame, ids: list[str]) -> DataFrame:
     """Every row scored: probability, predicted, the row's own outcome, risk level; order is the caller's."""
-    out = trained.model.transform(df)
+    out = _transform(trained, df)
     p = _probability(out)
     actual = target_flag(out, trained.target, POSITIVE_TARGETS).cast("int") if trained.target in out.columns else F.lit(None).cast("int")
     return out.select(
@@ -215,7 +235,7 @@ def score_rows(trained: Trained, df: DataFrame, ids: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema}
     missing = [f.removesuffix("_encoded") for f in trained.features if f.removesuffix("_encoded") not in kinds]
     padded = df.withColumns({c: F.lit(None).cast(T.StringType()) for c in missing}) if missing else df
-    out = trained.model.transform(padded)
+    out = _transform(trained, padded)
     p = _probability(out)
     level = risk_level(p)
     return out.select(
@@ -246,20 +266,24 @@ def _session(trained: Trained):
 
 
 def save_model(trained: Trained, path: str) -> None:
-    """Pipeline and a one-row description below ``path``."""
+    """Pipeline, code tables and a one-row description below ``path``."""
     trained.model.write().overwrite().save(f"{path}/pipeline")
     about = [(trained.target, json.dumps(trained.features))]
     spark = _session(trained)
     spark.createDataFrame(about, "target string, features string").write.mode("overwrite").json(f"{path}/about")
+    for column, codes in trained.codes.items():
+        codes.write.mode("overwrite").parquet(f"{path}/codes/{column}")
     if trained.metrics is not None:
         trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
 
 
 def load_model(spark, path: str) -> Trained:
     about = spark.read.schema("target string, features string").json(f"{path}/about").first()
+    features = json.loads(about["features"])
+    coded = [f.removesuffix("_encoded") for f in features if f.endswith("_encoded")]
     return Trained(
-        PipelineModel.load(f"{path}/pipeline"), json.loads(about["features"]), about["target"],
-        spark.read.parquet(f"{path}/metrics"),
+        PipelineModel.load(f"{path}/pipeline"), features, about["target"], spark.read.parquet(f"{path}/metrics"),
+        {c: spark.read.parquet(f"{path}/codes/{c}") for c in coded},
     )
 
 
@@ -272,13 +296,14 @@ def train_rate_regressor(
     rows = df.select(*ids, value, *categorical, *numeric)
     if rows.limit(MIN_REGRESSOR_ROWS).count() < MIN_REGRESSOR_ROWS:
         raise ValueError(f"need at least {MIN_REGRESSOR_ROWS} rows")
+    codes = fit_codes(rows, categorical)
     split = split_stratified(rows.withColumn("_all", F.lit(1)), ids, "_all", TRAIN_SHARE, seed)
-    train = split.filter("is_train")
-    stages, features = _feature_stages(train, categorical, numeric)
-    forest = RandomForestRegressor(labelCol=value, numTrees=100, maxDepth=10, seed=seed)
-    fitted = forest.fit(PipelineModel(stages).transform(train).select("features", value))
+    coded = encode_labels(split, categorical, codes)
+    stages, features = _numeric_stages(categorical, numeric)
+    forest = RandomForestRegressor(labelCol=value, numTrees=100, maxDepth=10, seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
+    fitted = forest.fit(PipelineModel(stages).transform(coded.filter("is_train")).select("features", value))
     model = PipelineModel(stages + [fitted])
-    scored = model.transform(split).select("is_train", value, "prediction", *categorical)
+    scored = model.transform(coded).select("is_train", value, "prediction", *categorical)
 
     def r2(on: Column) -> Column:
         y = F.when(on, F.col(value))
@@ -291,16 +316,16 @@ def train_rate_regressor(
         r2(F.col("is_train")).alias("train_r2"), r2(~F.col("is_train")).alias("test_r2"),
         *[F.countDistinct(c).alias(f"unique_{c}") for c in categorical[:2]],
     )
-    return Trained(model, features, value, metrics)
+    return Trained(model, features, value, written(metrics, "metrics"), codes)
 
 
 def score_rate(trained: Trained, df: DataFrame, keep: list[str]) -> DataFrame:
-    return trained.model.transform(df).select(*keep, round_to(F.col("prediction"), 2).alias("predicted_rate"))
+    return _transform(trained, df).select(*keep, round_to(F.col("prediction"), 2).alias("predicted_rate"))
 
 
 def rate_gap(trained: Trained, combos: DataFrame, keys: list[str], actual: str) -> DataFrame:
     """Actual mean, predicted rate and their difference per key combination."""
-    scored = trained.model.transform(combos)
+    scored = _transform(trained, combos)
     predicted = round_to(F.col("prediction"), 2)
     return scored.select(
         *keys, round_to(F.col(actual), 2).alias("actual_rate"), predicted.alias("predicted_rate"),

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from brindle.functions.numbers import round_to
 from brindle.functions.text import question_terms
+from brindle.session import written
 
 QUERY_BLOCK = 1024
 SCORE_DIGITS = 9
+BROADCAST_HITS = 200_000
 CONTEXT_CHARS, CONTEXT_RULE = 1500, "\n\n---\n\n"
 
 
@@ -193,7 +195,9 @@ def context_assembly(
 ) -> DataFrame:
     """Per query: the numbered texts in rank order joined by a rule, and their sources."""
     named = chunks.select(F.col(chunk_key).alias("chunk_id"), F.col(filename).alias("_file"), F.col(text).alias("_text"))
-    rows = hits.join(named, "chunk_id")
+    # the hits are few next to the chunks: written once, counted, and sent to the chunks when small
+    few = written(hits, "hits")
+    rows = named.join(F.broadcast(few) if few.count() <= BROADCAST_HITS else few, "chunk_id")
     part = F.concat(
         F.lit("[Document "), F.col("rank").cast("string"), F.lit(" - "), F.coalesce("_file", F.lit("Unknown")),
         F.lit(" (relevance: "), F.format_number(round_to(F.col("score"), 2), 2), F.lit(")]:\n"),

@@ -37,22 +37,26 @@ def with_position(
 ) -> DataFrame:
     """Adds the 0-based row number inside the entity.
 
-    ``slot`` must grow with ``order`` (a truncated time, a leading part of a key). Rows are numbered
-    inside (entity, slot) and shifted by the number of rows in earlier slots.
+    ``slot`` must not be null and must grow with ``order`` (a truncated time, a leading part of a
+    key). Rows are numbered inside (entity, slot) and shifted by the number of rows in earlier
+    slots. Entity and slot are brought to two plain key columns first, so the numbering and the join
+    share one shuffle and null entities count as an entity.
     """
-    slotted = df.withColumn("_slot", slot)
-    keys = [*entity, "_slot"]
-    sizes = slotted.groupBy(*keys).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*entity).orderBy(F.asc_nulls_last("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    placed = join_null_safe(slotted.withColumn("_local", local), offsets, keys)
-    return placed.withColumn(out, F.col("_before") + F.col("_local")).drop("_slot", "_local", "_before")
+    name = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in entity], F.lit(""))
+    keyed = df.withColumns({"_entity": name, "_slot": slot})
+    sizes = keyed.groupBy("_entity", "_slot").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_entity").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_entity", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_entity", "_slot").orderBy(*order)) - 1
+    placed = keyed.withColumn("_local", local).join(offsets, ["_entity", "_slot"])
+    return placed.select(*df.columns, (F.col("_before") + F.col("_local")).alias(out))
 
 
 def by_time(df: DataFrame, entity: Sequence[str], ts: str, ties: Sequence[str] = (), slot: str = "month", out: str = "pos") -> DataFrame:
+    """Positions in time order, rows without a time last."""
     order = [F.asc_nulls_last(ts), *[F.asc(c) for c in ties]]
-    return with_position(df, entity, order, F.date_trunc(slot, F.col(ts).cast("timestamp")), out)
+    start = F.unix_seconds(F.date_trunc(slot, F.col(ts).cast("timestamp")))
+    return with_position(df, entity, order, F.coalesce(start, F.lit(2**62)), out)
 
 
 def blocks(df: DataFrame, reach: int, pos: str = "pos", size: int = BLOCK_ROWS) -> DataFrame:

@@ -160,12 +160,16 @@ def risk_summary(scored: DataFrame, probability: str) -> DataFrame:
 def confusion(scored: DataFrame, label: str, score: str, cut: float = 0.5) -> DataFrame:
     """Cells and measures at one cut; 0 wherever a denominator is 0."""
     yes, said = F.col(label) == 1, F.col(score) >= cut
-    cells = scored.agg(
+    return measures(scored.agg(
         count_true(yes & said).alias("tp"),
         count_true(~yes & ~said).alias("tn"),
         count_true(~yes & said).alias("fp"),
         count_true(yes & ~said).alias("fn"),
-    )
+    ))
+
+
+def measures(cells: DataFrame) -> DataFrame:
+    """Accuracy, precision, recall and F1 next to the four cells."""
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
 
     def ratio(a: Column, b: Column) -> Column:

@@ -19,7 +19,7 @@ _trained: dict = {}
 
 def account(t):
     """Orders with their customer's segment and a Yes/No outcome."""
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = t.wide("orders", "o_orderkey").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
         "o_orderkey", F.col("o_totalprice").alias("total"), F.month("o_orderdate").alias("month"),
         F.col("c_acctbal").alias("balance"), F.col("o_orderpriority").alias("priority"), F.col("c_mktsegment").alias("segment"),
@@ -144,7 +144,7 @@ def _(t):
 
 
 def billing(t):
-    return t.lineitem.select(
+    return t.wide("lineitem", "l_partkey").select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("enterprise"), F.col("l_partkey").alias("subaccount"),
         F.col("l_returnflag").alias("device"), F.col("l_linestatus").alias("service"), F.col("l_quantity").alias("bandwidth"),
         F.col("l_extendedprice").alias("rate"), "l_shipdate",

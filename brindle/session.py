@@ -26,15 +26,19 @@ def local_session(cores: str = "8", app: str = "brindle") -> SparkSession:
     )
 
 
+_own: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a private one only when unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder named by ``spark.checkpoint.dir``; a private one only when unset on a local master."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        root = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="brindle-")
+        _own[context.applicationId] = root
+    return root.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
