@@ -134,7 +134,16 @@ def _(t):
     return risk_summary(M.score_batch(trained(t), account(t), ["o_orderkey"]), "probability")
 
 
-@query("model_save_load", "SELECT o_orderkey, true AS same FROM orders")
+@query("model_save", "SELECT 'outcome' AS target, 5 AS features, count(*) AS rows FROM orders")
+def _(t):
+    path = fresh_path(t.spark, "model")
+    M.save_model(trained(t), path)
+    loaded = M.load_model(t.spark, path)
+    scored_rows = M.score_batch(loaded, account(t), ["o_orderkey"]).agg(F.count("probability").alias("rows"))
+    return scored_rows.select(F.lit(loaded.target).alias("target"), F.lit(len(loaded.features)).alias("features"), "rows")
+
+
+@query("model_load", "SELECT o_orderkey, true AS same FROM orders")
 def _(t):
     path = fresh_path(t.spark, "model")
     M.save_model(trained(t), path)

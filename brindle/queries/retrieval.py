@@ -31,13 +31,13 @@ def _chunks(t):
 @query("chunk_words", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_index, md5(text) AS chunk_md5, length(text) AS chars FROM chunk")
 def _(t):
     out = C.chunk_words(t.wide("documents", "doc_id"), ["doc_id"], "text")
-    return out.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
+    return out.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("bigint").alias("chars"))
 
 
 @query("chunk_sentences")
 def _(t):
     out = C.chunk_sentences(t.wide("documents", "doc_id"), ["doc_id"], "text")
-    return out.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
+    return out.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("bigint").alias("chars"))
 
 
 @query("chunk_corpus", f"WITH RECURSIVE {CHUNKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS filename, chunk_index, md5(text) AS text_md5, 'upload' AS origin FROM chunk")
@@ -50,7 +50,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_index, len(v) AS dimensions, {rd
 def _(t):
     e = _chunks(t).select("doc_id", "chunk_index", V.hash_embedding(F.col("text")).alias("v"))
     return e.select(
-        "doc_id", "chunk_index", F.size("v").alias("dimensions"),
+        "doc_id", "chunk_index", F.size("v").cast("bigint").alias("dimensions"),
         round_to(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"),
         F.element_at("v", 1).alias("first"), F.element_at("v", 100).alias("hundredth"),
     )
@@ -184,4 +184,4 @@ def _(t):
 def _(t):
     model = lambda texts: [(float(s.count(" ") + 1), float(len(s))) for s in texts]
     vectors = C.embed(t.benchmark, "text", model)
-    return vectors.select("item_id", F.element_at("embedding", 1).cast("int").alias("spaces"), F.element_at("embedding", 2).cast("int").alias("chars"))
+    return vectors.select("item_id", F.element_at("embedding", 1).cast("bigint").alias("spaces"), F.element_at("embedding", 2).cast("bigint").alias("chars"))

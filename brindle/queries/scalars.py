@@ -22,7 +22,7 @@ TERMS = f"list_filter(string_split_regex(lower(@), '{WS}+'), lambda w: length(w)
 @query("clean_whitespace", f"SELECT doc_id, md5({ws_sql('text', CLEAN)}) AS clean_md5, length({ws_sql('text', CLEAN)}) AS chars FROM documents")
 def _(t):
     clean = X.clean_whitespace(F.col("text"))
-    return t.documents.select("doc_id", F.md5(clean).alias("clean_md5"), F.length(clean).alias("chars"))
+    return t.documents.select("doc_id", F.md5(clean).alias("clean_md5"), F.length(clean).cast("bigint").alias("chars"))
 
 
 @query("question_terms", f"SELECT conv_id, turn, array_to_string({ws_sql('text', TERMS)}, '|') AS terms FROM conversations")
@@ -157,7 +157,7 @@ def _(t):
     doubles = F.col("embedding").cast("array<double>")
     text = F.when(k == 3, "not a vector").when(k == 4, "[1, x]").otherwise(F.to_json(doubles))
     v = V.parse_vector(text)
-    return t.embeddings.select("vec_id", v.alias("v")).select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("dimensions"), F.try_element_at("v", F.lit(1)).alias("first"))
+    return t.embeddings.select("vec_id", v.alias("v")).select("vec_id", F.when(F.col("v").isNotNull(), F.size("v").cast("bigint")).alias("dimensions"), F.try_element_at("v", F.lit(1)).alias("first"))
 
 
 def hash_sql(text: str, size: int = 384) -> str:
@@ -177,7 +177,7 @@ def _(t):
     e = t.part.select("p_partkey", v.alias("v"))
     weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return e.select(
-        "p_partkey", F.size("v").alias("dimensions"), N.round_to(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"),
+        "p_partkey", F.size("v").cast("bigint").alias("dimensions"), N.round_to(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"),
         F.element_at("v", 1).alias("first"), F.element_at("v", 33).alias("second"), F.element_at("v", 65).alias("third"),
         F.element_at("v", 128).alias("last"), N.round_to(weighted, 3).alias("weighted"),
     )

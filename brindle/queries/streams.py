@@ -116,7 +116,7 @@ def _(t):
     path = fresh_path(t.spark, "index")
     stream = J.file_stream(t.spark, t.stream_path("embeddings"), t.embeddings.schema)
     J.index_sync(stream, path, fresh_path(t.spark, "index-log"), "vec_id", "embedding", ["label"])
-    return t.spark.read.parquet(path).select("vec_id", "label", "dimensions")
+    return t.spark.read.parquet(path).select("vec_id", "label", F.col("dimensions").cast("bigint").alias("dimensions"))
 
 
 @query("audit_stream", f"""

@@ -73,7 +73,7 @@ def _(t):
     narrow = (F.col("lang") == "fr") & F.col("text").rlike(r"^[\x00-\xFF]*$")
     content = F.when(narrow, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     uploads = t.documents.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))
-    return files.text_documents(uploads).select("path", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+    return files.text_documents(uploads).select("path", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
 
 
 SCAN_TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -99,7 +99,7 @@ def _(t):
 @query("scan_chunks", "SELECT vec_id, label, len(embedding) AS dimensions FROM embeddings WHERE label <> 3")
 def _(t):
     holes = t.embeddings.withColumn("embedding", F.when(F.col("label") != 3, F.col("embedding")))
-    return holes.filter(F.col("embedding").isNotNull()).select("vec_id", "label", F.size("embedding").alias("dimensions"))
+    return holes.filter(F.col("embedding").isNotNull()).select("vec_id", "label", F.size("embedding").cast("bigint").alias("dimensions"))
 
 
 @query("describe_schema", """
@@ -229,7 +229,7 @@ def _(t):
     index = tables.index_create(t.embeddings, fresh_path(t.spark, "index"), "vec_id", "embedding", ["label"])
     r = tables.F.round
     return index.select(
-        "vec_id", "label", r(F.col("norm").cast("decimal(38,8)"), 5).cast("double").alias("norm"), "dimensions",
+        "vec_id", "label", r(F.col("norm").cast("decimal(38,8)"), 5).cast("double").alias("norm"), F.col("dimensions").cast("bigint").alias("dimensions"),
         r(F.element_at("unit_vector", 1).cast("decimal(38,8)"), 5).cast("double").alias("first_unit"),
         r(F.element_at("unit_vector", -1).cast("decimal(38,8)"), 5).cast("double").alias("last_unit"),
     )
@@ -237,7 +237,8 @@ def _(t):
 
 @query("index_info", "SELECT count(*) AS vectors, min(len(embedding)) AS min_dimensions, max(len(embedding)) AS max_dimensions, max(vec_id) AS newest_upload FROM embeddings")
 def _(t):
-    return tables.index_info(tables.index_table(t.embeddings, "vec_id", "embedding"), "vec_id")
+    info = tables.index_info(tables.index_table(t.embeddings, "vec_id", "embedding"), "vec_id")
+    return info.withColumns({c: F.col(c).cast("bigint") for c in ("min_dimensions", "max_dimensions")})
 
 
 REQUESTS = """(SELECT event_id AS request_id, CASE event_type WHEN 'view' THEN '/health' ELSE '/' || event_type END AS path,
