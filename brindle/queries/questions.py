@@ -22,7 +22,7 @@ FORMS = (
 def questions(t):
     forms = F.array(*[F.lit(f) for f in FORMS])
     form = F.element_at(forms, (F.col("p_partkey") % len(FORMS) + 1).cast("int"))
-    asked = t.part.select(F.lit("part").alias("source"), F.col("p_partkey").alias("k"), F.concat_ws(" ", form, "p_type").alias("text"))
+    asked = t.wide("part", "p_partkey").select(F.lit("part").alias("source"), F.col("p_partkey").alias("k"), F.concat_ws(" ", form, "p_type").alias("text"))
     said = t.wide("conversations", "conv_id").select(
         F.lit("talk").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text"
     )

@@ -7,8 +7,16 @@ from brindle.plans import shapes
 from brindle.queries import query, rd
 from brindle.queries.statistics import SCORED, scored
 
-FINAL = F.col("o_orderstatus") == "F"
-RETURNED = F.col("l_returnflag") == "R"
+
+
+def final():
+    return F.col("o_orderstatus") == "F"
+
+
+def returned():
+    return F.col("l_returnflag") == "R"
+
+
 N_F = "count(*) FILTER (o_orderstatus = 'F')"
 
 
@@ -19,7 +27,7 @@ def _(t):
 
 @query("q_rate", f"SELECT count(*) AS total, {N_F} AS positive, {rd(f'100.0*{N_F}/count(*)', 2)} AS rate FROM orders")
 def _(t):
-    return shapes.rate(t.orders, FINAL)
+    return shapes.rate(t.orders, final())
 
 
 @query("q_avg", f"SELECT {rd('avg(l_quantity)', 2)} AS average FROM lineitem")
@@ -38,7 +46,7 @@ def _(t):
 
 @query("q_group_rate_desc", f"SELECT o_orderpriority, count(*) AS total, {N_F} AS positive, {rd(f'100.0*{N_F}/count(*)', 2)} AS rate FROM orders GROUP BY 1")
 def _(t):
-    return shapes.group_rate(t.orders, FINAL, ["o_orderpriority"])
+    return shapes.group_rate(t.orders, final(), ["o_orderpriority"])
 
 
 @query("q_topn_groups", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, c_nationkey LIMIT 10")
@@ -65,7 +73,7 @@ def _(t):
 SELECT o_orderpriority, count(*) AS total, {N_F} AS positive, {rd(f'100.0*{N_F}/count(*)', 2)} AS rate
 FROM orders GROUP BY 1 ORDER BY rate DESC, 1 LIMIT 1""")
 def _(t):
-    return shapes.group_rate(t.orders, FINAL, ["o_orderpriority"], 1)
+    return shapes.group_rate(t.orders, final(), ["o_orderpriority"], 1)
 
 
 @query("q_threshold_count", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 100000")
@@ -78,14 +86,14 @@ SELECT count(*) FILTER (o_orderstatus = 'F') AS n FROM orders
 WHERE CAST(o_orderdate AS DATE) >= CAST((SELECT max(o_orderdate) FROM orders) AS DATE) - INTERVAL 3 MONTH""")
 def _(t):
     latest = t.orders.agg(F.max("o_orderdate")).scalar()
-    return shapes.recent_positive(t.orders, FINAL, "o_orderdate", latest)
+    return shapes.recent_positive(t.orders, final(), "o_orderdate", latest)
 
 
 @query("q_rate_filtered", f"""
 SELECT count(*) AS total, count(*) FILTER (l_returnflag='R') AS positive,
   {rd("100.0*count(*) FILTER (l_returnflag='R')/count(*)", 2)} AS rate FROM lineitem WHERE l_quantity < 12""")
 def _(t):
-    return shapes.rate(t.lineitem, RETURNED, F.col("l_quantity") < 12)
+    return shapes.rate(t.lineitem, returned(), F.col("l_quantity") < 12)
 
 
 @query("q_high_risk_count", f"SELECT count(*) AS n FROM {SCORED} WHERE score > 0.7")
@@ -95,14 +103,14 @@ def _(t):
 
 @query("q_multi_flag", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag='R' AND l_linestatus='O' AND l_tax > 0")
 def _(t):
-    return shapes.count_where(t.lineitem, RETURNED, F.col("l_linestatus") == "O", F.col("l_tax") > 0)
+    return shapes.count_where(t.lineitem, returned(), F.col("l_linestatus") == "O", F.col("l_tax") > 0)
 
 
 @query("q_compare_groups", f"""
 WITH g AS (SELECT avg(o_totalprice) FILTER (o_orderstatus='F') AS a, avg(o_totalprice) FILTER (o_orderstatus<>'F') AS b FROM orders)
 SELECT {rd('a', 2)} AS with_flag, {rd('b', 2)} AS without_flag, {rd('a-b', 2)} AS difference FROM g""")
 def _(t):
-    return shapes.compare_groups(t.orders, FINAL, "o_totalprice")
+    return shapes.compare_groups(t.orders, final(), "o_totalprice")
 
 
 @query("q_sum_by_group", f"""
@@ -127,7 +135,7 @@ SELECT o_orderpriority, c_mktsegment, count(*) AS total, {N_F} AS positive, {rd(
 FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1, 2""")
 def _(t):
     joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return shapes.group_rate(joined, FINAL, ["o_orderpriority", "c_mktsegment"])
+    return shapes.group_rate(joined, final(), ["o_orderpriority", "c_mktsegment"])
 
 
 @query("filter_nonblank", "SELECT count(*) AS n FROM (SELECT nullif(l_linestatus, 'F') AS s, CASE WHEN l_linenumber=3 THEN '' ELSE l_returnflag END AS r FROM lineitem) WHERE s IS NOT NULL AND s <> '' AND r IS NOT NULL AND r <> ''")

@@ -142,9 +142,6 @@ def _(t):
     return _days(stats.billing_stats(t.lineitem, ["l_suppkey", "l_partkey"], "l_extendedprice", "l_shipdate"))
 
 
-COMBO_ORDER = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
-
-
 @query("combo_means", f"""
 SELECT l_suppkey, l_partkey,
   struct_extract(min(struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber, v := l_returnflag)), 'v') AS l_returnflag,
@@ -153,7 +150,8 @@ SELECT l_suppkey, l_partkey,
 FROM lineitem GROUP BY 1, 2""")
 def _(t):
     out = stats.combo_means(
-        t.lineitem, ["l_suppkey", "l_partkey"], ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"], COMBO_ORDER
+        t.lineitem, ["l_suppkey", "l_partkey"], ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"],
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber"),
     )
     return out.withColumns({c: stats.round_to(F.col(c), 4) for c in ("l_quantity", "l_extendedprice")})
 
