@@ -337,6 +337,14 @@ def select_features(df: DataFrame, target: str) -> tuple[list[str], list[str]]:
 
 # Imputation
 
+def smallest_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Most frequent value per column, the smallest of equals; values are counted before columns are compared."""
+    tall = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    counts = tall.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"))
+    return {r["column"]: r["b"]["value"] for r in best.collect()}
+
+
 def impute(df: DataFrame, numeric: list[str], timestamps: list[str] = (), categorical: list[str] = ()) -> DataFrame:
     """Drop empty rows, coerce, then fill numbers with the median and categories with the smallest mode."""
     typed = df.na.drop("all").withColumns({
@@ -346,8 +354,8 @@ def impute(df: DataFrame, numeric: list[str], timestamps: list[str] = (), catego
     medians = exact_quantiles(typed, list(numeric), (0.5,)) if numeric else {}
     fills = {c: F.coalesce(F.col(c), F.lit(medians[c][0])) for c in numeric}
     if categorical:
-        modes = typed.agg(*[F.mode(c, deterministic=True).alias(c) for c in categorical]).first()
-        fills.update({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in categorical if modes[c] is not None})
+        modes = smallest_modes(typed, list(categorical))
+        fills.update({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in categorical if c in modes})
     return typed.withColumns(fills)
 
 

@@ -19,6 +19,8 @@ from brindle.functions.text import question_terms
 from brindle.session import written
 
 QUERY_BLOCK = 1024
+# questions per block and texts per slice of the term search, which keep its matrices at a few megabytes
+TERM_BLOCK, TEXT_SLICE = 256, 512
 SCORE_DIGITS = 9
 BROADCAST_HITS = 200_000
 CONTEXT_CHARS, CONTEXT_RULE = 1500, "\n\n---\n\n"
@@ -148,21 +150,25 @@ def _term_scorer(place: dict[str, int], weights: np.ndarray) -> Callable[[pd.Ser
 
     def score(texts: pd.Series) -> np.ndarray:
         known: dict[str, list[int]] = {}
-        present = np.zeros((len(texts), len(place)))
-        for row, text in zip(present, texts):
-            for word in set(text.split()):
-                hits = known.get(word)
-                if hits is None:
-                    hits = known[word] = terms_in(word)
-                row[hits] = 1.0
-        return weights @ present.T
+        parts = []
+        for start in range(0, len(texts), TEXT_SLICE):
+            some = texts.iloc[start : start + TEXT_SLICE]
+            present = np.zeros((len(some), len(place)), dtype=np.float32)
+            for row, text in zip(present, some):
+                for word in set(text.split()):
+                    hits = known.get(word)
+                    if hits is None:
+                        hits = known[word] = terms_in(word)
+                    row[hits] = 1.0
+            parts.append(weights @ present.T)
+        return np.concatenate(parts, axis=1).astype(float)
 
     return score
 
 
 def keyword_search(
     queries: DataFrame, chunks: DataFrame, query_key: str, question: str, chunk_key: str, text: str,
-    newest: str, k: int = 5, block: int = QUERY_BLOCK,
+    newest: str, k: int = 5, block: int = TERM_BLOCK,
 ) -> DataFrame:
     """Chunks holding most of a question's terms; a question without terms gets the newest chunks."""
     types = f"query_id {_type(queries, query_key)}, chunk_id {_type(chunks, chunk_key)}"
@@ -172,7 +178,7 @@ def keyword_search(
     for found in query_blocks(asked.filter(F.size("terms") > 0), "q", block):
         vocabulary = sorted({term for terms in found["terms"] for term in terms})
         place = {term: i for i, term in enumerate(vocabulary)}
-        weights = np.zeros((len(found), len(vocabulary)))
+        weights = np.zeros((len(found), len(vocabulary)), dtype=np.float32)
         for row, terms in enumerate(found["terms"]):
             for term in terms:
                 weights[row, place[term]] += 1
