@@ -180,7 +180,12 @@ def _(t):
     return S.impute(holes, ["price"], (), ["priority"]).withColumn("price", F.round("price", 6))
 
 
-@query("schema_score", "SELECT count(*) AS columns_checked, 62.5::DOUBLE AS accuracy, false AS meets_target FROM (SELECT DISTINCT o_orderkey % 4 FROM orders)")
+@query("schema_score", f"""
+WITH u AS ({UNTYPED[1:-1]}),
+p AS (SELECT CASE WHEN count(TRY_CAST(price AS DOUBLE)) = count(price) THEN 0.0 ELSE 1.0 END AS point FROM u
+ UNION ALL SELECT CASE WHEN count(DISTINCT status) < 50 AND count(DISTINCT status) < 0.5 * count(*) THEN 1.0 ELSE 0.5 END FROM u
+ UNION ALL SELECT CASE WHEN count(o_orderdate) = count(*) THEN 1.0 ELSE 0.0 END FROM orders UNION ALL SELECT 0.5 FROM (SELECT count(*) FROM u))
+SELECT count(*) AS columns_checked, {rd('avg(point) * 100', 2)} AS accuracy, avg(point) * 100 > 90 AS meets_target FROM p""")
 def _(t):
     df = as_text(t).select("o_orderkey", "price", "status", F.col("ordered").alias("placed"), F.col("gaps").alias("gap_code"))
     # price is numeric text (0), status categorical (1), placed a time (1), gap_code an identifier (0.5), so (0+1+1+0.5)/4

@@ -213,7 +213,7 @@ def _(t):
     return run_spec(t.orders, spec)
 
 
-@query("list_limit", "SELECT 50 AS asked, 50 AS n FROM orders LIMIT 1")
+@query("list_limit", "SELECT 50 AS asked, CAST(count(*) AS INTEGER) AS n FROM (SELECT o_orderkey FROM orders LIMIT 50)")
 def _(t):
     listed = run_spec(t.orders, QuerySpec(columns=("o_orderkey",), limit=LIST_LIMIT))
     return listed.agg(F.count("*").cast("int").alias("n")).select(F.lit(LIST_LIMIT).alias("asked"), "n")

@@ -27,24 +27,21 @@ def replay_sliding(rows, limits):
 
 
 def replay_fixed(rows, limits):
-    state, out = {}, {}
+    """Counts recomputed from the list of accepted calls; a window is only a start time."""
+    accepted, starts, out = {}, {}, {}
     for i, (c, now) in sorted(enumerate(rows), key=lambda x: (x[1][1], x[0])):
-        s = state.setdefault(c, {"m": now, "mc": 0, "h": now, "hc": 0, "b": []})
-        if now - s["m"] > limits.minute[1] * SECOND:
-            s["m"], s["mc"] = now, 0
-        if now - s["h"] > limits.hour[1] * SECOND:
-            s["h"], s["hc"] = now, 0
-        s["b"] = [t for t in s["b"] if now - t < limits.burst[1] * SECOND]
-        if len(s["b"]) >= limits.burst[0]:
-            out[i] = "burst"
-        elif s["mc"] >= limits.minute[0]:
-            out[i] = "minute"
-        elif s["hc"] >= limits.hour[0]:
-            out[i] = "hour"
-        else:
-            out[i] = None
-            s["mc"], s["hc"] = s["mc"] + 1, s["hc"] + 1
-            s["b"].append(now)
+        mine = accepted.setdefault(c, [])
+        broken = ["burst"] if sum(now - t < limits.burst[1] * SECOND for t, _ in mine) >= limits.burst[0] else []
+        for name, (most, seconds) in (("minute", limits.minute), ("hour", limits.hour)):
+            begun, _ = starts.get((c, name), (None, None))
+            if begun is None or now - begun > seconds * SECOND:
+                starts[c, name] = (now, i)
+            opened = starts[c, name]
+            if sum((t, k) >= opened for t, k in mine) >= most:
+                broken.append(name)
+        out[i] = broken[0] if broken else None
+        if not broken:
+            mine.append((now, i))
     return out
 
 

@@ -47,30 +47,28 @@ def test_long_words_do_not_stop_progress():
 
 
 def pack(text, size):
-    """Sentence packing as a state machine over single words and sentences."""
-    chunks, open_parts, used = [], [], 0
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        sentence = sentence.strip()
-        if not sentence:
-            continue
-        if len(sentence) > size:
-            if open_parts:
-                chunks.append(" ".join(open_parts))
-            open_parts, used = [], 0
-            for word in sentence.split():
-                open_parts.append(word)
-                used += len(word) + 1
-                if used >= size:
-                    chunks.append(" ".join(open_parts))
-                    open_parts, used = [], 0
-        elif used + len(sentence) + 1 > size:
-            if open_parts:
-                chunks.append(" ".join(open_parts))
-            open_parts, used = [sentence], len(sentence)
-        else:
-            open_parts.append(sentence)
-            used += len(sentence) + 1
-    return chunks + ([" ".join(open_parts)] if open_parts else [])
+    """Sentence packing as a fold over tagged pieces: a long sentence is a break followed by its words."""
+    def pieces():
+        for sentence in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", text))):
+            if len(sentence) <= size:
+                yield "sentence", sentence
+            else:
+                yield "break", ""
+                yield from (("word", w) for w in sentence.split())
+
+    groups, cost = [[]], 0
+    for kind, piece in pieces():
+        fresh = kind == "break" or (kind == "sentence" and cost + len(piece) + 1 > size)
+        if fresh:
+            groups.append([])
+            cost = -1 if kind == "sentence" else 0
+        if kind != "break":
+            groups[-1].append(piece)
+            cost += len(piece) + 1
+        if kind == "word" and cost >= size:
+            groups.append([])
+            cost = 0
+    return [" ".join(g) for g in groups if g]
 
 
 @pytest.mark.parametrize("size", [40, 120, 512])
