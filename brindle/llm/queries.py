@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact
+from brindle.llm import exact, framed
+from brindle.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +37,9 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM low WINDOW w AS (PARTITION BY low)""")
 def _(spark, folder):
     return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op1_framed_tokens")
+def _(spark, folder):
+    out = fresh_path(spark, "records")
+    return framed.read_digests(framed.write_records(table(spark, folder, "documents"), out), out)
