@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact, framed
+from brindle.llm import exact, framed, htmltext, langid, mixing, packing
 from brindle.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,23 @@ def _(spark, folder):
 def _(spark, folder):
     out = fresh_path(spark, "records")
     return framed.read_digests(framed.write_records(table(spark, folder, "documents"), out), out)
+
+
+@query("op8_pack_documents")
+def _(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op10_language_id")
+def _(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
+
+
+@query("op7_html_text")
+def _(spark, folder):
+    return htmltext.extract_pages(table(spark, folder, "pages"))
+
+
+@query("op9_mix_sources")
+def _(spark, folder):
+    return mixing.mix_report(table(spark, folder, "documents"))
