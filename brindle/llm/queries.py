@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact, framed, htmltext, langid, mixing, packing
+from brindle.llm import exact, framed, htmltext, langid, licenses, linejoin, minhash, mixing, packing
 from brindle.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,45 @@ def _(spark, folder):
 @query("op9_mix_sources")
 def _(spark, folder):
     return mixing.mix_report(table(spark, folder, "documents"))
+
+
+@query("op3_minhash")
+def _(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle=4)
+
+
+def _license_sql() -> str:
+    """Sentences as rows, joined to the known ones, their signs put together again per document."""
+    known = ", ".join(f"('{s}', '{sign}')" for s, sign in licenses.known_plain().items())
+    signs = dict(zip(licenses.SENTENCES, licenses.known_plain().values()))
+    left, counts = "signs", []
+    for rule, license_, parts in licenses.RULES:
+        sequence = "".join(signs[p] for p in parts)
+        counts.append(f"SELECT doc_id, n_known, '{license_}' AS license, '{rule}' AS rule, "
+                      f"CAST((length({left}) - length(replace({left}, '{sequence}', ''))) / {len(parts)} AS BIGINT) AS n_matches FROM per_doc")
+        left = f"replace({left}, '{sequence}', '{licenses.USED}')"
+
+    def plain(x):
+        return rf"trim(regexp_replace(lower({x}), '{licenses.NOT_WORD}', ' ', 'g'))"
+
+    return rf"""
+WITH known(sentence, sign) AS (VALUES {known}),
+cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+|\n\s*\n', '\1' || chr(30), 'g'), chr(30)) AS parts FROM documents),
+whole AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut),
+named AS (SELECT doc_id, i, part, sign FROM whole LEFT JOIN known ON sentence = {plain('part')}),
+line AS (SELECT doc_id, i, unnest(string_split(part, chr(10))) AS part, generate_subscripts(string_split(part, chr(10)), 1) AS j
+         FROM named WHERE sign IS NULL AND contains(part, chr(10))),
+hit AS (SELECT doc_id, i, 0 AS j, sign FROM named WHERE sign IS NOT NULL
+        UNION ALL SELECT doc_id, i, j, known.sign FROM line JOIN known ON sentence = {plain('part')}),
+per_doc AS (SELECT doc_id, string_agg(sign, '' ORDER BY i, j) AS signs, count(*) AS n_known FROM hit GROUP BY doc_id)
+SELECT doc_id, license, rule, n_matches, n_known FROM ({' UNION ALL '.join(counts)}) WHERE n_matches > 0"""
+
+
+@query("op4_license_rules", _license_sql())
+def _(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op2_line_dedup")
+def _(spark, folder):
+    return linejoin.removed_lines(linejoin.line_matches(table(spark, folder, "documents")))
