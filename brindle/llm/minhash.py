@@ -23,6 +23,8 @@ SHINGLE, PERCENT = 5, 80
 # With these, two sets of similarity 0.8 miss each other with a chance of 4 in 10,000, of 0.85 with 2 in 100,000.
 SIDE, ROWS = 12, 3
 SEED = 7
+# Buckets by which shingles are ordered: a table of fixed size. Any order gives the same pairs.
+BUCKETS = 1 << 16
 SIGNATURE = "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>"
 
 
@@ -96,27 +98,74 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
         F.least("class_id", "end.class_id").alias("a"), F.greatest("class_id", "end.class_id").alias("b")).distinct()
 
 
-def open_pairs(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a table but are not known to be connected.
-
-    Tables whose classes are all connected are done. In the others, classes of different components meet; those of one component
-    never do, so a group of copies does not meet itself.
-    """
+def open_classes(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(class_id, of) of the classes that share a table with a class of another component, with their own component."""
     now = rows.join(found, rows["class_id"] == found["node"], "left").select(
-        "table", "class_id", "n", F.coalesce("component", "class_id").alias("of"))
+        "table", "class_id", F.coalesce("component", "class_id").alias("of"))
     split = now.groupBy("table").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("table")
-    now = written(now.join(split, "table", "left_semi"), "open")
-    one = now.select("table", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("of").alias("fa"))
-    two = now.select("table", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("of").alias("fb"))
-    met = one.join(two, "table").filter((F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb")) & _fits("na", "nb", percent))
-    return met.select("a", "b").distinct()
+    return now.join(split, "table", "left_semi").select("class_id", "of").distinct()
+
+
+def _bucket_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of the texts fall into each of a fixed number of hash buckets."""
+
+    def count(batches):
+        for batch in batches:
+            sums = np.zeros(BUCKETS, np.int64)
+            for hashes in shingle_sets(batch.column(0), shingle):
+                np.add.at(sums, hashes % np.uint64(BUCKETS), 1)
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sums[used])], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for row in texts.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[row["bucket"]] = row["n"]
+    return out
+
+
+def open_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may reach the similarity; ``texts`` is (class_id, of, text).
+
+    An exact filter: ordered by rarity, two sets of that similarity share one of their first shingles, as many as may differ and one
+    more. A passage that very many texts share is not among the rarest parts of a text unless it is nearly all of it. Within a
+    shingle a class meets the classes of the other components only, so groups of copies do not meet themselves.
+    """
+    counts = _bucket_counts(texts, shingle)
+
+    def prefixes(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                sets = shingle_sets(some.column(2), shingle)
+                heads = []
+                for one in sets:
+                    held = len(one) + (-percent * len(one)) // 100 + 1
+                    order = np.lexsort((one, counts[(one % np.uint64(BUCKETS)).astype(np.int64)]))
+                    heads.append(one[order[:held]] if len(one) else one)
+                sizes = [len(h) for h in heads]
+                owner = np.repeat(np.arange(len(sets)), sizes)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([
+                    some.column(0).take(take), some.column(1).take(take), pa.array(np.array([len(x) for x in sets], np.int64)[owner]),
+                    pa.array(np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)),
+                ], names=["class_id", "of", "n", "shingle"])
+
+    rows = texts.select("class_id", "of", "text").mapInArrow(prefixes, "class_id bigint, of bigint, n bigint, shingle bigint")
+    rows = written(rows, "prefixes")
+    split = rows.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("shingle")
+    rows = written(rows.join(split, "shingle", "left_semi"), "prefixes")
+    others = rows.select("shingle", F.col("of").alias("other")).distinct()
+    asking = rows.join(others, "shingle").filter("of < other").select("shingle", "other", F.col("class_id").alias("x"), F.col("n").alias("nx"))
+    asked = rows.select("shingle", F.col("of").alias("other"), F.col("class_id").alias("y"), F.col("n").alias("ny"))
+    met = asking.join(asked, ["shingle", "other"]).filter(_fits("nx", "ny", percent))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; ``texts`` is (class_id, text)."""
     one = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    rows = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b")
 
     def confirm(batches):
         for batch in batches:
@@ -140,7 +189,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows are linked when their sets of word shingles share ``percent`` percent of their union; A-Z are lowered, a text with fewer
     words than a shingle is one shingle. ``component_id`` is the smallest id reachable and ``kept`` marks that row.
     Equal sets form a class first and only classes are compared. In every table the smallest and the greatest class meet all
-    others; after that only classes that are still unconnected meet. Texts that are NULL, empty or without words are linked with
+    others. Classes that still share a table with an unconnected one are joined exactly, by their rarest shingles. Texts that are NULL, empty or without words are linked with
     nothing, and so are rows without an id, whose component is NULL. Repeated rows are answered alike; rows that share an id but
     not the text are one document that is linked by any of its texts. Empty tables give empty tables.
     """
@@ -150,22 +199,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     shared = written(tables(classes), "tables")
 
-    first = written(pivot_pairs(shared, percent), "pairs")
+    # All texts that any later step looks at, in one join; it never turns into a broadcast, so it costs alike at every size.
+    met = shared.select("class_id").distinct().hint("merge")
     own = docs.select(F.col(doc_id).cast("bigint").alias("class_id"), F.col(text).alias("text"))
+    texts = written(own.join(met, "class_id", "left_semi"), "texts")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-        return written(own.join(named, "class_id", "left_semi"), "texts")
-
-    links = written(confirmed(first, texts_of(first), shingle, percent), "confirmed")
+    first = written(pivot_pairs(shared, percent), "pairs")
+    links = written(confirmed(first, texts, shingle, percent), "confirmed")
     found = components(links)
-    second = written(open_pairs(shared, found, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(written(confirmed(second, texts_of(second), shingle, percent), "confirmed"))
-        found = components(links)
+    unsettled = written(open_classes(shared, found), "open")
+    if not unsettled.isEmpty():
+        apart = written(texts.join(unsettled.hint("merge"), "class_id").select("class_id", "of", "text"), "texts")
+        second = open_pairs(apart, shingle, percent)
+        second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
+        if not second.isEmpty():
+            links = links.unionByName(written(confirmed(second, texts, shingle, percent), "confirmed"))
+            found = components(links)
     members = classes.join(found, F.col("class_id") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "class_id").alias("component"))
     out = signs.join(members, "set_key", "left")
     alone = F.col("set_key").isNull() | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component left, the one with the smallest id; all columns stay.
+
+    Rows without an id stay. Only the ids that go meet the documents.
+    """
+    flags = near_duplicates(docs, doc_id, text, **options)
+    gone = written(flags.filter("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct(), "gone")
+    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import exact, framed, htmltext, langid, licenses, linejoin, minhash, mixing, packing
+from brindle.llm import exact, framed, htmltext, langid, licenses, linejoin, minhash, mixing, neighbours, packing
 from brindle.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,8 @@ def _(spark, folder):
 @query("op2_line_dedup")
 def _(spark, folder):
     return linejoin.removed_lines(linejoin.line_matches(table(spark, folder, "documents")))
+
+
+@query("op6_nearest_neighbours")
+def _(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)

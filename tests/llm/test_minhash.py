@@ -91,7 +91,19 @@ def test_chains_of_links(spark):
 
 
 def test_unconnected_classes_meet_after_the_pivots(spark):
-    rows = [(1, i, 10) for i in (3, 5, 8, 9)]
+    rows = spark.createDataFrame([(1, i, 10) for i in (3, 5, 8, 9)] + [(2, 3, 10), (2, 9, 10)], "table long, class_id long, n long")
     found = spark.createDataFrame([(3, 3), (9, 3)], "node long, component long")
-    open_ = minhash.open_pairs(spark.createDataFrame(rows, "table long, class_id long, n long"), found, 80)
-    assert {tuple(r) for r in open_.collect()} == {(3, 5), (3, 8), (5, 8), (5, 9), (8, 9)}
+    assert {tuple(r) for r in minhash.open_classes(rows, found).collect()} == {(3, 3), (9, 3), (5, 5), (8, 8)}
+    assert minhash.open_classes(rows.filter("table = 2"), found).isEmpty()
+
+
+def test_rare_shingles_lead_to_all_similar_pairs(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(rng.choices([f"w{i}" for i in range(500)], k=70)) for _ in range(40)]
+    texts += [t + " end" for t in texts[:15]]
+    rows = [(i, i if i < 50 else 0, t) for i, t in enumerate(texts)]
+    got = {tuple(r) for r in minhash.open_pairs(spark.createDataFrame(rows, "class_id long, of long, text string"), 4, 80).collect()}
+    sets = [shingles(t, 4) for t in texts]
+    want = {(i, j) for i in range(55) for j in range(i + 1, 55) if rows[i][1] != rows[j][1] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert want <= got and len(got) < 3 * len(want)
