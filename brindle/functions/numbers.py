@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def round_to(value: Column, digits: int) -> Column:
     """Half-up rounding on the decimal value, so that 2.675 gives 2.68 whatever the float noise."""
-    return F.round(value.try_cast("decimal(38,8)"), digits).cast("double")
+    exact = F.round(value.try_cast("decimal(38,8)"), digits).cast("double")
+    # what the decimal cannot hold has no digits behind the point
+    return F.coalesce(exact, F.when(F.abs(value.cast("double")) >= 1e29, F.round(value.cast("double"), digits)))
 
 
 def share_pct(part: Column, whole: Column, digits: int = 1) -> Column:

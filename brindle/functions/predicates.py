@@ -38,7 +38,6 @@ INJECTION_PATTERNS = (
 )
 MAX_QUESTION_CHARS = 10_000
 MAX_FIELD_CHARS = 5_000
-MAX_SELECT_ROWS = 10_000
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -96,15 +95,15 @@ def safe_predicate(df: DataFrame, column: str, op: str, value=None) -> Column |
 
 def safe_select(
     df: DataFrame, columns: list[str], conditions: list[Column | None] = (),
-    order_by: str | None = None, limit: int = 100, ties: tuple[str, ...] = (),
+    order_by: str | None = None, limit: int | None = None, ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Known columns (all when none is known), AND of conditions, one descending sort, hard row cap."""
+    """Known columns (all when none is known), AND of conditions, one descending sort, a limit only when asked for."""
     names = {c.lower() for c in df.columns}
     kept = [c for c in columns if c.lower() in names] or df.columns
     out = df.filter(all_of([c for c in conditions if c is not None]))
     if order_by and order_by.lower() in names:
         out = out.orderBy(F.desc(order_by), *ties)
-    return out.limit(min(limit, MAX_SELECT_ROWS)).select(*kept)
+    return (out if limit is None else out.limit(limit)).select(*kept)
 
 
 def _any_injection(body: Column) -> Column:

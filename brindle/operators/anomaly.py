@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.numbers import round_to, severity_forest, severity_z
@@ -15,7 +16,6 @@ from brindle.session import written
 
 Z_LIMIT, FENCE = 3.0, 1.5
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.1, 42
-QUANTILE_ACCURACY = 100_000
 
 
 def zscores(df: DataFrame, ids: list[str], columns: list[str], limit: float = Z_LIMIT) -> DataFrame:
@@ -90,6 +90,8 @@ def anomaly_report(hits: DataFrame, total: Column, method: str, severity: str =
 
 # Isolation forest
 
+TREE = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, length array<double>"
+
 def _path_constant(n: np.ndarray | float) -> np.ndarray:
     """Mean depth of an unsuccessful search among n points."""
     n = np.asarray(n, dtype=float)
@@ -150,7 +152,7 @@ def fit_forest(df: DataFrame, ids: list[str], columns: list[str], trees: int = T
         return pd.DataFrame({"tree": [key[0]], **{k: [v] for k, v in _grow(ordered, seed + key[0]).items()}})
 
     grown = drawn.groupBy("tree").applyInPandas(
-        grow, "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, length array<double>"
+        grow, TREE
     )
     return [r.asDict() for r in grown.orderBy("tree").collect()]
 
@@ -180,19 +182,67 @@ def forest_score(trees: list[dict], columns: list[str], sample: int) -> Column:
     return score(*[F.col(c).cast("double") for c in columns])
 
 
-def forest_scores(df: DataFrame, ids: list[str], columns: list[str], share: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
-    """Every row's (ids, score, anomaly); score is shifted so that the strangest ``share`` is below 0."""
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest: its trees, the columns with the values that stand for missing ones, and the cut of the scores."""
+
+    trees: list[dict]
+    columns: list[str]
+    fills: list[float]
+    sample: int
+    offset: float
+
+
+def _filled(df: DataFrame, ids: list[str], columns: list[str], fills: list[float]) -> DataFrame:
+    return df.select(*ids, *[F.coalesce(F.col(c).cast("double"), F.lit(x)).alias(c) for c, x in zip(columns, fills)])
+
+
+def _judged(raw: DataFrame, ids: list[str], offset: float) -> DataFrame:
+    shifted = raw.withColumn("score", F.col("_raw") - F.lit(offset))
+    return shifted.select(*ids, "score", (F.col("score") < 0).alias("anomaly"))
+
+
+def fit_scores(
+    df: DataFrame, ids: list[str], columns: list[str], share: float = CONTAMINATION, seed: int = SEED
+) -> tuple[Forest, DataFrame]:
+    """The forest and every row's (ids, score, anomaly); the cut is the exact ``share`` quantile of the scores."""
     medians = exact_quantiles(df, columns, (0.5,))
-    filled = df.select(*ids, *[
-        F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0]), F.lit(0.0)).alias(c) for c in columns
-    ])
+    fills = [medians[c][0] or 0.0 for c in columns]
+    filled = _filled(df, ids, columns, fills)
     size = min(SAMPLE, filled.limit(SAMPLE).count())
     trees = fit_forest(filled, ids, columns, seed=seed)
     # scored once: the cut and the result both read the written scores
     raw = written(filled.select(*ids, forest_score(trees, columns, size).alias("_raw")), "scores")
-    offset = raw.agg(F.percentile_approx("_raw", share, QUANTILE_ACCURACY)).scalar()
-    shifted = raw.withColumn("score", F.col("_raw") - offset)
-    return shifted.select(*ids, "score", (F.col("score") < 0).alias("anomaly"))
+    offset = exact_quantiles(raw, ["_raw"], (share,))["_raw"][0] or 0.0
+    return Forest(trees, list(columns), fills, size, offset), _judged(raw, ids, offset)
+
+
+def forest_scores(df: DataFrame, ids: list[str], columns: list[str], share: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
+    """Every row's (ids, score, anomaly); score is shifted so that the strangest ``share`` is below 0."""
+    return fit_scores(df, ids, columns, share, seed)[1]
+
+
+def score_with(forest: Forest, df: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, score, anomaly) by a forest fitted before."""
+    filled = _filled(df, ids, forest.columns, forest.fills)
+    return _judged(filled.select(*ids, forest_score(forest.trees, forest.columns, forest.sample).alias("_raw")), ids, forest.offset)
+
+
+ABOUT = "columns array<string>, fills array<double>, sample int, offset double"
+
+
+def save_forest(spark: SparkSession, forest: Forest, path: str) -> None:
+    """One row per tree and one about the forest, below ``path``."""
+    names = [part.split()[0] for part in TREE.split(", ")]
+    spark.createDataFrame([tuple(t[n] for n in names) for t in forest.trees], TREE).write.parquet(f"{path}/trees")
+    about = [(forest.columns, [float(x) for x in forest.fills], int(forest.sample), float(forest.offset))]
+    spark.createDataFrame(about, ABOUT).write.parquet(f"{path}/about")
+
+
+def load_forest(spark: SparkSession, path: str) -> Forest:
+    about = spark.read.schema(ABOUT).parquet(f"{path}/about").first()
+    trees = [r.asDict() for r in spark.read.schema(TREE).parquet(f"{path}/trees").orderBy("tree").collect()]
+    return Forest(trees, about["columns"], about["fills"], about["sample"], about["offset"])
 
 
 def anomaly_iforest(df: DataFrame, ids: list[str], columns: list[str], share: float = CONTAMINATION, seed: int = SEED) -> DataFrame:

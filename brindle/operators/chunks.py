@@ -36,38 +36,35 @@ def word_spans(words: list[str], size: int, overlap: int) -> list[tuple[int, int
 
 
 def sentence_pieces(text: str, size: int) -> list[str]:
-    """Sentences packed up to ``size``; a longer sentence is cut by words and its rest is packed on."""
-    done: list[str] = []
-    held: list[str] = []
-    used = 0
-
-    def close() -> None:
-        if held:
-            done.append(" ".join(held))
-            held.clear()
-
+    """Sentences packed up to ``size``; a longer sentence is cut by words, which starts a new piece, and its rest is packed on.
+
+    A unit is a sentence or a cut of one, its cost the room it takes with the separator (two more for cuts). A piece
+    reaches as far as the running cost allows, or to the next cut. It has one character less where nothing was left over from
+    before: at the start and after a full cut.
+    """
+    units: list[str] = []
+    costs: list[int] = []
+    cuts: list[int] = []
     for sentence in filter(None, (s.strip() for s in _SENTENCE_END.split(text))):
-        if len(sentence) > size:
-            close()
-            words = sentence.split()
-            spans, total = word_spans(words, size, 0), _ends(words)
-            first, last = spans[-1]
-            used = int(total[last] - total[first])
-            if used < size:
-                held += words[first:last]
-                spans = spans[:-1]
-            else:
-                used = 0
-            done += [" ".join(words[a:b]) for a, b in spans]
-        elif used + len(sentence) + 1 > size:
-            close()
-            held.append(sentence)
-            used = len(sentence)
-        else:
-            held.append(sentence)
-            used += len(sentence) + 1
-    close()
-    return done
+        if len(sentence) <= size:
+            units.append(sentence)
+            costs.append(len(sentence) + 1)
+            continue
+        words = sentence.split()
+        for first, last in word_spans(words, size, 0):
+            cuts.append(len(units))
+            units.append(" ".join(words[first:last]))
+            costs.append(len(units[-1]) + 2)
+    total, pieces, at = np.concatenate(([0], np.cumsum(costs))), [], 0
+    bounds = np.array([*cuts, len(units)])
+    is_cut = set(cuts)
+    while at < len(units):
+        clean = at not in is_cut and (at == 0 or at - 1 in is_cut and costs[at - 1] > size)
+        reached = int(np.searchsorted(total, total[at] + size + (not clean), side="right")) - 1
+        end = min(max(reached, at + 1), int(bounds[np.searchsorted(bounds, at, side="right")]))
+        pieces.append(" ".join(units[at:end]))
+        at = end
+    return pieces
 
 
 def _cutter(cut: Callable[[str], list[str]]):

@@ -24,9 +24,6 @@ SEED, TRAIN_SHARE = 42, 0.8
 MIN_CLASSIFIER_ROWS, MIN_REGRESSOR_ROWS = 50, 10
 UNKNOWN = "Unknown"
 PERFECT = 0.99
-HASH_BINS = 65_536
-SCORE_BINS = 4_096
-PREFIXES, SLOT_LABELS = (2, 4, 8, 16, 32), 1_000_000
 TREE_MEMORY_MB = 1_024
 
 
@@ -52,18 +49,9 @@ def binary_target(df: DataFrame, column: str, out: str = "label") -> DataFrame:
 
 
 def label_table(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): alphabetical codes from 0, nulls as one more value.
-
-    Codes are counted per leading characters and shifted by the counts before them. The prefix grows
-    until no group is large, so a column with very many values is never ordered in one task.
-    """
+    """(value, code): alphabetical codes from 0, nulls as one more value; numbered by ranges, never in one task."""
     found = df.select(F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN)).alias("value")).distinct()
-    values = written(found, "labels")
-    for prefix in PREFIXES:
-        largest = values.groupBy(F.left("value", F.lit(prefix))).count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= SLOT_LABELS:
-            break
-    return with_position(values, [], [F.asc("value")], F.left("value", F.lit(prefix)), out="code")
+    return with_position(found, [], [F.asc("value")], out="code")
 
 
 def encode_labels(df: DataFrame, columns: list[str], tables: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -92,7 +80,7 @@ def split_stratified(
     """
     hashed = df.withColumns({
         "_h": _hash(ids, seed),
-    }).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    }).withColumn("_b", F.conv(F.substring("_h", 1, 5), 16, 10).cast("int"))
     counts = hashed.groupBy(F.col(label).alias("_class"), "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.floor(F.sum("_n").over(Window.partitionBy("_class")) * share + 0.5)
@@ -120,21 +108,23 @@ def _by_score(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def _area(per: DataFrame) -> DataFrame:
-    """The negatives below a score are those of lower score bins (a table of at most ``SCORE_BINS``
-    rows) plus those before it inside its own bin."""
-    placed = per.withColumn("bin", F.floor(clip(F.col("s"), 0.0, 1.0) * (SCORE_BINS - 1)).cast("int"))
-    bins = placed.groupBy("bin").agg(F.sum("n").alias("bn"))
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bins.select("bin", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("below"))
-    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "bin")
+    """The negatives below a score are those of lower ranges of scores plus those before it in its own range. The ranges
+    come from the scores, so scores crowded in one place are spread like any others."""
+    parts = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(per.repartitionByRange(parts, "s").withColumn("range", F.spark_partition_id()), "scores")
+    ranges = dealt.groupBy("range").agg(F.sum("n").alias("bn"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("range", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("below"))
+    inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    ranked = dealt.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "range")
     pairs = F.sum(F.col("p").cast("double") * (F.col("below") + F.col("within") + F.col("n") / 2.0))
     total = F.sum("p").cast("double") * F.sum("n").cast("double")
     return ranked.agg(F.coalesce(F.try_divide(pairs, total), F.lit(0.5)).alias("auc"))
 
 
 def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the curve, ties at half weight, for scores in [0, 1]; 0.5 for a single class."""
+    """Exact area under the curve, ties at half weight; 0.5 for a single class."""
     return _area(_by_score(scored, label, score))
 
 
@@ -164,7 +154,7 @@ def fit_codes(df: DataFrame, categorical: list[str]) -> dict[str, DataFrame]:
     return {c: written(label_table(df, c), "codes") for c in categorical}
 
 
-def _numeric_stages(categorical: list[str], numeric: list[str]) -> tuple[list, list[str]]:
+def numeric_stages(categorical: list[str], numeric: list[str]) -> tuple[list, list[str]]:
     """Stages from coded columns and raw numbers to the feature vector; what is no number becomes 0."""
     names = [f"{c}_encoded" for c in categorical] + list(numeric)
     filled = ", ".join(f"coalesce(try_cast(`{c}` AS double), 0D) AS `{c}__num`" for c in names)
@@ -201,7 +191,7 @@ def train_classifier(
     codes = fit_codes(rows, categorical)
     split = split_stratified(rows, ids, "label", TRAIN_SHARE, seed)
     train, test = split.filter("is_train"), split.filter("NOT is_train")
-    stages, features = _numeric_stages(categorical, numeric)
+    stages, features = numeric_stages(categorical, numeric)
     prepared = PipelineModel(stages).transform(encode_labels(train, categorical, codes)).select("features", "label")
     fitted = _classifier(algorithm, seed).fit(prepared)
     model = PipelineModel(stages + [fitted])
@@ -299,7 +289,7 @@ def train_rate_regressor(
     codes = fit_codes(rows, categorical)
     split = split_stratified(rows.withColumn("_all", F.lit(1)), ids, "_all", TRAIN_SHARE, seed)
     coded = encode_labels(split, categorical, codes)
-    stages, features = _numeric_stages(categorical, numeric)
+    stages, features = numeric_stages(categorical, numeric)
     forest = RandomForestRegressor(labelCol=value, numTrees=100, maxDepth=10, seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
     fitted = forest.fit(PipelineModel(stages).transform(coded.filter("is_train")).select("features", value))
     model = PipelineModel(stages + [fitted])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.predicates import target_flag
 from brindle.functions.text import contains_any, matches, strip
 from brindle.plans.spec import (
-    COLUMN_ALIASES, DEFAULT_LIMIT, LIST_LIMIT, MAX_LIMIT, TOP_LIMIT, QuerySpec, resolve_term,
+    COLUMN_ALIASES, LIST_LIMIT, TOP_LIMIT, QuerySpec, resolve_term,
 )
 
 # Words that mark a question as one for the data, for the documents, or for both.
@@ -167,13 +167,13 @@ def route_questions(df: DataFrame, text: str) -> DataFrame:
 def tag_query_spec(df: DataFrame, text: str, compat: bool = False) -> DataFrame:
     """Adds agg, agg_term, outcome, contract, gender, senior, internet, group_by, order_term, descending, row_limit.
 
-    Aggregate words count as whole words. Negative outcomes are looked for before positive ones;
+    Aggregate words count as whole words, also in the plural. Only questions that rank, list or name a number get a limit. Negative outcomes are looked for before positive ones;
     ``compat`` looks for them after, so that "not churned" reads as positive.
     """
     low = strip(F.lower(text))
     agg = F.lit(None).cast("string")
     for name, words in reversed(AGGREGATE_WORDS.items()):
-        pattern = r"\b(" + "|".join(words) + r")\b"
+        pattern = r"\b(?:" + "|".join(words) + r")s?\b"
         agg = F.when(low.rlike(pattern), name).otherwise(agg)
     listing = contains_any(low, LIST_WORDS)
     negative, positive = contains_any(low, NEGATIVE_WORDS), contains_any(low, POSITIVE_WORDS)
@@ -183,13 +183,13 @@ def tag_query_spec(df: DataFrame, text: str, compat: bool = False) -> DataFrame:
     )
     female, male = F.contains(low, F.lit("female")), low.rlike(r"\bmales?\b")
     gender = F.when(female & ~male, "Female").when(~female & F.contains(low, F.lit("male")), "Male")
-    number = F.least(F.nullif(F.regexp_extract(low, r"\b(\d+)\b", 1), F.lit("")).try_cast("bigint"), F.lit(MAX_LIMIT))
+    number = F.nullif(F.regexp_extract(low, r"\b(\d+)\b", 1), F.lit("")).try_cast("int")
     top, bottom = contains_any(low, TOP_WORDS), contains_any(low, BOTTOM_WORDS)
     ranked = top | bottom
     limit = (
         F.when(ranked & number.isNotNull(), number)
         .when(listing & ~F.contains(low, F.lit("all")), LIST_LIMIT)
-        .when(ranked, TOP_LIMIT).otherwise(DEFAULT_LIMIT)
+        .when(ranked, TOP_LIMIT)
     )
     group = F.coalesce(_first_of(low, GROUP_WORDS), F.when(female & male, "gender"))
     order = F.when(contains_any(low, SORT_WORDS), F.coalesce(_first_of(low, ORDER_TERMS), F.lit("total")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.anomaly import forest_scores
+from brindle.operators.anomaly import Forest, fit_scores, load_forest, save_forest
 from brindle.operators.stats import data_fingerprint, score_stats
-from brindle.session import written
+from brindle.session import fresh_path, written
 
 MIN_GAIN = 0.05
 VERSIONS = "version string, model_path string, metrics map<string,double>, created_at timestamp, training_data_hash string, is_active boolean"
@@ -53,15 +55,26 @@ def rollback(registry: DataFrame, version: str) -> DataFrame:
 
 
 def retrain(
-    registry: DataFrame, df: DataFrame, ids: list[str], columns: list[str], model_path: str = "", min_gain: float = MIN_GAIN
+    registry: DataFrame, df: DataFrame, ids: list[str], columns: list[str], folder: str | None = None, min_gain: float = MIN_GAIN
 ) -> DataFrame:
-    """One monthly run: score the data with a new forest and record the version."""
-    scored = forest_scores(df, ids, columns)
+    """One monthly run: fit a new forest, save it below ``folder`` (the work folder by default) and record the version."""
+    spark = df.sparkSession
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else fresh_path(spark, "forest")
+    forest, scored = fit_scores(df, ids, columns)
+    save_forest(spark, forest, path)
     stats = score_stats(scored, "score", F.col("anomaly"))
     entries = [F.lit(x) if isinstance(x, str) else x for c in stats.columns for x in (c, F.col(c).cast("double"))]
     candidate = stats.select(F.create_map(*entries).alias("metrics")).withColumns({
         "training_data_hash": data_fingerprint(df, ids + columns).scalar(),
-        "model_path": F.lit(model_path), "created_at": F.current_timestamp(),
+        "model_path": F.lit(path), "created_at": F.current_timestamp(),
     })
     # the row is read several times below, and each read would train and score again
     return register(registry, written(candidate, "candidate"), min_gain)
+
+
+def active_forest(registry: DataFrame) -> Forest:
+    """The forest of the active version; ValueError when there is none."""
+    row = registry.filter("is_active").orderBy(F.desc("created_at")).select("model_path").first()
+    if row is None:
+        raise ValueError("no version is active")
+    return load_forest(registry.sparkSession, row["model_path"])

@@ -14,23 +14,24 @@ from brindle.functions.text import label_of, strip
 from brindle.operators.quantiles import exact_quantiles
 
 # Words that may not be column names as they are.
-RESERVED_COLUMNS = frozenset(
-    """count order group select from where join left right inner outer on and or not null true
-    false like in between case when then else end as by having limit offset union all distinct
-    index key primary foreign references table column create drop alter insert update delete
-    values""".split()
-)
-RESERVED_IDENTIFIERS = frozenset(
-    """add all alter and any as asc between by case check column constraint create cross current
-    database default delete desc distinct drop else end exists false for foreign from full grant
-    group having if in index inner insert into is join key left like limit not null offset on or
-    order outer primary references revoke right select set table then to true union unique update
-    values when where with""".split()
-)
+RESERVED_COLUMNS = frozenset((
+    "count", "order", "group", "select", "from", "where", "join", "left", "right", "inner", "outer", "on", "and",
+    "or", "not", "null", "true", "false", "like", "in", "between", "case", "when", "then", "else", "end", "as",
+    "by", "having", "limit", "offset", "union", "all", "distinct", "index", "key", "primary", "foreign",
+    "references", "table", "column", "create", "drop", "alter", "insert", "update", "delete", "values",
+))
+RESERVED_IDENTIFIERS = frozenset((
+    "add", "all", "alter", "and", "any", "as", "asc", "between", "by", "case", "check", "column", "constraint",
+    "create", "cross", "current", "database", "default", "delete", "desc", "distinct", "drop", "else", "end",
+    "exists", "false", "for", "foreign", "from", "full", "grant", "group", "having", "if", "in", "index", "inner",
+    "insert", "into", "is", "join", "key", "left", "like", "limit", "not", "null", "offset", "on", "or", "order",
+    "outer", "primary", "references", "revoke", "right", "select", "set", "table", "then", "to", "true", "union",
+    "unique", "update", "values", "when", "where", "with",
+))
 MAX_IDENTIFIER = 128
 
-# How many leading values decide a text column's type, and the share that must be numeric.
-SAMPLE_ROWS, NUMERIC_SHARE = 100, 0.8
+# Fixed value: the share of values that must be numeric for a text column to count as one.
+NUMERIC_SHARE = 0.8
 
 # Date spellings, and name parts of identifiers and of target columns.
 DATE_PATTERNS = (
@@ -41,7 +42,7 @@ DATE_PATTERNS = (
 )
 IDENTIFIER_WORDS = ("id", "code", "number", "key", "ref", "uuid")
 TARGET_WORDS = ("total", "count", "amount", "revenue", "sales", "cost", "price", "quantity", "volume")
-CATEGORY_SHARE, CATEGORY_LIMIT, DATE_SAMPLE = 0.5, 50, 10
+CATEGORY_SHARE, CATEGORY_LIMIT = 0.5, 50
 
 # Name parts that keep a column out of a model.
 NOT_FEATURES = ("id", "customer", "employee", "user", "client", "date", "timestamp", "upload", "source", "file")
@@ -98,10 +99,13 @@ def leading_values(df: DataFrame, columns: list[str], order: str, count: int) ->
 
 
 def infer_types(
-    df: DataFrame, order: str, columns: list[str] | None = None,
-    sample: int = SAMPLE_ROWS, share: float = NUMERIC_SHARE,
+    df: DataFrame, order: str | None = None, columns: list[str] | None = None,
+    sample: int | None = None, share: float = NUMERIC_SHARE,
 ) -> DataFrame:
-    """(column, type): typed columns keep their type, text columns are judged by a leading sample."""
+    """(column, type): typed columns keep their type, text columns are judged by all their values in one scan.
+
+    ``sample`` judges by that many leading values in the order of ``order`` instead; values behind them may then not fit.
+    """
     fixed, text = [], []
     for field in df.schema:
         if columns is not None and field.name not in columns:
@@ -113,17 +117,20 @@ def infer_types(
     if not text:
         return known
     names = [name for name, _ in text]
-    x = number_of(F.col("value"))
-    judged = leading_values(df, names, order, sample).groupBy("column").agg(
-        F.count("*").alias("n"), F.count(x).alias("numeric"),
+
+    def judged(value: Column) -> list[Column]:
+        x = number_of(value)
         # one value that is no number makes the column fractional
-        F.bool_and(F.coalesce(x % 1 == 0, F.lit(False))).alias("whole"),
-    )
-    asked = spark.createDataFrame([(n,) for n in names], "column string")
+        whole = F.bool_and(F.when(value.isNotNull(), F.coalesce(x % 1 == 0, F.lit(False))))
+        return [F.count(value).alias("n"), F.count(x).alias("numeric"), whole.alias("whole")]
+
+    if sample is None:
+        counts = df.agg(F.array(*[F.struct(F.lit(n).alias("column"), *judged(F.col(n))) for n in names]).alias("all")).select(F.inline("all"))
+    else:
+        asked = spark.createDataFrame([(n,) for n in names], "column string")
+        counts = asked.join(leading_values(df, names, order, sample), "column", "left").groupBy("column").agg(*judged(F.col("value")))
     decided = F.when(F.col("numeric") > F.col("n") * share, F.when(F.col("whole"), "BIGINT").otherwise("DOUBLE"))
-    return known.unionByName(
-        asked.join(judged, "column", "left").select("column", F.coalesce(decided, F.lit("STRING")).alias("type"))
-    )
+    return known.unionByName(counts.select("column", F.coalesce(decided, F.lit("STRING")).alias("type")))
 
 
 def declared_type(kind: T.DataType) -> str | None:
@@ -148,8 +155,9 @@ def coerce(value: Column, kind: str) -> Column:
     """Cast to the stored type; what does not fit becomes NULL, whole numbers drop their fraction."""
     kind = kind.upper()
     if kind in ("BIGINT", "INT", "INTEGER"):
+        # whole numbers are read as such: a double holds only those below 2^53 exactly
         x = number_of(value)
-        return F.when(~F.isnan(x), x).try_cast("bigint")
+        return F.coalesce(F.trim(value.cast("string")).try_cast("bigint"), F.when(~F.isnan(x), x).try_cast("bigint"))
     if kind in ("DOUBLE", "FLOAT", "DECIMAL"):
         x = number_of(value)
         return F.when(~F.isnan(x), x)
@@ -258,34 +266,35 @@ def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def semantic_types(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
-    """(column, kind, nulls, distinct_values) with kind identifier, numeric, timestamp, categorical or text."""
+    """(column, kind, nulls, distinct_values) with kind identifier, numeric, timestamp, categorical or text.
+
+    All values are looked at, in one pass of typed counts; distinct values are counted in the column's own type.
+    """
     chosen = columns or [c for c in df.columns if c != order]
-    tall = df.select(*[F.col(c).cast("string").alias(c) for c in chosen]).unpivot([], chosen, "column", "value")
-    # equal values collapse before anything is counted per column
-    values = tall.groupBy("column", "value").agg(F.count("*").alias("c"))
-    filled = F.when(F.col("value").isNotNull(), F.col("c"))
-    places = F.create_map(*[F.lit(x) for i, c in enumerate(chosen) for x in (c, i)])
-    stats = values.groupBy("column").agg(
-        F.sum("c").alias("rows"), F.coalesce(F.sum(filled), F.lit(0)).alias("filled"), F.count("value").alias("distinct"),
-        F.coalesce(F.sum(F.when(number_of(F.col("value")).isNotNull(), F.col("c"))), F.lit(0)).alias("numbers"),
-    ).withColumn("position", F.element_at(places, F.col("column")))
-    first = leading_values(df, chosen, order, DATE_SAMPLE).groupBy("column").agg(
-        F.min_by("value", "place").alias("first"),
-        F.bool_and(F.col("value").try_cast("timestamp").isNotNull()).alias("dates"),
-    )
+
+    def counted(place: int, column: str) -> Column:
+        value = F.col(column)
+        text = value.cast("string")
+        spelled = reduce(lambda a, b: a | b, [text.rlike("(?i)" + p) for p in DATE_PATTERNS])
+        return F.struct(
+            F.lit(column).alias("column"), F.lit(place).alias("position"), F.count("*").alias("rows"), F.count(value).alias("filled"),
+            F.count_distinct(value).alias("distinct"), F.count(number_of(value)).alias("numbers"), F.bool_and(spelled).alias("dated"),
+            F.bool_and(F.when(value.isNotNull(), text.try_cast("timestamp").isNotNull())).alias("dates"),
+        )
+
+    stats = df.agg(F.array(*[counted(i, c) for i, c in enumerate(chosen)]).alias("all")).select(F.inline("all"))
     name = F.lower("column")
     named = reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in IDENTIFIER_WORDS])
-    dated = reduce(lambda a, b: a | b, [F.col("first").rlike("(?i)" + p) for p in DATE_PATTERNS])
     few = (F.col("distinct") < F.col("rows") * CATEGORY_SHARE) & (F.col("distinct") < CATEGORY_LIMIT)
     kind = (
         F.when(named, "identifier")
         .when(F.col("numbers") == F.col("filled"), "numeric")
-        .when(F.coalesce(dated, F.lit(False)), "timestamp")
+        .when(F.coalesce(F.col("dated"), F.lit(False)), "timestamp")
         .when(F.coalesce(F.col("dates"), F.lit(False)), "timestamp")
         .when(few, "categorical")
         .otherwise("text")
     )
-    return stats.join(F.broadcast(first), "column", "left").select(
+    return stats.select(
         "column", "position", kind.alias("kind"), (F.col("rows") - F.col("filled")).alias("nulls"),
         F.col("distinct").alias("distinct_values"),
     )

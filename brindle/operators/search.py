@@ -1,8 +1,8 @@
 """Exact top-k retrieval by vectors and by terms, and context assembly.
 
-Queries are taken in blocks of bounded size. A block travels to the tasks, every partition of the
-chunk table keeps only its own k best per query, and those are merged per query. No pair of query
-and chunk is ever written out or shuffled unless it is one of those.
+The question table is written once to the shared folder. Every task reads it in blocks of bounded size next to each batch of
+its chunks, so the chunk table is scanned once whatever the number of questions, and no question passes through the driver. A
+partition keeps only its own k best per question, and those are merged per question.
 """
 
 from __future__ import annotations
@@ -11,29 +11,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.numbers import round_to
 from brindle.functions.text import question_terms
-from brindle.session import written
+from brindle.session import fresh_path
 
 QUERY_BLOCK = 1024
 # questions per block and texts per slice of the term search, which keep its matrices at a few megabytes
 TERM_BLOCK, TEXT_SLICE = 256, 512
 SCORE_DIGITS = 9
-BROADCAST_HITS = 200_000
 CONTEXT_CHARS, CONTEXT_RULE = 1500, "\n\n---\n\n"
 
+# Scores of one batch of chunks: one row per question of the block.
+Score = Callable[[pd.Series], np.ndarray]
 
-def query_blocks(queries: DataFrame, key: str, block: int = QUERY_BLOCK) -> Iterator[pd.DataFrame]:
-    """Hash slices of the query table, each small enough to send to every task."""
-    parts = max(1, -(-queries.count() // block))
-    for part in range(parts):
-        rows = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        found = rows.toPandas()
-        if len(found):
-            yield found
+
+def question_blocks(path: str, block: int) -> Iterator[pd.DataFrame]:
+    """Blocks of a written question table, in the same order every time."""
+    store, root = fs.FileSystem.from_uri(path)
+    files = store.get_file_info(fs.FileSelector(root))
+    for name in sorted(f.path for f in files if f.base_name.endswith(".parquet")):
+        with store.open_input_file(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(block):
+                if batch.num_rows:
+                    yield batch.to_pandas()
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -47,36 +52,39 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scan(
-    chunks: DataFrame, key: str, payload: str, query_ids: np.ndarray, k: int,
-    score: Callable[[pd.Series], np.ndarray], schema: str, floor: float | None = None,
+    queries: DataFrame, chunks: DataFrame, key: str, payload: str, k: int, block: int,
+    scorer: Callable[[pd.DataFrame], Score], schema: str, floor: float | None = None,
 ) -> DataFrame:
-    """k best chunks per query and partition; ``score`` gives one row of scores per query."""
+    """k best chunks per question; ``scorer`` prepares a block of (q, ...) questions."""
+    path = fresh_path(queries.sparkSession, "questions")
+    queries.write.parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [(np.empty(0), np.empty(0, dtype=object))] * len(query_ids)
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        asked: list[np.ndarray] = []
         for batch in batches:
-            ids, table = batch[key].to_numpy(dtype=object), score(batch[payload])
-            for q, row in enumerate(table):
-                scores, names = np.concatenate((held[q][0], row)), np.concatenate((held[q][1], ids))
-                if floor is not None:
-                    keep = scores > floor
-                    scores, names = scores[keep], names[keep]
-                best = _best(scores, names, k)
-                held[q] = scores[best], names[best]
-        parts = [
-            pd.DataFrame({"query_id": query_ids[q], "chunk_id": names, "score": scores})
-            for q, (scores, names) in enumerate(held) if len(scores)
-        ]
-        if parts:
-            yield pd.concat(parts)
+            ids = batch[key].to_numpy(dtype=object)
+            for place, some in enumerate(question_blocks(path, block)):
+                if place == len(held):
+                    held.append([(np.empty(0), np.empty(0, dtype=object))] * len(some))
+                    asked.append(some["q"].to_numpy(dtype=object))
+                own = held[place]
+                for q, row in enumerate(scorer(some)(batch[payload])):
+                    scores, names = np.concatenate((own[q][0], row)), np.concatenate((own[q][1], ids))
+                    if floor is not None:
+                        keep = scores > floor
+                        scores, names = scores[keep], names[keep]
+                    best = _best(scores, names, k)
+                    own[q] = scores[best], names[best]
+        for names, own in zip(asked, held):
+            parts = [pd.DataFrame({"query_id": names[q], "chunk_id": found, "score": scores}) for q, (scores, found) in enumerate(own) if len(scores)]
+            if parts:
+                yield pd.concat(parts)
 
     return chunks.select(key, payload).mapInPandas(run, schema)
 
 
-def _merge(parts: list[DataFrame], k: int) -> DataFrame:
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+def _merge(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -90,49 +98,62 @@ def _matrix(vectors: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, fits
 
 
-def _scorer(queries: np.ndarray, metric: str) -> Callable[[pd.Series], np.ndarray]:
-    norms = np.linalg.norm(queries, axis=1)
+def _vector_scorer(metric: str, unit: bool) -> Callable[[pd.DataFrame], Score]:
+    def of_size(queries: np.ndarray) -> Score:
+        norms = np.linalg.norm(queries, axis=1)
 
-    def score(vectors: pd.Series) -> np.ndarray:
-        rows, fits = _matrix(vectors, queries.shape[1])
-        products = queries @ rows.T
-        if metric == "cosine":
-            lengths = np.outer(norms, np.linalg.norm(rows, axis=1))
-            out = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
-        elif metric == "euclidean":
-            out = np.stack([-np.linalg.norm(rows - q, axis=1) for q in queries])
-            out[:, ~fits] = -np.inf
-        else:
-            out = products
-            out[:, ~fits] = -np.inf
-        return np.round(out, SCORE_DIGITS)
+        def score(vectors: pd.Series) -> np.ndarray:
+            rows, fits = _matrix(vectors, queries.shape[1])
+            products = queries @ rows.T
+            if metric == "cosine":
+                lengths = np.outer(norms, fits.astype(float) if unit else np.linalg.norm(rows, axis=1))
+                out = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+            elif metric == "euclidean":
+                out = np.stack([-np.linalg.norm(rows - q, axis=1) for q in queries])
+                out[:, ~fits] = -np.inf
+            else:
+                out = products
+                out[:, ~fits] = -np.inf
+            return np.round(out, SCORE_DIGITS)
 
-    return score
+        return score
+
+    def prepare(some: pd.DataFrame) -> Score:
+        sizes = some["v"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+        groups = []
+        for size in np.unique(sizes):
+            places = np.flatnonzero(sizes == size)
+            rows = [np.asarray(some["v"].iloc[i], dtype=float) for i in places] if size else None
+            groups.append((places, of_size(np.stack(rows)) if size else None))
+
+        def score(vectors: pd.Series) -> np.ndarray:
+            # a question without a vector is as far from everything as one of another length
+            out = np.full((len(some), len(vectors)), 0.0 if metric == "cosine" else -np.inf)
+            for places, own in groups:
+                if own is not None:
+                    out[places] = own(vectors)
+            return out
+
+        return score
+
+    return prepare
 
 
 def vector_search(
     queries: DataFrame, chunks: DataFrame, query_key: str, query_vector: str, chunk_key: str, vector: str,
-    k: int = 5, metric: str = "cosine", where: Column | None = None, block: int = QUERY_BLOCK,
+    k: int = 5, metric: str = "cosine", where: Column | None = None, block: int = QUERY_BLOCK, unit: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank). ``where`` is applied to the chunk table before scoring.
 
-    Cosine is 0 for a zero vector or another length; the other metrics leave such chunks out.
-    Euclidean scores are negative distances, so larger is always better.
+    Cosine is 0 for a zero vector or another length, also for a question without a vector; the other metrics leave such
+    chunks out. Euclidean scores are negative distances, so larger is always better. ``unit`` says that the chunk vectors have
+    length one, as those of the index table do, and spares their norms.
     """
     rows = chunks.filter(where) if where is not None else chunks
     schema = f"query_id {_type(queries, query_key)}, chunk_id {_type(chunks, chunk_key)}, score double"
-    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).filter(F.size("v") > 0)
-    parts = []
-    for found in query_blocks(asked, "q", block):
-        sizes = found["v"].map(len)
-        for size in sorted(sizes.unique()):
-            same = found[sizes == size]
-            matrix = np.stack([np.asarray(v, dtype=float) for v in same["v"]])
-            floor = None if metric == "cosine" else -np.inf
-            parts.append(_scan(rows, chunk_key, vector, same["q"].to_numpy(dtype=object), k, _scorer(matrix, metric), schema, floor))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    return _merge(parts, k)
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"))
+    floor = None if metric == "cosine" else -np.inf
+    return _merge(_scan(asked, rows, chunk_key, vector, k, block, _vector_scorer(metric, unit), schema, floor), k)
 
 
 def _term_scorer(place: dict[str, int], weights: np.ndarray) -> Callable[[pd.Series], np.ndarray]:
@@ -166,30 +187,30 @@ def _term_scorer(place: dict[str, int], weights: np.ndarray) -> Callable[[pd.Ser
     return score
 
 
+def _terms_of(some: pd.DataFrame) -> Score:
+    vocabulary = sorted({term for terms in some["terms"] for term in terms})
+    place = {term: i for i, term in enumerate(vocabulary)}
+    weights = np.zeros((len(some), len(vocabulary)), dtype=np.float32)
+    for row, terms in enumerate(some["terms"]):
+        for term in terms:
+            weights[row, place[term]] += 1
+    return _term_scorer(place, weights)
+
+
 def keyword_search(
     queries: DataFrame, chunks: DataFrame, query_key: str, question: str, chunk_key: str, text: str,
     newest: str, k: int = 5, block: int = TERM_BLOCK,
 ) -> DataFrame:
-    """Chunks holding most of a question's terms; a question without terms gets the newest chunks."""
+    """Chunks holding most of a question's terms; a question without terms, or NULL, gets the newest chunks."""
     types = f"query_id {_type(queries, query_key)}, chunk_id {_type(chunks, chunk_key)}"
-    asked = queries.select(F.col(query_key).alias("q"), question_terms(F.col(question)).alias("terms"))
+    terms = F.coalesce(question_terms(F.col(question)), F.array().cast("array<string>"))
+    asked = queries.select(F.col(query_key).alias("q"), terms.alias("terms"))
     lowered = chunks.select(F.col(chunk_key), F.lower(text).alias("_low"))
-    parts = []
-    for found in query_blocks(asked.filter(F.size("terms") > 0), "q", block):
-        vocabulary = sorted({term for terms in found["terms"] for term in terms})
-        place = {term: i for i, term in enumerate(vocabulary)}
-        weights = np.zeros((len(found), len(vocabulary)), dtype=np.float32)
-        for row, terms in enumerate(found["terms"]):
-            for term in terms:
-                weights[row, place[term]] += 1
-
-        score = _term_scorer(place, weights)
-        parts.append(_scan(lowered, chunk_key, "_low", found["q"].to_numpy(dtype=object), k, score, types + ", score double", 0.0))
+    found = _scan(asked.filter(F.size("terms") > 0), lowered, chunk_key, "_low", k, block, _terms_of, types + ", score double", 0.0)
     silent = asked.filter(F.size("terms") == 0).select(F.col("q").alias("query_id"))
     latest = chunks.orderBy(F.desc(newest), chunk_key).limit(k).select(F.col(chunk_key).alias("chunk_id"), F.lit(0.0).alias("score"))
     newest_k = latest.agg(F.collect_list(F.struct("chunk_id", "score"))).scalar()
-    parts.append(silent.withColumn("c", newest_k).select("query_id", F.inline("c")))
-    return _merge(parts, k)
+    return _merge(found.unionByName(silent.withColumn("c", newest_k).select("query_id", F.inline("c"))), k)
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -201,9 +222,7 @@ def context_assembly(
 ) -> DataFrame:
     """Per query: the numbered texts in rank order joined by a rule, and their sources."""
     named = chunks.select(F.col(chunk_key).alias("chunk_id"), F.col(filename).alias("_file"), F.col(text).alias("_text"))
-    # the hits are few next to the chunks: written once, counted, and sent to the chunks when small
-    few = written(hits, "hits")
-    rows = named.join(F.broadcast(few) if few.count() <= BROADCAST_HITS else few, "chunk_id")
+    rows = named.join(hits, "chunk_id")
     part = F.concat(
         F.lit("[Document "), F.col("rank").cast("string"), F.lit(" - "), F.coalesce("_file", F.lit("Unknown")),
         F.lit(" (relevance: "), F.format_number(round_to(F.col("score"), 2), 2), F.lit(")]:\n"),

@@ -1,7 +1,7 @@
 """Time-series features per entity.
 
 No window here is partitioned by the entity alone. Rows get their position inside the entity from
-counts per time slot, and windows run on fixed blocks of positions that carry the few rows of the
+counts per range of rows, and windows run on fixed blocks of positions that carry the few rows of the
 block before them. An entity that holds a third of the table is spread like any other.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.numbers import round_to
 from brindle.functions.text import grouped
+from brindle.session import written
 
 BLOCK_ROWS = 100_000
 VOLATILE_CV, STABLE_SLOPE, MIN_TREND_ROWS = 0.5, 0.01, 5
@@ -32,31 +33,29 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, _null_safe(keys, renamed), how).drop(*renamed.values())
 
 
-def with_position(
-    df: DataFrame, entity: Sequence[str], order: Sequence[Column], slot: Column, out: str = "pos"
-) -> DataFrame:
+def with_position(df: DataFrame, entity: Sequence[str], order: Sequence[Column], out: str = "pos") -> DataFrame:
     """Adds the 0-based row number inside the entity.
 
-    ``slot`` must not be null and must grow with ``order`` (a truncated time, a leading part of a
-    key). Rows are numbered inside (entity, slot) and shifted by the number of rows in earlier
-    slots. Entity and slot are brought to two plain key columns first, so the numbering and the join
-    share one shuffle and null entities count as an entity.
+    Rows are dealt into ranges of (entity, order), whose bounds come from a sample of the rows themselves, so a range holds about
+    the same number of rows whatever one entity or one stretch of time holds. They are numbered inside a range and shifted by
+    the rows of the same entity in earlier ranges. The dealt rows are written once, as the number of a range must not change. Null
+    entities count as an entity.
     """
     name = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in entity], F.lit(""))
-    keyed = df.withColumns({"_entity": name, "_slot": slot})
-    sizes = keyed.groupBy("_entity", "_slot").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_entity").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_entity", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_entity", "_slot").orderBy(*order)) - 1
-    placed = keyed.withColumn("_local", local).join(offsets, ["_entity", "_slot"])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_entity", name).repartitionByRange(parts, F.asc("_entity"), *order)
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_entity", "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_entity").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_entity", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_entity", "_range").orderBy(*order)) - 1
+    placed = dealt.withColumn("_local", local).join(offsets, ["_entity", "_range"])
     return placed.select(*df.columns, (F.col("_before") + F.col("_local")).alias(out))
 
 
-def by_time(df: DataFrame, entity: Sequence[str], ts: str, ties: Sequence[str] = (), slot: str = "month", out: str = "pos") -> DataFrame:
+def by_time(df: DataFrame, entity: Sequence[str], ts: str, ties: Sequence[str] = (), out: str = "pos") -> DataFrame:
     """Positions in time order, rows without a time last."""
-    order = [F.asc_nulls_last(ts), *[F.asc(c) for c in ties]]
-    start = F.unix_seconds(F.date_trunc(slot, F.col(ts).cast("timestamp")))
-    return with_position(df, entity, order, F.coalesce(start, F.lit(2**62)), out)
+    return with_position(df, entity, [F.asc_nulls_last(ts), *[F.asc(c) for c in ties]], out)
 
 
 def blocks(df: DataFrame, reach: int, pos: str = "pos", size: int = BLOCK_ROWS) -> DataFrame:
@@ -91,27 +90,27 @@ def calendar_features(df: DataFrame, ts: str) -> DataFrame:
     })
 
 
-def seq_index(df: DataFrame, entity: Sequence[str], order: Sequence[Column], slot: Column, start: str = "2026-01-01") -> DataFrame:
+def seq_index(df: DataFrame, entity: Sequence[str], order: Sequence[Column], start: str = "2026-01-01") -> DataFrame:
     """A daily date for rows without a time column, counted in row order."""
-    placed = with_position(df, entity, order, slot, "_p")
+    placed = with_position(df, entity, order, "_p")
     return placed.withColumn("date_index", F.date_add(F.lit(start).cast("date"), F.col("_p").cast("int"))).drop("_p")
 
 
 def lag_features(
     df: DataFrame, entity: Sequence[str], ts: str, value: str, lags: Sequence[int] = (1, 7, 30),
-    ties: Sequence[str] = (), slot: str = "month", block: int = BLOCK_ROWS,
+    ties: Sequence[str] = (), block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    placed = blocks(by_time(df, entity, ts, ties, slot), max(lags), size=block)
+    placed = blocks(by_time(df, entity, ts, ties), max(lags), size=block)
     w = _window(entity)
     return _settle(placed.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in lags}))
 
 
 def rolling_features(
     df: DataFrame, entity: Sequence[str], ts: str, value: str, means: Sequence[int] = (7, 30),
-    stds: Sequence[int] = (7,), ties: Sequence[str] = (), slot: str = "month", block: int = BLOCK_ROWS,
+    stds: Sequence[int] = (7,), ties: Sequence[str] = (), block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Trailing means and sample deviations over row counts; shorter frames at the start."""
-    placed = blocks(by_time(df, entity, ts, ties, slot), max([*means, *stds]), size=block)
+    placed = blocks(by_time(df, entity, ts, ties), max([*means, *stds]), size=block)
     w = _window(entity)
     out = {f"rolling_mean_{k}": F.avg(value).over(w.rowsBetween(1 - k, 0)) for k in means}
     out.update({f"rolling_std_{k}": F.stddev_samp(value).over(w.rowsBetween(1 - k, 0)) for k in stds})
@@ -120,10 +119,10 @@ def rolling_features(
 
 def pct_change(
     df: DataFrame, entity: Sequence[str], ts: str, value: str, ties: Sequence[str] = (),
-    slot: str = "month", block: int = BLOCK_ROWS,
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Change against the row before, nulls taken from the last known value; NULL after a zero."""
-    placed = blocks(by_time(df, entity, ts, ties, slot), 1, size=block)
+    placed = blocks(by_time(df, entity, ts, ties), 1, size=block)
     # last known value of each block, carried over blocks that hold none
     own = placed.filter("NOT _carried").groupBy(*entity, "_block").agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.col("pos"))).alias("_known")
@@ -146,11 +145,11 @@ def pct_change(
 
 
 def trend_fit(
-    df: DataFrame, entity: Sequence[str], ts: str, value: str, ties: Sequence[str] = (), slot: str = "month"
+    df: DataFrame, entity: Sequence[str], ts: str, value: str, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Per entity: line through (0..n-1, value), its R2, variation, direction and strength."""
     known, missing = df.filter(F.col(value).isNotNull()), df.filter(F.col(value).isNull())
-    placed = by_time(known, entity, ts, ties, slot).unionByName(missing.withColumn("pos", F.lit(None).cast("bigint")))
+    placed = by_time(known, entity, ts, ties).unionByName(missing.withColumn("pos", F.lit(None).cast("bigint")))
     y, x = F.col(value).cast("double"), F.col("pos").cast("double")
     fitted = placed.groupBy(*entity).agg(
         F.count("*").alias("_all"), F.count(value).alias("n"), F.regr_slope(y, x).alias("_slope"),
@@ -195,7 +194,7 @@ def trend_summary(fit: DataFrame) -> DataFrame:
 
 def change_points(
     df: DataFrame, entity: Sequence[str], ts: str, value: str, z: float = CHANGE_Z,
-    exclude_current: bool = True, ties: Sequence[str] = (), slot: str = "month", block: int = BLOCK_ROWS,
+    exclude_current: bool = True, ties: Sequence[str] = (), block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Rows further than ``z`` deviations from the rows before them.
 
@@ -203,7 +202,7 @@ def change_points(
     bounds the distance at 1.79, so nothing passes the default of 2.
     """
     rows = df.filter(F.col(value).isNotNull())
-    placed = by_time(rows, entity, ts, ties, slot)
+    placed = by_time(rows, entity, ts, ties)
     sizes = placed.groupBy(*entity).agg(F.count("*").alias("_n"))
     sized = join_null_safe(placed, sizes.filter(F.col("_n") >= MIN_CHANGE_ROWS), list(entity), "inner")
     windowed = sized.withColumn("_w", F.least(F.lit(CHANGE_WINDOW), F.floor(F.col("_n") / 3)).cast("int"))

@@ -23,8 +23,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def pick_categories(df: DataFrame, limit: int = 5) -> list[str]:
-    """Preferred names first, then other text columns up to ``limit``."""
+def pick_categories(df: DataFrame, limit: int | None = None) -> list[str]:
+    """Preferred names first, then the other text columns; ``limit`` stops at that many."""
     text = [
         f.name for f in df.schema
         if isinstance(f.dataType, T.StringType) and f.name.lower() not in NOT_CATEGORIES
@@ -35,13 +35,13 @@ def pick_categories(df: DataFrame, limit: int = 5) -> list[str]:
         if hit:
             picked.append(hit)
     for name in text:
-        if name not in picked and len(picked) < limit:
+        if name not in picked and (limit is None or len(picked) < limit):
             picked.append(name)
     return picked
 
 
-def summary_stats(df: DataFrame, target: str | None, numeric: list[str] | None = None, k: int = 5) -> DataFrame:
-    """One row: total, positives, rate and the rounded mean of the first ``k`` numeric columns."""
+def summary_stats(df: DataFrame, target: str | None, numeric: list[str] | None = None, k: int | None = None) -> DataFrame:
+    """One row: total, positives, rate and the rounded mean of all numeric columns, or of the first ``k``."""
     chosen = (numeric if numeric is not None else numeric_columns(df))[:k]
     aggs = [F.count("*").alias("total")]
     if target:
@@ -81,14 +81,14 @@ def _largest(groups: DataFrame, k: int | None) -> DataFrame:
 
 
 def category_rate(
-    df: DataFrame, target: str, columns: list[str] | None = None, k: int | None = 15
+    df: DataFrame, target: str, columns: list[str] | None = None, k: int | None = None
 ) -> DataFrame:
-    """Total, positives and rate per category, all columns in one pass, ``k`` largest per column."""
+    """Total, positives and rate per category, all columns in one pass; ``k`` keeps the largest of each column."""
     counts = _largest(_category_counts(df, columns or pick_categories(df), target), k)
     return counts.withColumn("rate", share_pct(F.col("positive"), F.col("total")))
 
 
-def category_count(df: DataFrame, columns: list[str] | None = None, k: int | None = 15) -> DataFrame:
+def category_count(df: DataFrame, columns: list[str] | None = None, k: int | None = None) -> DataFrame:
     return _largest(_category_counts(df, columns or pick_categories(df), None), k).drop("positive")
 
 
@@ -102,10 +102,10 @@ def corpus_stats(chunks: DataFrame, file: str, uploaded: str) -> DataFrame:
 
 
 def billing_summary(
-    df: DataFrame, keys: list[str], rate: str, bandwidth: str, uploaded: str, k: int = 50
+    df: DataFrame, keys: list[str], rate: str, bandwidth: str, uploaded: str, k: int | None = None
 ) -> DataFrame:
-    """The ``k`` groups with the largest total rate."""
-    return (
+    """All groups by key; with ``k`` only those with the largest total rate."""
+    groups = (
         df.groupBy(*keys)
         .agg(
             F.count("*").alias("records"),
@@ -115,9 +115,8 @@ def billing_summary(
             F.min(uploaded).alias("first_upload"),
             F.max(uploaded).alias("last_upload"),
         )
-        .orderBy(F.desc("total_rate"), *keys)
-        .limit(k)
     )
+    return groups if k is None else groups.orderBy(F.desc("total_rate"), *keys).limit(k)
 
 
 def billing_stats(
@@ -212,6 +211,9 @@ def score_stats(scored: DataFrame, score: str, anomaly: Column) -> DataFrame:
 
 # Tables behind the charts
 
+# Fixed value: bars of a chart.
+CHART_CATEGORIES = 15
+
 def chart_distribution(df: DataFrame, target: str) -> DataFrame:
     """Exact total, positive and retained counts as (measure, n) rows."""
     hit = count_true(target_flag(df, target))
@@ -222,7 +224,7 @@ def chart_distribution(df: DataFrame, target: str) -> DataFrame:
 
 
 def chart_category(df: DataFrame, target: str, columns: list[str], tables: int = 3, label_chars: int = 15) -> DataFrame:
-    rates = category_rate(df, target, columns[:tables])
+    rates = category_rate(df, target, columns[:tables], CHART_CATEGORIES)
     return rates.select(
         "column", F.left(F.col("category"), F.lit(label_chars)).alias("label"),
         "total", "rate", rate_band(F.col("rate")).alias("band"),

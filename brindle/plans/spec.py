@@ -29,7 +29,8 @@ COLUMN_ALIASES = {
     "partner": ("partner", "has_partner"),
     "dependents": ("dependents", "has_dependents"),
 }
-MAX_LIMIT, DEFAULT_LIMIT, TOP_LIMIT, LIST_LIMIT, RESULT_LIMIT = 1000, 100, 10, 50, 100
+# Rows of a ranking and of a listing that names no number.
+TOP_LIMIT, LIST_LIMIT = 10, 50
 BREAKDOWN_ROWS = 10
 
 AGGREGATES = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
@@ -37,7 +38,7 @@ AGGREGATES = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
 @dataclass(frozen=True)
 class QuerySpec:
-    """Filters (AND), at most one aggregate, group keys, one sort, one limit."""
+    """Filters (AND), at most one aggregate, group keys, one sort; all rows unless a limit is asked for."""
 
     columns: tuple[str, ...] = ()
     filters: tuple[Column, ...] = ()
@@ -46,7 +47,7 @@ class QuerySpec:
     group_by: tuple[str, ...] = ()
     order_by: str | None = None
     desc: bool = True
-    limit: int | None = DEFAULT_LIMIT
+    limit: int | None = None
     ties: tuple[str, ...] = field(default=())
 
 
@@ -149,12 +150,13 @@ def format_answer(result: DataFrame, spec: QuerySpec, noun: str = "") -> DataFra
     )
 
 
-def result_json(result: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
-    """Numbers stay numbers, everything else becomes text; at most ``limit`` rows."""
+def result_json(result: DataFrame, limit: int | None = None) -> DataFrame:
+    """Numbers stay numbers, everything else becomes text; ``limit`` asks for the first rows only."""
     from pyspark.sql import types as T
 
     shown = [
         F.col(f.name) if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else F.col(f.name).cast("string").alias(f.name)
         for f in result.schema
     ]
-    return result.limit(limit).select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("row"))
+    rows = result if limit is None else result.limit(limit)
+    return rows.select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("row"))

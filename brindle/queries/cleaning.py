@@ -60,13 +60,13 @@ UNTYPED = """(SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS cust, CAST(o_tota
 def _judge(c):
     return f"""SELECT '{c}' AS "column", CASE WHEN count(TRY_CAST({c} AS DOUBLE)) > 0.8 * count(*) THEN
  CASE WHEN bool_and(coalesce(TRY_CAST({c} AS DOUBLE) % 1 = 0, false)) THEN 'BIGINT' ELSE 'DOUBLE' END ELSE 'STRING' END AS type
- FROM (SELECT {c} FROM {UNTYPED} WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 100)"""
+ FROM (SELECT {c} FROM {UNTYPED} WHERE {c} IS NOT NULL)"""
 
 
 @query("infer_types", " UNION ALL ".join(_judge(c) for c in ("cust", "price", "mostly", "mixed", "status")) + """
  UNION ALL SELECT 'o_orderkey', 'BIGINT' UNION ALL SELECT 'gaps', 'DOUBLE' UNION ALL SELECT 'ordered', 'TIMESTAMP'""")
 def _(t):
-    return S.infer_types(as_text(t), "o_orderkey")
+    return S.infer_types(as_text(t))
 
 
 @query("coerce_values", f"""

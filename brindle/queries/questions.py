@@ -84,10 +84,10 @@ def first_of(table):
 
 
 AGG = "CASE " + " ".join(
-    f"WHEN regexp_matches(q, '\\b({'|'.join(words)})\\b') THEN '{name}'" for name, words in Q.AGGREGATE_WORDS.items()) + " END"
+    f"WHEN regexp_matches(q, '\\b({'|'.join(words)})s?\\b') THEN '{name}'" for name, words in Q.AGGREGATE_WORDS.items()) + " END"
 SPEC = f"""
 WITH a AS (SELECT *, {any_of(Q.LIST_WORDS)} AS listing, {any_of(Q.TOP_WORDS)} AS is_top, {any_of(Q.BOTTOM_WORDS)} AS is_bottom, contains(q, 'female') AS female,
-  regexp_matches(q, '\\bmales?\\b') AS male, least(TRY_CAST(nullif(regexp_extract(q, '\\b(\\d+)\\b', 1), '') AS BIGINT), 1000) AS n FROM {LOW}),
+  regexp_matches(q, '\\bmales?\\b') AS male, TRY_CAST(nullif(regexp_extract(q, '\\b(\\d+)\\b', 1), '') AS INTEGER) AS n FROM {LOW}),
 b AS (SELECT *, CASE WHEN NOT listing THEN {AGG} END AS agg FROM a)
 SELECT source, k, agg, CASE WHEN agg <> 'COUNT' THEN {first_of(Q.AGGREGATE_TERMS)} END AS agg_term,
  CASE WHEN {any_of(Q.NEGATIVE_WORDS)} THEN 'negative' WHEN {any_of(Q.POSITIVE_WORDS)} THEN 'positive' END AS outcome,
@@ -96,7 +96,7 @@ SELECT source, k, agg, CASE WHEN agg <> 'COUNT' THEN {first_of(Q.AGGREGATE_TERMS
  CASE WHEN agg IS NOT NULL THEN coalesce({first_of(Q.GROUP_WORDS)}, CASE WHEN female AND male THEN 'gender' END) END AS group_by,
  CASE WHEN agg IS NULL AND {any_of(Q.SORT_WORDS)} THEN coalesce({first_of(Q.ORDER_TERMS)}, 'total') END AS order_term,
  is_top OR NOT is_bottom AS descending,
- CAST(CASE WHEN (is_top OR is_bottom) AND n IS NOT NULL THEN n WHEN listing AND NOT contains(q, 'all') THEN 50 WHEN is_top OR is_bottom THEN 10 ELSE 100 END AS INTEGER) AS row_limit FROM b"""
+ CAST(CASE WHEN (is_top OR is_bottom) AND n IS NOT NULL THEN n WHEN listing AND NOT contains(q, 'all') THEN 50 WHEN is_top OR is_bottom THEN 10 END AS INTEGER) AS row_limit FROM b"""
 
 
 @query("tag_query_spec", SPEC)

@@ -161,12 +161,12 @@ def _(t):
 
 
 @query("join_hybrid_context", """
-WITH q AS (SELECT doc_id FROM documents), a AS (SELECT doc_id, left(text, 200) AS x FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, 'toxic ' || toxic AS y FROM labels)
+WITH q AS (SELECT doc_id FROM documents), a AS (SELECT doc_id, text AS x FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, 'toxic ' || toxic AS y FROM labels)
 SELECT q.doc_id, md5(CASE WHEN x IS NULL AND y IS NULL THEN 'Could not find relevant information from documents or data.' ELSE
  coalesce('**Document Context:**' || chr(10) || nullif(x, '') || chr(10) || chr(10), '') || coalesce('**Data Analysis:**' || chr(10) || y, '') END) AS answer_md5
 FROM q LEFT JOIN a ON a.doc_id = q.doc_id LEFT JOIN b ON b.doc_id = q.doc_id""")
 def _(t):
-    text = t.documents.filter("lang = 'en'").select("doc_id", F.left("text", F.lit(200)).alias("text_answer"))
+    text = t.documents.filter("lang = 'en'").select("doc_id", F.col("text").alias("text_answer"))
     data = t.labels.select("doc_id", F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("data_answer"))
     out = R.hybrid_context(t.documents.select("doc_id"), text, data, "doc_id")
     return out.select("doc_id", F.md5("answer").alias("answer_md5"))

@@ -109,11 +109,11 @@ def _(t):
 
 
 @query("risk_level", """
-SELECT CASE WHEN l_discount * 10 >= 0.7 THEN 'HIGH' WHEN l_discount * 10 >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level, left(
- CASE WHEN l_discount * 10 >= 0.7 THEN 'HIGH RISK: ' WHEN l_discount * 10 >= 0.4 THEN 'MEDIUM RISK' ELSE 'LOW RISK: C' END, 11) AS advice, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+SELECT CASE WHEN l_discount * 10 >= 0.7 THEN 'HIGH' WHEN l_discount * 10 >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level,
+ CASE WHEN l_discount * 10 >= 0.7 THEN '""" + N.RECOMMENDATIONS["HIGH"] + "' WHEN l_discount * 10 >= 0.4 THEN '" + N.RECOMMENDATIONS["MEDIUM"] + "' ELSE '" + N.RECOMMENDATIONS["LOW"] + "' END AS advice, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def _(t):
     level = N.risk_level(F.col("l_discount") * 10)
-    return t.lineitem.groupBy(level.alias("level"), F.left(N.recommendation(level), F.lit(11)).alias("advice")).agg(F.count("*").alias("n"))
+    return t.lineitem.groupBy(level.alias("level"), N.recommendation(level).alias("advice")).agg(F.count("*").alias("n"))
 
 
 @query("rate_band", "SELECT CASE WHEN l_quantity >= 30 THEN 'high' WHEN l_quantity >= 20 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM lineitem GROUP BY 1")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from brindle.operators import series as S
 from brindle.queries import query, rd
 
-# raw orders per priority: few entities with many rows each, so positions cross many slots
+# raw orders per priority: few entities with many rows each, so positions cross many ranges
 SORTED = "PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey"
 KEYS = ("o_orderkey", "o_orderpriority")
 BLOCK = 500
@@ -37,7 +37,7 @@ def _(t):
 @query("seq_index", """
 SELECT o_orderkey, strftime(DATE '2026-01-01' + CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS INTEGER), '%Y-%m-%d') AS date_index FROM orders""")
 def _(t):
-    out = S.seq_index(t.orders, ["o_orderpriority"], [F.asc("o_orderkey")], F.expr("o_orderkey div 1000"))
+    out = S.seq_index(t.orders, ["o_orderpriority"], [F.asc("o_orderkey")])
     return out.select("o_orderkey", F.date_format("date_index", "yyyy-MM-dd").alias("date_index"))
 
 
@@ -88,7 +88,7 @@ def _monthly(t):
 
 
 def _fit(t):
-    fit = S.trend_fit(_monthly(t), ["o_orderpriority"], "m", "total", slot="year")
+    fit = S.trend_fit(_monthly(t), ["o_orderpriority"], "m", "total")
     digits = {"slope": 3, "r2": 6, "cv": 6, "strength": 6}
     return fit.withColumns({c: S.round_to(F.col(c), d) for c, d in digits.items()})
 

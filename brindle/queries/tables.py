@@ -23,42 +23,56 @@ def _orders(t):
     return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
-@query("src_csv", ORDERS)
+@query("src_csv", "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
 def _(t):
-    path = fresh_path(t.spark, "orders") + ".csv"
-    _orders(t).write.csv(path, header=True)
+    path = fresh_path(t.spark, "documents") + ".csv"
+    t.documents.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     raw = files.read_csv(t.spark, path)
-    return coerce_values(raw, type_map(infer_types(raw, "o_orderkey")))
+    return coerce_values(raw, type_map(infer_types(raw))).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+STYLES = '<styleSheet><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+DAYS_BEFORE = (pd.Timestamp("2020-01-01") - pd.Timestamp("1899-12-30")).days
 
 
 def _workbook(rows: list[list]) -> bytes:
     """Smallest readable workbook, used only to turn table rows into spreadsheet files."""
     def cell(v):
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, pd.Timedelta):
+            return f'<c s="1"><v>{v.days}</v></c>'
         return f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
 
-    body = "".join(f'<row r="{i + 1}">{"".join(cell(v) for v in r)}</row>' for i, r in enumerate(rows))
+    body = "".join(f'<row>{"".join(cell(v) for v in r)}</row>' for r in rows)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/styles.xml", STYLES)
         book.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
     return out.getvalue()
 
 
 def _workbooks(t):
-    """Customers as workbooks of at most 500 rows below a two-line banner."""
+    """Customers as workbooks of at most 500 rows below a two-line banner; every second book has its columns turned round."""
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [["Customer report"], [2024, 1], ["Key", "Name", "Balance", "Segment"]]
-        rows += pdf.sort_values("c_custkey")[["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]].values.tolist()
-        return pd.DataFrame({"path": [f"book-{pdf['book'].iloc[0]}.xlsx"], "content": [_workbook(rows)]})
+        number = int(pdf["book"].iloc[0])
+        turn = -1 if number % 2 else 1
+        rows = [["Customer report"], [2024, 1], ["Key", "Name", "Balance", "Segment", "Since", "Owing"][::turn]]
+        for r in pdf.sort_values("c_custkey").itertuples():
+            since = pd.Timedelta(days=DAYS_BEFORE + r.c_custkey % 1000)
+            rows.append([int(r.c_custkey), r.c_name, float(r.c_acctbal), r.c_mktsegment, since, bool(r.c_acctbal < 0)][::turn])
+        return pd.DataFrame({"path": [f"book-{number}.xlsx"], "content": [_workbook(rows)]})
 
     books = t.customer.withColumn("book", F.floor(F.col("c_custkey") / 500))
     return books.groupBy("book").applyInPandas(write, "path string, content binary")
 
 
-@query("src_excel", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+@query("src_excel", """SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment,
+ strftime(DATE '2020-01-01' + CAST(c_custkey % 1000 AS INTEGER), '%Y-%m-%d %H:%M:%S') AS since, CASE WHEN c_acctbal < 0 THEN 'true' ELSE 'false' END AS owing FROM customer""")
 def _(t):
     raw = normalize_columns(files.sheet_table(files.sheet_rows(_workbooks(t))))
     raw = raw.withColumnRenamed("col_key", "key")
-    return coerce_values(raw, type_map(infer_types(raw, "key")))
+    return coerce_values(raw, type_map(infer_types(raw)))
 
 
 @query("src_header_detect", "SELECT DISTINCT 'book-' || CAST(floor(c_custkey / 500) AS BIGINT) || '.xlsx' AS path, CAST(2 AS BIGINT) AS header_row FROM customer")
@@ -145,7 +159,7 @@ def _(t):
     path = fresh_path(t.spark, "accounts")
     upload = _orders(t).toDF("Order Key", "Cust-Key", "Status", "Total.Price", "Priority")
     text = upload.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in upload.columns])
-    schema = tables.create_table(text, path, "Order Key")
+    schema = tables.create_table(text, path)
     rows = lineage_columns(normalize_columns(text), F.lit("orders.csv"))
     tables.append_rows(rows, path, schema)
     stored = t.spark.read.parquet(path)

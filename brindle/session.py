@@ -55,10 +55,10 @@ def written(df, label: str):
 
 
 def spread(df, key: str):
-    """Rows dealt over all cores when the table is a few files only, else ``df`` as it is.
+    """Rows dealt over all cores when the scan has fewer parts than cores, else ``df`` as it is.
 
-    A small file is one row group and so one task. Work that is heavy per row is worth a shuffle
-    then; a table of many files is already spread and is not shuffled.
+    A file of one row group is one task however large it is; work that is heavy per row is worth a shuffle
+    then. A scan that is split already is not shuffled. The rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

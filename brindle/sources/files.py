@@ -24,9 +24,13 @@ HEADER_ROWS, HEADER_CELLS = 20, 3
 SHEET_ROWS = "path string, row_idx bigint, cells array<struct<value:string,is_text:boolean>>"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; refuses an empty file."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text; quotes inside a quoted field are doubled, and a quoted field may hold line breaks.
+
+    Line breaks in fields make a file one task. Files that have none are read by many tasks with ``multi_line=False``.
+    Refuses an empty file.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"')
     if df.isEmpty():
         raise ValueError("file is empty")
     return df
@@ -57,18 +61,55 @@ def _all_text(node) -> str:
     return "".join(t.text or "" for t in node.iter() if _local(t.tag) == "t")
 
 
+# Number formats that show dates or times, and the letters that do so in a format of its own.
+DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+_DATE_LETTERS = re.compile(r"[ymdhs]", re.IGNORECASE)
+_NOT_SHOWN = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]')
+
+
+def _tree(book: zipfile.ZipFile, name: str):
+    return ElementTree.fromstring(book.read(name)) if name in book.namelist() else None
+
+
+def _first_sheet_name(book: zipfile.ZipFile) -> str:
+    """The sheet that the workbook lists first; without a list the one with the smallest number."""
+    listed, links = _tree(book, "xl/workbook.xml"), _tree(book, "xl/_rels/workbook.xml.rels")
+    if listed is not None and links is not None:
+        targets = {link.get("Id"): link.get("Target") for link in links}
+        for sheet in listed.iter():
+            if _local(sheet.tag) == "sheet":
+                link = next((v for k, v in sheet.attrib.items() if _local(k) == "id"), None)
+                target = targets.get(link, "")
+                name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+                if name in book.namelist():
+                    return name
+    return min((n for n in book.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Places of the cell styles that show a number as a date."""
+    root = _tree(book, "xl/styles.xml")
+    if root is None:
+        return set()
+    own = {f.get("numFmtId"): f.get("formatCode", "") for f in root.iter() if _local(f.tag) == "numFmt"}
+    styles = next((x for x in root if _local(x.tag) == "cellXfs"), ())
+    shown = [s.get("numFmtId", "0") for s in styles]
+    return {i for i, f in enumerate(shown) if int(f) in DATE_FORMATS or _DATE_LETTERS.search(_NOT_SHOWN.sub("", own.get(f, "")))}
+
+
 def _first_sheet(content: bytes) -> Iterator[tuple[int, list]]:
-    """(row index, cells) of a workbook's first sheet."""
+    """(row index, cells) of a workbook's first sheet. Dates become ``yyyy-MM-dd HH:mm:ss``, booleans true and false."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = [_all_text(item) for item in root]
-        sheet = min((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
-        for _, row in ElementTree.iterparse(book.open(sheet)):
+        strings, listed = _tree(book, "xl/sharedStrings.xml"), _tree(book, "xl/workbook.xml")
+        shared = [_all_text(item) for item in strings] if strings is not None else []
+        since_1904 = listed is not None and any(
+            _local(x.tag) == "workbookPr" and x.get("date1904") in ("1", "true") for x in listed.iter())
+        start, dates = pd.Timestamp("1904-01-01" if since_1904 else "1899-12-30"), _date_styles(book)
+        number = 0
+        for _, row in ElementTree.iterparse(book.open(_first_sheet_name(book))):
             if _local(row.tag) != "row":
                 continue
+            number = int(row.get("r", number + 1))
             cells: list = []
             for cell in row:
                 at = _column(cell.get("r")) if cell.get("r") else len(cells)
@@ -79,8 +120,12 @@ def _first_sheet(content: bytes) -> Iterator[tuple[int, list]]:
                     raw = shared[int(raw)]
                 elif kind == "inlineStr":
                     raw = _all_text(cell)
+                elif kind == "b" and raw is not None:
+                    raw = "true" if raw.strip() == "1" else "false"
+                elif kind == "n" and raw and int(cell.get("s", 0)) in dates:
+                    raw = str((start + pd.to_timedelta(float(raw), "D")).round("s"))
                 cells.append(None if raw is None else {"value": raw, "is_text": kind in ("s", "str", "inlineStr")})
-            yield int(row.get("r", 0)) - 1, cells
+            yield number - 1, cells
             row.clear()
 
 
@@ -106,17 +151,34 @@ def header_rows(rows: DataFrame) -> DataFrame:
 
 
 def sheet_table(rows: DataFrame) -> DataFrame:
-    """Text table below the header row; workbooks read together share one header."""
-    heads = header_rows(rows)
-    placed = rows.join(heads, "path")
-    titles = placed.filter("row_idx = header_row").select("cells").first()
-    if titles is None:
+    """Text table below the header rows, each workbook under its own header.
+
+    Workbooks read together are united by column name; a column that a workbook does not have is NULL in its rows. Columns
+    without a title are called by their place, a title that repeats inside a workbook gets a number.
+    """
+    shape = rows.groupBy("path").agg(F.max(F.size("cells")).alias("width")).join(header_rows(rows), "path")
+    placed = rows.join(shape, "path")
+    every = F.sequence(F.lit(0), F.col("width") - 1)
+
+    def titled(i: Column) -> Column:
+        title = F.regexp_replace(F.trim(F.get("cells", i)["value"]), "\n", " ")
+        return F.coalesce(F.nullif(title, F.lit("")), F.concat(F.lit("column_"), i.cast("string")))
+
+    heads = placed.filter("row_idx = header_row AND width > 0").select("path", F.transform(every, titled).alias("plain"))
+
+    def numbered(name: Column, i: Column) -> Column:
+        earlier = F.size(F.filter(F.slice("plain", F.lit(1), i), lambda x: x == name))
+        return F.when(earlier > 0, F.concat(name, F.lit("_"), (earlier + 1).cast("string"))).otherwise(name)
+
+    heads = heads.select("path", F.transform("plain", numbered).alias("names"))
+    # one name per column of the result
+    named = heads.select("path", F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min(F.struct("path", "at")).alias("first"))
+    names = [r["name"] for r in named.orderBy("first").collect()]
+    if not names:
         raise ValueError("file is empty")
-    names = [
-        re.sub(r"\n", " ", c["value"].strip()) if c else f"column_{i}" for i, c in enumerate(titles["cells"])
-    ]
-    body = placed.filter("row_idx > header_row")
-    return body.select(*[F.try_element_at("cells", F.lit(i + 1))["value"].alias(n) for i, n in enumerate(names)])
+    values = F.transform(every, lambda i: F.get("cells", i)["value"])
+    body = placed.filter("row_idx > header_row").join(heads, "path").select(F.map_from_arrays("names", values).alias("m"))
+    return body.select(*[F.try_element_at("m", F.lit(n)).alias(n) for n in names])
 
 
 def decode_text(content: Column) -> Column:

@@ -55,14 +55,14 @@ def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
         return None
 
 
-def create_table(df: DataFrame, path: str, order: str) -> T.StructType:
+def create_table(df: DataFrame, path: str) -> T.StructType:
     """Schema of an existing table, else an empty table with normalised names and inferred types."""
     spark = df.sparkSession
     known = stored_schema(spark, path)
     if known is not None:
         return known
     named = normalize_columns(df)
-    types = type_map(infer_types(named, normalize_columns(df.select(order)).columns[0]))
+    types = type_map(infer_types(named))
     fields = [T.StructField("id", T.StringType())] + [
         T.StructField(c, SQL_TYPES[types[c]]) for c in named.columns if c not in LINEAGE
     ] + [T.StructField(c, LINEAGE[c]) for c in ("upload_date", "source_file")]

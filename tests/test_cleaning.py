@@ -20,10 +20,15 @@ def test_numeric_share(spark, good, fraction, expected):
     assert S.type_map(S.infer_types(df, "i"))["v"] == expected
 
 
-def test_only_leading_values_decide(spark):
+def test_all_values_decide_unless_a_sample_is_asked_for(spark):
     rows = [(i, str(i)) for i in range(100)] + [(i, "x") for i in range(100, 500)]
     df = spark.createDataFrame(rows, "i int, v string").repartition(7)
-    assert S.type_map(S.infer_types(df, "i"))["v"] == "BIGINT"
+    assert S.type_map(S.infer_types(df))["v"] == "STRING"
+    assert S.type_map(S.infer_types(df, "i", sample=100))["v"] == "BIGINT"
+    late = spark.createDataFrame([(i, str(i)) for i in range(150)] + [(150, "150.75")], "i int, v string")
+    assert S.type_map(S.infer_types(late))["v"] == "DOUBLE" and "Sort" not in S.infer_types(late)._jdf.queryExecution().toString()
+    keys = spark.createDataFrame([("9007199254740993",), ("7.9",), ("x",)], "v string")
+    assert [r["v"] for r in S.coerce_values(keys, {"v": "BIGINT"}).collect()] == [9007199254740993, 7, None]
 
 
 def test_names(spark):

@@ -41,6 +41,42 @@ def test_no_header_means_row_zero(spark):
     assert files.header_rows(files.sheet_rows(df)).first()["header_row"] == 0
 
 
+def book_of(rows, names=None):
+    styles = f'<styleSheet {NS}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>'
+    cells = "".join("<row>" + "".join(r) + "</row>" for r in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/styles.xml", styles)
+        for name in names or ["sheet1"]:
+            z.writestr(f"xl/worksheets/{name}.xml", f"<worksheet {NS}><sheetData>{cells if name == (names or ['sheet1'])[-1] else ''}</sheetData></worksheet>")
+        if names:
+            rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+            z.writestr("xl/workbook.xml", f'<workbook {NS} xmlns:r="{rel}"><sheets><sheet name="first" r:id="r9"/><sheet name="other" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships><Relationship Id="r1" Target="worksheets/{names[0]}.xml"/><Relationship Id="r9" Target="worksheets/{names[-1]}.xml"/></Relationships>')
+    return bytearray(out.getvalue())
+
+
+def text_cells(*values):
+    return [f'<c t="inlineStr"><is><t>{v}</t></is></c>' if v is not None else "<c/>" for v in values]
+
+
+def test_each_workbook_has_its_own_header_dates_and_booleans(spark):
+    one = book_of([text_cells("Key", "City", "Since"), [*text_cells("1", "Oslo"), '<c s="1"><v>45292.5</v></c>']])
+    two = book_of([text_cells("City", "Key", "City", None), [*text_cells("Rome", "2", "x"), '<c t="b"><v>1</v></c>']], ["sheet1", "sheet2"])
+    df = spark.createDataFrame([("a.xlsx", one), ("b.xlsx", two)], "path string, content binary")
+    table = files.sheet_table(files.sheet_rows(df))
+    assert table.columns == ["Key", "City", "Since", "City_2", "column_3"]
+    assert sorted(map(tuple, table.collect())) == [("1", "Oslo", "2024-01-01 12:00:00", None, None), ("2", "Rome", None, "x", "true")]
+
+
+def test_quotes_and_line_breaks_in_csv(spark):
+    rows = [(1, 'say "hi", you'), (2, "two\nlines, really"), (3, " kept ")]
+    path = fresh_path(spark, "quoted") + ".csv"
+    df = spark.createDataFrame(rows, "k int, v string")
+    df.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    assert sorted((int(r["k"]), r["v"]) for r in files.read_csv(spark, path).collect()) == rows
+
+
 def test_readers_refuse(spark):
     path = fresh_path(spark, "empty") + ".csv"
     spark.createDataFrame([], "a string").write.csv(path, header=True)
@@ -59,9 +95,9 @@ def test_decoding(spark):
 def test_stored_schema_wins(spark):
     path = fresh_path(spark, "frozen")
     first = spark.createDataFrame([("1", "2.5")], "Key string, Rate string")
-    schema = tables.create_table(first, path, "Key")
+    schema = tables.create_table(first, path)
     assert [f.dataType.simpleString() for f in schema] == ["string", "bigint", "double", "timestamp", "string"]
-    again = tables.create_table(spark.createDataFrame([("x",)], "Key string"), path, "Key")
+    again = tables.create_table(spark.createDataFrame([("x",)], "Key string"), path)
     assert [f.name for f in again] == [f.name for f in schema]
 
 

@@ -167,7 +167,7 @@ def test_question_rules(spark):
     row = tagged(spark, "average tenure of males and females")
     assert (row["gender"], row["group_by"]) == (None, "gender")
     assert tagged(spark, "count of females")["gender"] == "Female"
-    assert tagged(spark, "top 5000 by revenue")["row_limit"] == 1000
+    assert tagged(spark, "top 5000 by revenue")["row_limit"] == 5000
 
 
 def test_routes(spark):
