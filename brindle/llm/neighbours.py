@@ -24,6 +24,8 @@ LINKS, PLANE_SETS, BLOCK = 24, 12, 4096
 NAMED_BY, TOLD, ROUNDS, SETTLED = 16, 8, 3, 0.05
 # Best vectors a search holds, those it goes on from in one step, steps.
 HELD, STEP, STEPS = 96, 48, 3
+# The longest vectors, which every query looks at first: where lengths differ, they win inner products far from the query.
+ENTRIES = 64
 SEED = 11
 VECTORS = "id long, code binary"
 LISTS = "id long, ids array<bigint>, sims array<float>, changed int"
@@ -222,19 +224,25 @@ def build(vectors: DataFrame, links: int = LINKS, sets: int = PLANE_SETS, block:
     return codes, graph
 
 
-def search(codes: DataFrame, graph: DataFrame, chosen: Column, held: int = HELD, step: int = STEP, steps: int = STEPS) -> DataFrame:
+def search(codes: DataFrame, graph: DataFrame, chosen: Column, entries: list[int], held: int = HELD, step: int = STEP, steps: int = STEPS) -> DataFrame:
     """(query, ids) with the ``held`` best found for every vector of the graph that ``chosen``, a condition on ``id``, holds for.
 
-    A query starts at its own list. In each step the best ``step`` vectors that it has not gone on from name their neighbours.
+    A query starts at its own node and at the ``entries``. In each step the best ``step`` vectors that it has not gone on from name their neighbours.
+    Similarity to a query leaves out the component that made vectors equally long, so it orders as the inner product does.
     """
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = codes.filter(chosen).select(F.col("id").alias("query"), F.col("code").alias("asked"))
-    state = graph.filter(chosen).select(F.col("id").alias("query"), "ids", "sims", F.array().cast("array<bigint>").alias("done"))
-    for _ in range(steps):
-        state = state.withColumn("next", F.slice(F.filter("ids", lambda i: ~F.array_contains("done", i)), 1, step))
+    none = F.array().cast("array<bigint>")
+    state = graph.filter(chosen).select(F.col("id").alias("query"), none.alias("ids"), F.array().cast("array<float>").alias("sims"), none.alias("done"))
+    for turn in range(steps + 1):
+        ahead = F.slice(F.filter("ids", lambda i: ~F.array_contains("done", i)), 1, step) if turn else F.array("query")
+        state = state.withColumn("next", ahead)
         state = written(state.withColumn("done", F.concat("done", "next")), "search")
         names = graph.select(F.col("id").alias("at"), "ids")
-        found = state.select("query", F.explode("next").alias("at")).join(names, "at").select("query", F.explode("ids").alias("id")).distinct()
+        found = state.select("query", F.explode("next").alias("at")).join(names, "at").select("query", F.explode("ids").alias("id"))
+        if not turn and entries:
+            found = found.unionByName(state.select("query", F.explode(F.array(*map(F.lit, entries))).alias("id")))
+        found = found.distinct()
         known = state.select("query", F.explode("ids").alias("id"))
         new = found.filter("id <> query").join(known, ["query", "id"], "left_anti").join(codes, "id").select(
             "query", "id", "code", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<float>").alias("sims"),
@@ -252,7 +260,7 @@ def search(codes: DataFrame, graph: DataFrame, chosen: Column, held: int = HELD,
                     row = table.slice(int(head), 1).to_pylist()[0]
                     some = np.arange(lo, hi) != head
                     names = np.concatenate([np.array(row["ids"], np.int64), ids[lo:hi][some].astype(np.int64)])
-                    sims = np.concatenate([np.array(row["sims"], np.float32), x[lo:hi][some] @ x[head]])
+                    sims = np.concatenate([np.array(row["sims"], np.float32), x[lo:hi][some][:, :-1] @ x[head][:-1]])
                     best = np.lexsort((names, -sims))[:held]
                     for name, value in (("query", row["query"]), ("ids", names[best]), ("sims", sims[best]), ("done", row["done"])):
                         out[name].append(value)
@@ -270,14 +278,18 @@ def nearest(vectors: DataFrame, chosen: Column, k: int = K, vec_id: str = "vec_i
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, nearest first, equal scores by smaller id.
 
     ``chosen`` is a condition on ``id`` that picks the queries among the rows; a query is never its own neighbour. ``score`` is
-    the inner product of the original vectors in double precision. Vectors that are NULL, zero, of another length than most or
+    the inner product of the original vectors in double precision. The graph keeps more links than ``k``, so that even a
+    query in a clump of its own finds enough. Vectors that are NULL, zero, of another length than most or
     that hold NULL or non-finite components take no part, nor do rows without an id. Rows that repeat an id and its
     vector count once; of rows that share an id but not the vector, the greatest vector counts. With few vectors all others are found.
     An empty table gives an empty table.
     """
+    options = {"links": max(LINKS, k + 4)} | options
     usable_rows = written(usable(vectors, vec_id, vector).groupBy("id").agg(F.max("vec").alias("vec")), "vectors")
     codes, graph = build(usable_rows, **options)
-    found = search(codes, graph, chosen).select(F.col("query").alias("query_id"), F.explode("ids").alias("id"))
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    longest = [r["id"] for r in usable_rows.orderBy(square.desc(), "id").select("id").limit(ENTRIES).collect()]
+    found = search(codes, graph, chosen, longest).select(F.col("query").alias("query_id"), F.explode("ids").alias("id"))
     asked = usable_rows.filter(chosen).select(F.col("id").alias("query_id"), F.col("vec").alias("asked"))
     scored = found.join(usable_rows, "id").join(asked, "query_id").select("query_id", F.col("id").alias("vec_id"), F.aggregate(
         F.zip_with("asked", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
