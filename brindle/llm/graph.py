@@ -26,6 +26,11 @@ def _small_star(links: DataFrame) -> DataFrame:
     return tied.unionByName(smallest.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _sign(links: DataFrame):
+    """What tells a set of links from another."""
+    return links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; ``component`` is the smallest node reachable.
 
@@ -34,10 +39,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     real = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = real.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    now, before = written(now, "links"), None
+    now = written(now, "links")
+    before = _sign(now)
     while True:
         stars = written(_small_star(_large_star(now)), "stars")
-        sign = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        sign = _sign(stars)
         if sign == before:
             ends = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return ends.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

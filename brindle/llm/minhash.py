@@ -127,8 +127,10 @@ def open_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that may reach the similarity; ``texts`` is (class_id, of, text).
 
     An exact filter: ordered by rarity, two sets of that similarity share one of their first shingles, as many as may differ and one
-    more. A passage that very many texts share is not among the rarest parts of a text unless it is nearly all of it. Within a
-    shingle a class meets the classes of the other components only, so groups of copies do not meet themselves.
+    more; the shorter set of a pair needs only those that could be missing from a set of its own size. What is left of both behind
+    the shared shingle must still be enough. A passage that very many texts share is not among the rarest parts of a text unless
+    it is nearly all of it. Within a shingle a class meets the classes of the other components only, so groups of copies
+    do not meet themselves.
     """
     counts = _bucket_counts(texts, shingle)
 
@@ -144,21 +146,26 @@ def open_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                     heads.append(one[order[:held]] if len(one) else one)
                 sizes = [len(h) for h in heads]
                 owner = np.repeat(np.arange(len(sets)), sizes)
+                place = np.concatenate([np.arange(n) for n in sizes]) if heads else np.empty(0, np.int64)
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([
                     some.column(0).take(take), some.column(1).take(take), pa.array(np.array([len(x) for x in sets], np.int64)[owner]),
-                    pa.array(np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)),
-                ], names=["class_id", "of", "n", "shingle"])
+                    pa.array(np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)), pa.array(place, pa.int64()),
+                ], names=["class_id", "of", "n", "shingle", "at"])
 
-    rows = texts.select("class_id", "of", "text").mapInArrow(prefixes, "class_id bigint, of bigint, n bigint, shingle bigint")
+    rows = texts.select("class_id", "of", "text").mapInArrow(prefixes, "class_id bigint, of bigint, n bigint, shingle bigint, at bigint")
     rows = written(rows, "prefixes")
-    split = rows.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("shingle")
+    short = F.expr(f"at < n + 1 - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
+    split = rows.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.bool_or(short).alias("s")).filter("x < y AND s").select("shingle")
     rows = written(rows.join(split, "shingle", "left_semi"), "prefixes")
     others = rows.select("shingle", F.col("of").alias("other")).distinct()
-    asking = rows.join(others, "shingle").filter("of < other").select("shingle", "other", F.col("class_id").alias("x"), F.col("n").alias("nx"))
-    asked = rows.select("shingle", F.col("of").alias("other"), F.col("class_id").alias("y"), F.col("n").alias("ny"))
-    met = asking.join(asked, ["shingle", "other"]).filter(_fits("nx", "ny", percent))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one, two = ([F.col(c).alias(f"{side}_{c}") for c in ("class_id", "n", "at")] for side in "xy")
+    asking = rows.filter(short).join(others, "shingle").filter("of <> other").select("shingle", "other", *one)
+    asked = rows.select("shingle", F.col("of").alias("other"), *two)
+    shorter = "(x_n < y_n OR (x_n = y_n AND x_class_id < y_class_id))"
+    left = f"1 + least(x_n - x_at - 1, y_n - y_at - 1) >= ({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent}"
+    met = asking.join(asked, ["shingle", "other"]).filter(f"{shorter} AND 100 * x_n >= {percent} * y_n AND {left}")
+    return met.select(F.least("x_class_id", "y_class_id").alias("a"), F.greatest("x_class_id", "y_class_id").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
