@@ -19,6 +19,11 @@ from brindle.session import fresh_path
 _trained: dict = {}
 
 
+def forget() -> None:
+    """Drop the fits kept for the queries of one folder."""
+    _trained.clear()
+
+
 def account(t):
     """Orders with their customer's segment and a Yes/No outcome."""
     joined = t.wide("orders", "o_orderkey").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))

@@ -123,8 +123,6 @@ def _(t):
 SELECT request_id, path, status_code, {rd('duration_ms', 2)} AS duration_ms,
  CASE WHEN status_code >= 500 THEN 'error' WHEN status_code >= 400 THEN 'warning' ELSE 'info' END AS severity FROM {REQUESTS} WHERE path <> '/health'""")
 def _(t):
-    class Streamed:
-        events = J.file_stream(t.spark, t.stream_path("events"), t.events.schema)
-
-    rows = J.audit_stream(requests(Streamed).drop("event_type"), "ts", "request_id")
+    events = J.file_stream(t.spark, t.stream_path("events"), t.events.schema)
+    rows = J.audit_stream(requests(events), "ts", "request_id")
     return J.run_available(rows, fresh_path(t.spark, "audit"), fresh_path(t.spark, "audit-log")).drop("ts")

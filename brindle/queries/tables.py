@@ -259,9 +259,9 @@ REQUESTS = """(SELECT event_id AS request_id, CASE event_type WHEN 'view' THEN '
  CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END AS status_code, value * 1.2345 AS duration_ms FROM events)"""
 
 
-def requests(t):
+def requests(events):
     kind = F.col("event_type")
-    return t.events.select(
+    return events.select(
         F.col("event_id").alias("request_id"), "ts",
         F.when(kind == "view", "/health").otherwise(F.concat(F.lit("/"), kind)).alias("path"),
         F.when(kind == "error", 503).when(kind == "signup", 404).otherwise(200).alias("status_code"),
@@ -274,7 +274,7 @@ SELECT request_id, path, status_code, {rd('duration_ms', 2)} AS duration_ms,
  CASE WHEN status_code >= 500 THEN 'error' WHEN status_code >= 400 THEN 'warning' ELSE 'info' END AS severity FROM {REQUESTS} WHERE path <> '/health'""")
 def _(t):
     path = fresh_path(t.spark, "audit")
-    tables.audit_rows(requests(t)).drop("ts").write.mode("append").parquet(path)
+    tables.audit_rows(requests(t.events)).drop("ts").write.mode("append").parquet(path)
     return t.spark.read.parquet(path)
 
 
