@@ -6,6 +6,7 @@ import json
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -13,8 +14,8 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-# Words a worker remembers; a full memory is emptied and filled again.
-REMEMBERED_WORDS = 1_500_000
+# Words a worker remembers. A full memory forgets its later half: the words met first are the common ones.
+REMEMBERED_WORDS = 700_000
 
 # White space as the tokenizer sees it: the separators 1C-1F are not part of it.
 _SPACE = r"[^\S\x1c-\x1f]"
@@ -56,7 +57,8 @@ class Encoder:
 
     def _learn(self, memory: dict, words: list[str], texts: list[str]) -> None:
         if len(memory) > REMEMBERED_WORDS:
-            memory.clear()
+            for word in list(islice(memory, REMEMBERED_WORDS // 2, None)):
+                del memory[word]
         memory.update(zip(words, self._fresh(texts)))
 
     def _look_up(self, memory: dict, words: list[str], spaced: bool) -> bytes:
