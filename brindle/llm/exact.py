@@ -102,7 +102,9 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     id_, sha = "__kept_id", "__kept_sha256"
     stay = flags.filter("kept").join(odd.select("doc_id"), flags["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi")
-    stay = stay.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias("__sha")).distinct()
+    stay = written(stay.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias("__sha")).distinct(), "stay")
+    if stay.isEmpty():
+        return plain
     rows = docs.withColumn(sha, F.sha2(lowered(F.col(text)), 256))
     rows = rows.join(stay, rows[doc_id].eqNullSafe(stay[id_]) & (rows[sha] == stay["__sha"]), "left_semi")
     return plain.unionByName(rows.dropDuplicates([doc_id, sha]).drop(sha))
