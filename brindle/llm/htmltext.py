@@ -42,6 +42,11 @@ FURNITURE_NAMES = frozenset((
     "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "search", "share", "sharing",
     "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 ))
+REPLY_NAMES = frozenset(("comment", "comments", "discussion", "disqus", "replies", "respond"))
+# Names of elements that hold the whole main text, elements that are text beside it, and elements nobody reads.
+CONTENT_NAMES = frozenset(("article", "content", "entry", "main", "post", "story"))
+TEXT_ELEMENTS = frozenset(("blockquote", "dl", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "p", "pre", "table", "ul"))
+UNREAD = RAW | frozenset(("head", "noscript", "select", "svg", "template"))
 
 _MARK = re.compile(
     r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>))""", re.DOTALL)
@@ -119,25 +124,47 @@ def parse(page: str) -> Tree:
     return tree
 
 
+def _most_text(tree: Tree) -> list[bool]:
+    """Nodes that hold more than half of the page's text outside links."""
+    n = len(tree.tag)
+    unread = [False] * n
+    for i in range(1, n):
+        unread[i] = unread[tree.parent[i]] or tree.tag[i] == "a" or tree.tag[i] in UNREAD
+    held = [0] * n
+    for node, text in tree.text:
+        if text and not unread[node]:
+            held[node] += len(" ".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        held[tree.parent[i]] += held[i]
+    return [2 * h > held[0] for h in held]
+
+
 def _furniture(tree: Tree) -> list[bool]:
-    """Nodes that are furniture by element or name, or lie inside one."""
+    """Nodes that are furniture by element or name, or lie inside one.
+
+    A form or a named wrapper that holds the head of the text or most of the page's text is the page, not furniture. Replies may
+    well be longer than what they reply to: they are spared only where nothing else heads the page.
+    """
     n = len(tree.tag)
     holds_head = [t in ("h1", "main") or t == "article" and not names & FURNITURE_NAMES for t, names in zip(tree.tag, tree.names)]
     for i in range(n - 1, 0, -1):
         if holds_head[i]:
             holds_head[tree.parent[i]] = True
+    most = _most_text(tree)
     inside_article, out = [False] * n, [False] * n
     for i in range(1, n):
-        tag, up = tree.tag[i], tree.parent[i]
+        tag, up, names = tree.tag[i], tree.parent[i], tree.names[i]
         inside_article[i] = inside_article[up] or tag in ("article", "main")
-        named = bool(tree.names[i] & FURNITURE_NAMES) and tag not in ("html", "body", "main") and not holds_head[i]
-        header = (tag == "header" or "header" in tree.names[i]) and not inside_article[i] and not holds_head[i]
-        out[i] = out[up] or tag in FURNITURE_TAGS or named or header or "#hidden" in tree.names[i] and not holds_head[i]
+        spared = holds_head[i] or most[i] and not (names & REPLY_NAMES and holds_head[0])
+        named = bool(names & FURNITURE_NAMES) and tag not in ("html", "body", "main") and not spared
+        header = (tag == "header" or "header" in names) and not inside_article[i] and not spared
+        element = tag in FURNITURE_TAGS and not (tag == "form" and spared)
+        out[i] = out[up] or element or named or header or "#hidden" in names and not holds_head[i]
     return out
 
 
-def densities(tree: Tree, out: list[bool]) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and the sum over its children. Furniture has none.
+def densities(tree: Tree, out: list[bool]) -> tuple[list[float], list[float], list[bool]]:
+    """Composite density of every node, the sum over its children, and whether most of its text is links. Furniture has none.
 
     Only blocks are added up: a word in bold is no part that a text consists of, though its mark counts.
     """
@@ -174,30 +201,44 @@ def densities(tree: Tree, out: list[bool]) -> tuple[list[float], list[float]]:
         density[i] = max(0.0, c / max(1, marks[i]) * log(max(1.0, ratio)) / log(max(e, base)))
         if i and tree.tag[i] in BLOCKS:
             total[tree.parent[i]] += density[i]
-    return density, total
+    return density, total, [2 * lc > c for c, lc in zip(chars, link_chars)]
 
 
 def main_nodes(tree: Tree, out: list[bool]) -> list[bool]:
-    """The subtree with the greatest sum of child densities, and what belongs to it.
+    """The main text: dense subtrees from the body down, and what belongs to them.
 
-    The smallest density on its path up to the body is the threshold: subtrees beside it with the same element and names, whose
-    density and sum reach the threshold, are parts of the same text.
+    The smallest density on the path from the subtree with the greatest sum of child densities up to the body is the threshold. From
+    the body down, as long as nodes reach it, each gives the subtree with the greatest sum inside it. The first one is
+    taken with the whole article, main or content element it lies in, and text elements beside any of them (headings, short
+    paragraphs) belong to it unless most of their text is links.
     """
-    density, total = densities(tree, out)
+    density, total, linked = densities(tree, out)
     n = len(tree.tag)
-    best = max(range(n), key=lambda i: (total[i], density[i], -i))
+    # What is best inside each node: the greatest sum, then the greatest density, then the first.
+    inside = list(range(n))
+    for i in range(n - 1, 0, -1):
+        up = tree.parent[i]
+        if not out[i] and (total[inside[i]], density[inside[i]], -inside[i]) > (total[inside[up]], density[inside[up]], -inside[up]):
+            inside[up] = inside[i]
+    best = inside[0]
     if not total[best] and not density[best]:
         best = 0
-    path, up = [], best
+    up, threshold, top = best, density[best], best
     while up > 0 and tree.tag[up] != "body":
-        path.append(up)
+        if tree.tag[up] in ("article", "main") or tree.names[up] & CONTENT_NAMES:
+            top = up
         up = tree.parent[up]
-    threshold = min((density[i] for i in (*path, up)), default=0.0)
+        threshold = min(threshold, density[up])
+    reached, heads = [False] * n, {top}
+    for i in range(up, n):
+        reached[i] = not out[i] and density[i] >= threshold and (i == up or reached[tree.parent[i]])
+        if reached[i] and (i == up or tree.tag[i] in BLOCKS):
+            heads.add(inside[i])
+    beside = {tree.parent[i] for i in heads if i != up}
     chosen = [False] * n
     for i in range(n):
-        part = (tree.parent[i], tree.tag[i], tree.names[i]) == (tree.parent[best], tree.tag[best], tree.names[best])
-        reached = i == best or part and density[i] >= threshold and total[i] >= threshold
-        chosen[i] = not out[i] and (reached or i > 0 and chosen[tree.parent[i]])
+        part = i in heads or tree.parent[i] in beside and tree.tag[i] in TEXT_ELEMENTS and not linked[i]
+        chosen[i] = not out[i] and (part or i > 0 and chosen[tree.parent[i]])
     return chosen
 
 

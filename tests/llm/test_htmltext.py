@@ -62,3 +62,43 @@ def test_table(frame):
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted([(1, "u", WANT, len(WANT)), (2, None, "", 0), (2, None, "", 0), (None, "u", "ä", 1)], key=str)
     assert extract_pages(frame([], "page_id long, url string, html string")).count() == 0
+
+
+def paragraphs(n, size=400, first=0):
+    return [f"{i:03d} " + "word " * ((size - 4) // 5 - 1) + "last" for i in range(first, first + n)]
+
+
+def marked(parts, tag="p"):
+    return "".join(f"<{tag}>{p}</{tag}>" for p in parts)
+
+
+@pytest.mark.parametrize("holder", ["article", "main", "div", "div id=content", "div class=wrap"])
+def test_sections_with_their_own_ids_and_lead_text(holder):
+    sections = [paragraphs(8, first=10 * i) for i in range(3)]
+    inner = "<h1>Head</h1><p>Short lead.</p>" + "".join(
+        f"<section id={i}><h2>On {i}</h2>{marked(s)}</section>" for i, s in zip(("history", "career", "works"), sections))
+    inner += "<p>Closing words.</p>"
+    want = ["Head", "Short lead."]
+    for i, s in zip(("history", "career", "works"), sections):
+        want += [f"On {i}", *s]
+    page = f"<body>{AROUND['menu']}{AROUND['named']}<{holder}>{inner}</{holder.split()[0]}>{AROUND['plain']}{AROUND['footer']}</body>"
+    assert main_text(page) == "\n\n".join([*want, "Closing words."])
+
+
+def test_sibling_with_direct_text_only():
+    text = paragraphs(4)
+    own = "Text of its own " * 40
+    page = f"<body><div class=one>{marked(text)}</div><div class=two>{own}</div>{AROUND['plain']}</body>"
+    assert main_text(page) == "\n\n".join([*text, own.strip()])
+
+
+@pytest.mark.parametrize("wrapper", ["form", "div class='widget page'", "div class=social", "div class=discussion", "header"])
+def test_wrapper_of_most_of_the_page(wrapper):
+    text = paragraphs(5)
+    page = f"<body>{AROUND['menu']}<{wrapper}>{marked(text)}{AROUND['named']}</{wrapper.split()[0]}>{AROUND['footer']}</body>"
+    assert main_text(page) == "\n\n".join(text)
+
+
+def test_form_around_an_article_and_replies_longer_than_it():
+    assert main_text(f"<body><form>{AROUND['menu']}{ARTICLE}<input name=x></form>{AROUND['footer']}</body>") == WANT
+    assert main_text(f"<body>{ARTICLE}<div class=comments>{marked(paragraphs(9))}</div></body>") == WANT
