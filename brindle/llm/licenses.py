@@ -40,12 +40,56 @@ SENTENCES = {
     "cc-by-4-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc0-reference": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "apache2-copy-at": "You may obtain a copy of the License at",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "mit-notice-next": "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-reference": "Distributed under the Boost Software License, Version 1.0.",
+    "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "mpl2-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain.",
+    "wtfpl-title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "epl2-reference": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl21-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-or-later-2": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc-by-sa-4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-4-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-nd-4-reference": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4-reference": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4-reference": "Licensed under CC BY-NC-ND 4.0.",
 }
+# Identifiers in "SPDX-License-Identifier:" lines, and the licence where an old identifier stands for another.
+SPDX = {i: i for i in (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "PostgreSQL", "PSF-2.0", "Unlicense", "WTFPL", "Zlib",
+    "Apache-2.0 OR MIT", "MIT OR Apache-2.0", "Apache-2.0 WITH LLVM-exception", "GPL-2.0-only WITH Linux-syscall-note",
+)} | {
+    "AGPL-3.0": "AGPL-3.0-only", "GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only",
+    "GPL-2.0 WITH Linux-syscall-note": "GPL-2.0-only WITH Linux-syscall-note",
+}
+SENTENCES |= {f"spdx-{i}": f"SPDX-License-Identifier: {i}" for i in SPDX}
 
 # Fixed values: (rule, licence, sentences in order). Longer rules come before rules whose sentences they hold.
 RULES = (
     ("mit-text", "MIT", ("mit-grant", "mit-notice", "as-is", "no-liability")),
     ("apache2-header", "Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-basis", "apache2-see")),
+    ("apache2-header-url", "Apache-2.0", ("apache2-grant", "apache2-copy-at", "apache2-basis", "apache2-see")),
+    ("mit-text-next", "MIT", ("mit-grant", "mit-notice-next", "as-is", "no-liability")),
     ("bsd3-text", "BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorsement")),
     ("bsd2-text", "BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("gpl3-header", "GPL-3.0-or-later", ("gpl3-or-later", "gpl-hope", "gpl-see")),
@@ -65,11 +109,51 @@ RULES = (
     ("cc-by-4-long", "CC-BY-4.0", ("cc-by-4-long",)),
     ("cc-by-nc-4-long", "CC-BY-NC-4.0", ("cc-by-nc-4-long",)),
     ("cc0-reference", "CC0-1.0", ("cc0-reference",)),
+    ("mit-grant-only", "MIT", ("mit-grant",)),
+    ("apache2-title", "Apache-2.0", ("apache2-title",)),
+    ("isc-grant", "ISC", ("isc-grant",)),
+    ("isc-grant-2", "ISC", ("isc-grant-2",)),
+    ("0bsd-grant", "0BSD", ("0bsd-grant",)),
+    ("zlib-grant", "Zlib", ("zlib-grant",)),
+    ("bsl-reference", "BSL-1.0", ("bsl-reference",)),
+    ("bsl-title", "BSL-1.0", ("bsl-title",)),
+    ("mpl2-header", "MPL-2.0", ("mpl2-header",)),
+    ("unlicense-text", "Unlicense", ("unlicense-text",)),
+    ("wtfpl-title", "WTFPL", ("wtfpl-title",)),
+    ("epl2-reference", "EPL-2.0", ("epl2-reference",)),
+    ("gpl3-title", "GPL-3.0", ("gpl3-title",)),
+    ("gpl2-title", "GPL-2.0", ("gpl2-title",)),
+    ("lgpl3-title", "LGPL-3.0", ("lgpl3-title",)),
+    ("lgpl21-title", "LGPL-2.1", ("lgpl21-title",)),
+    ("agpl3-title", "AGPL-3.0", ("agpl3-title",)),
+    ("gpl2-only", "GPL-2.0-only", ("gpl2-only",)),
+    ("lgpl21-grant", "LGPL-2.1-or-later", ("lgpl21-or-later",)),
+    ("lgpl3-grant", "LGPL-3.0-or-later", ("lgpl3-or-later",)),
+    ("lgpl3-grant-2", "LGPL-3.0-or-later", ("lgpl3-or-later-2",)),
+    ("agpl3-grant", "AGPL-3.0-or-later", ("agpl3-or-later",)),
+    ("cc-by-sa-4-long", "CC-BY-SA-4.0", ("cc-by-sa-4-long",)),
+    ("cc-by-nd-4-long", "CC-BY-ND-4.0", ("cc-by-nd-4-long",)),
+    ("cc-by-nc-sa-4-long", "CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-long",)),
+    ("cc-by-nc-nd-4-long", "CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-long",)),
+    ("cc-by-nd-4-reference", "CC-BY-ND-4.0", ("cc-by-nd-4-reference",)),
+    ("cc-by-nc-sa-4-reference", "CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-reference",)),
+    ("cc-by-nc-nd-4-reference", "CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-reference",)),
+    *((f"spdx-{i}", license_, (f"spdx-{i}",)) for i, license_ in SPDX.items()),
 )
 
 # Each identifier is one private character in a sequence; used-up sentences leave a mark that no rule holds.
 FIRST_SIGN, USED, BREAK = 0xE000, "|", "\x1e"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+# Marks of comment lines that are words; all others vanish with what is no letter or digit. "2.0+" is an old "2.0-or-later".
+COMMENT_WORDS = r"(?m)^[ \t]*(?:dnl|@?rem|REM|[cC](?=[ \t]{2}|\r?$))(?=\s|$)"
+OR_LATER = r"(SPDX-License-Identifier:[ \t]*[A-Z]+-[0-9.]+)\+"
+# Sentences end at . ! or ? before white space, after copyright, coding and #! lines, and at lines without a letter or digit.
+ENDS = r"([.!?])\s+|((?i:copyright)[ \t]+(?:\([cC]\)|©|[0-9]{4})[^\n]*+|-\*-[ \t]*|^#![^\n]*+)\n|\n[^\p{L}\p{N}\n]*+\n"
+# Where a sentence that is not known may yet end: at a colon, and at the number of a list that follows it or starts a line.
+NUMBER = r"\(?(?:[0-9]{1,2}|[a-zA-Z])[.)](?=\s|$)"
+COLON = r"(?<!Identifier)(?<!free software):(?=\s|$)"
+PARTS = rf"{COLON}[^\p{{L}}\p{{N}}]*+{NUMBER}|{COLON}\s*|(?:^|\n)[^\p{{L}}\p{{N}}\n]*?{NUMBER}"
+ADDRESS = r"\s+https?://\S+\s*$"
 
 
 def normalised(sentence: Column) -> Column:
@@ -78,9 +162,9 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end at . ! or ? before white space and at empty lines; a line end alone does not end one."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+|\n\s*\n", f"$1{BREAK}")
-    return F.split(marked, BREAK)
+    """Sentences of a text, be it a comment block or not; a line end alone does not end one."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT_WORDS, ""), OR_LATER, "$1-or-later")
+    return F.split(F.regexp_replace(plain, ENDS, f"$1$2{BREAK}"), BREAK)
 
 
 def known_plain() -> dict[str, str]:
@@ -91,20 +175,24 @@ def known_plain() -> dict[str, str]:
     return {s: chr(FIRST_SIGN + i) for i, s in enumerate(plain)}
 
 
-def _sign_of(sentence: Column, known: Column) -> Column:
-    return F.coalesce(F.try_element_at(known, normalised(sentence)), F.lit(""))
-
-
 def sign_sequence(text: Column) -> Column:
-    """Signs of the known sentences in order. Where a sentence over several lines is unknown, its lines are tried alone."""
+    """Signs of the known sentences in order. Where a sentence is unknown it is tried without an address
+    at its end, then its parts, and the lines of unknown parts."""
     known = F.create_map(*[F.lit(x) for x in chain.from_iterable(known_plain().items())])
 
-    def signs(sentence: Column) -> Column:
-        whole = _sign_of(sentence, known)
-        lines = F.array_join(F.transform(F.split(sentence, "\n"), lambda line: _sign_of(line, known)), "")
-        return F.when((whole == "") & F.contains(sentence, F.lit("\n")), lines).otherwise(whole)
+    def sign(sentence: Column, otherwise: Column) -> Column:
+        without = F.try_element_at(known, normalised(F.regexp_replace(sentence, ADDRESS, "")))
+        return F.coalesce(F.try_element_at(known, normalised(sentence)), F.when(F.contains(sentence, F.lit("://")), without), otherwise)
+
+    def lines(part: Column) -> Column:
+        alone = F.array_join(F.transform(F.split(part, "\n"), lambda line: sign(line, F.lit(""))), "")
+        return F.when(F.contains(part, F.lit("\n")), alone).otherwise("")
+
+    def parts(sentence: Column) -> Column:
+        each = F.array_join(F.transform(F.split(sentence, PARTS), lambda part: sign(part, lines(part))), "")
+        return F.when(F.rlike(sentence, F.lit(PARTS)), each).otherwise(lines(sentence))
 
-    return F.array_join(F.transform(sentences(text), signs), "")
+    return F.array_join(F.transform(sentences(text), lambda sentence: sign(sentence, parts(sentence))), "")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,11 +205,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sign = dict(zip(SENTENCES, known_plain().values()))
     rows = docs.select(F.col(doc_id).alias("doc_id"), sign_sequence(F.col(text)).alias("left")).filter("left <> ''")
     rows = rows.withColumn("n_known", F.char_length("left").cast("bigint"))
-    left, counts = F.col("left"), []
-    for rule, license_, parts in RULES:
-        sequence = "".join(sign[p] for p in parts)
-        counts.append(F.struct(F.lit(license_).alias("license"), F.lit(rule).alias("rule"),
-                               F.regexp_count(left, F.lit(sequence)).cast("bigint").alias("n_matches")))
-        left = F.replace(left, F.lit(sequence), F.lit(USED))
-    found = rows.select("doc_id", "n_known", F.explode(F.array(*counts)).alias("m")).filter("m.n_matches > 0")
+    rules = F.array(*[F.struct(F.lit(license_).alias("license"), F.lit(rule).alias("rule"), F.lit("".join(sign[p] for p in parts)).alias("sequence"))
+                      for rule, license_, parts in RULES])
+
+    def apply(state: Column, rule: Column) -> Column:
+        left, sequence = state["left"], rule["sequence"]
+        n = ((F.char_length(left) - F.char_length(F.replace(left, sequence, F.lit("")))) / F.char_length(sequence)).cast("bigint")
+        hit = F.struct(rule["license"].alias("license"), rule["rule"].alias("rule"), n.alias("n_matches"))
+        held = F.contains(left, sequence)
+        return F.struct(F.when(held, F.replace(left, sequence, F.lit(USED))).otherwise(left).alias("left"),
+                        F.when(held, F.array_append(state["hits"], hit)).otherwise(state["hits"]).alias("hits"))
+
+    none = F.array().cast("array<struct<license:string,rule:string,n_matches:bigint>>")
+    hits = F.aggregate(rules, F.struct(F.col("left"), none.alias("hits")), apply, lambda state: state["hits"])
+    found = rows.select("doc_id", "n_known", F.explode(hits).alias("m"))
     return found.select("doc_id", "m.license", "m.rule", "m.n_matches", "n_known")
