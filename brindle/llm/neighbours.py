@@ -3,7 +3,8 @@
 The graph starts from blocks of vectors that fall on the same side of random planes, compared within the block. Then
 neighbours of neighbours meet: every vector gathers those it names and those that name it, compares them with each other and
 tells each the best of the others, until few lists change. A query goes from the best known vectors to their neighbours.
-Graph and search work on half-precision copies; scores are those of the original vectors in double precision.
+The graph works on single-precision copies of length 1, so that no length takes the precision of another; the search multiplies the
+length back in. Scores are those of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from brindle.session import written
 K = 20
 # Neighbours kept in the graph, plane sets to start from, vectors of a block at most on average.
 LINKS, PLANE_SETS, BLOCK = 24, 12, 4096
-# Names of a vector that meet its neighbours, best others told to each, rounds, and the share of changed places that ends them.
-NAMED_BY, TOLD, ROUNDS, SETTLED = 16, 8, 3, 0.05
+# Names of a vector that meet its neighbours, best others told to each, and the share of changed places that ends the rounds.
+NAMED_BY, TOLD, SETTLED = 16, 8, 0.05
 # Best vectors a search holds, those it goes on from in one step, steps.
 HELD, STEP, STEPS = 96, 48, 3
 # The longest vectors, which every query looks at first: where lengths differ, they win inner products far from the query.
 ENTRIES = 64
 SEED = 11
-VECTORS = "id long, code binary"
+VECTORS = "id long, code binary, length double"
 LISTS = "id long, ids array<bigint>, sims array<float>, changed int"
 
 
@@ -45,23 +46,23 @@ def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    """Rows of half-precision numbers as single precision."""
+    """Rows of single-precision numbers."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float16).reshape(len(values), -1).astype(np.float32)
+    return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
 
 
 def encoded(vectors: DataFrame) -> DataFrame:
-    """(id, code): scaled by the longest vector and made equally long by one more component, so that the greatest
-    inner product is the smallest distance."""
-    longest = vectors.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
-
+    """(id, code, length): the vector at length 1, and its length."""
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column(1)) / longest
-                rest = np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(axis=1, keepdims=True)))
-                code = np.concatenate([v, rest], axis=1).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in code], pa.binary())], names=["id", "code"])
+                v = _matrix(batch.column(1))
+                most = np.abs(v).max(axis=1, keepdims=True)
+                length = np.linalg.norm(v / most, axis=1, keepdims=True)
+                code = (v / most / length).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), pa.array([r.tobytes() for r in code], pa.binary()), pa.array((most * length).ravel())],
+                    names=["id", "code", "length"])
 
     return vectors.select("id", "vec").mapInArrow(encode, VECTORS)
 
@@ -140,7 +141,7 @@ def start(codes: DataFrame, n: int, links: int, sets: int, block: int, seed: int
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), batch.column(1), pa.array(list(side.astype(np.int64)), pa.list_(pa.int64()))], names=["id", "code", "side"])
 
-    placed = codes.mapInArrow(sides, "id long, code binary, side array<bigint>").select("id", "code", F.posexplode("side").alias("nth", "side"))
+    placed = codes.select("id", "code").mapInArrow(sides, "id long, code binary, side array<bigint>").select("id", "code", F.posexplode("side").alias("nth", "side"))
     sizes = placed.groupBy("nth", "side").agg(F.count("*").alias("n"))
     parts = F.pmod(F.xxhash64("id", "nth"), F.ceil(F.col("n") / block))
     blocks = placed.join(sizes, ["nth", "side"]).withColumn("part", parts).select("id", "code", F.struct("nth", "side", "part").alias("block"))
@@ -211,16 +212,20 @@ def meet(codes: DataFrame, graph: DataFrame, named_by: int, told: int) -> DataFr
     return rows.repartition(parts, "hub").sortWithinPartitions("hub").mapInArrow(compare, LISTS)
 
 
-def build(vectors: DataFrame, links: int = LINKS, sets: int = PLANE_SETS, block: int = BLOCK, rounds: int = ROUNDS,
+def build(vectors: DataFrame, links: int = LINKS, sets: int = PLANE_SETS, block: int = BLOCK,
           settled: float = SETTLED, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(codes, graph) of usable vectors; every vector is a node. Each round is written to the shared folder."""
+    """(codes, graph) of usable vectors; every vector is a node. Each round is written to the shared folder.
+
+    Rounds end when few places change, or when two in a row do not change fewer than the best round before.
+    """
     codes = written(encoded(vectors), "codes")
     n = codes.count()
     graph = written(start(codes, n, links, sets, block, seed), "graph")
-    for _ in range(rounds):
+    fewest, idle = float("inf"), 0
+    while fewest > settled * links * n and idle < 2:
         graph = written(merge(meet(codes, graph, NAMED_BY, TOLD), graph, links), "graph")
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= settled * links * n:
-            break
+        changed = graph.agg(F.sum("changed")).first()[0] or 0
+        fewest, idle = min(fewest, changed), 0 if changed < fewest else idle + 1
     return codes, graph
 
 
@@ -228,12 +233,12 @@ def search(codes: DataFrame, graph: DataFrame, chosen: Column, entries: list[int
     """(query, ids) with the ``held`` best found for every vector of the graph that ``chosen``, a condition on ``id``, holds for.
 
     A query starts at its own node and at the ``entries``. In each step the best ``step`` vectors that it has not gone on from name their neighbours.
-    Similarity to a query leaves out the component that made vectors equally long, so it orders as the inner product does.
+    Similarity to a query is the cosine times the length of the other vector, so it orders as the inner product does.
     """
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = codes.filter(chosen).select(F.col("id").alias("query"), F.col("code").alias("asked"))
     none = F.array().cast("array<bigint>")
-    state = graph.filter(chosen).select(F.col("id").alias("query"), none.alias("ids"), F.array().cast("array<float>").alias("sims"), none.alias("done"))
+    state = graph.filter(chosen).select(F.col("id").alias("query"), none.alias("ids"), F.array().cast("array<double>").alias("sims"), none.alias("done"))
     for turn in range(steps + 1):
         ahead = F.slice(F.filter("ids", lambda i: ~F.array_contains("done", i)), 1, step) if turn else F.array("query")
         state = state.withColumn("next", ahead)
@@ -245,9 +250,10 @@ def search(codes: DataFrame, graph: DataFrame, chosen: Column, entries: list[int
         found = found.distinct()
         known = state.select("query", F.explode("ids").alias("id"))
         new = found.filter("id <> query").join(known, ["query", "id"], "left_anti").join(codes, "id").select(
-            "query", "id", "code", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<float>").alias("sims"),
+            "query", "id", "code", "length", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<double>").alias("sims"),
             F.lit(None).cast("array<bigint>").alias("done"))
-        old = state.join(own, "query").select("query", F.lit(None).cast("bigint").alias("id"), F.col("asked").alias("code"), "ids", "sims", "done")
+        old = state.join(own, "query").select("query", F.lit(None).cast("bigint").alias("id"), F.col("asked").alias("code"),
+                                               F.lit(None).cast("double").alias("length"), "ids", "sims", "done")
 
         def go(batches):
             for table in whole_keys(batches, "query"):
@@ -255,22 +261,23 @@ def search(codes: DataFrame, graph: DataFrame, chosen: Column, entries: list[int
                 heads = np.flatnonzero(~np.asarray(table.column("ids").is_null()))
                 bounds = np.append(np.flatnonzero(np.concatenate(([True], queries[1:] != queries[:-1]))), len(queries))
                 ids, x = table.column("id").to_numpy(), _codes(table.column("code").combine_chunks())
+                lengths = np.asarray(table.column("length").to_numpy(), np.float64)
                 out = {"query": [], "ids": [], "sims": [], "done": []}
                 for head, lo, hi in zip(heads, bounds, bounds[1:]):
                     row = table.slice(int(head), 1).to_pylist()[0]
                     some = np.arange(lo, hi) != head
                     names = np.concatenate([np.array(row["ids"], np.int64), ids[lo:hi][some].astype(np.int64)])
-                    sims = np.concatenate([np.array(row["sims"], np.float32), x[lo:hi][some][:, :-1] @ x[head][:-1]])
+                    sims = np.concatenate([np.array(row["sims"], np.float64), (x[lo:hi][some] @ x[head]) * lengths[lo:hi][some]])
                     best = np.lexsort((names, -sims))[:held]
                     for name, value in (("query", row["query"]), ("ids", names[best]), ("sims", sims[best]), ("done", row["done"])):
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(out["query"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int64())),
-                    pa.array(out["sims"], pa.list_(pa.float32())), pa.array(out["done"], pa.list_(pa.int64())),
+                    pa.array(out["sims"], pa.list_(pa.float64())), pa.array(out["done"], pa.list_(pa.int64())),
                 ], names=["query", "ids", "sims", "done"])
 
         rows = new.unionByName(old).repartition(parts, "query").sortWithinPartitions("query")
-        state = rows.mapInArrow(go, "query long, ids array<bigint>, sims array<float>, done array<bigint>")
+        state = rows.mapInArrow(go, "query long, ids array<bigint>, sims array<double>, done array<bigint>")
     return state.select("query", "ids")
 
 

@@ -72,3 +72,18 @@ def test_lists_keep_the_best_distinct():
     owner, other = np.array([1, 1, 1, 1, 2]), np.array([5, 5, 6, 1, 7])
     batch = neighbours._lists(owner, other, np.array([0.5, 0.5, 0.9, 1.0, 0.1], np.float32), np.array([False, True, False, False, False]), 2)
     assert [(r["id"], r["ids"], r["changed"]) for r in batch.to_pylist()] == [(1, [6, 5], 1), (2, [7], 1)]
+
+
+@pytest.mark.parametrize("kind", ["outlier", "lengths"])
+def test_recall_where_lengths_differ(frame, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= 1.0 if kind == "outlier" else rng.lognormal(0, 0.4, size=(1500, 1))
+    x[7] *= 1e8 if kind == "outlier" else 1.0
+    schema = "vec_id long, embedding array<double>"
+    # blocks so small that seven planes part them, as 4096 of half a million vectors
+    got = by_query(neighbours.nearest(frame([(i, v.tolist()) for i, v in enumerate(x)], schema), F.col("id") % 20 == 0, block=12))
+    want = brute(dict(enumerate(x)), 20, range(0, 1500, 20))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 20 * len(want), hits / 20 / len(want)
