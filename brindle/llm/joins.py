@@ -1,0 +1,31 @@
+"""Joins of rows with one row per key, where one key may hold a third of the rows."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brindle.session import written
+
+# A key with more than one in so many rows is frequent, so there are fewer frequent keys than this.
+FREQUENT = 1000
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Columns of ``per_key``, which has one row per key and its number of rows in ``count``, added to ``rows``. NULL keys match NULL ones.
+
+    Frequent keys, fewer than ``FREQUENT`` whatever the size, are broadcast; rows of all others are joined by key, where no
+    key holds more than one in ``FREQUENT`` rows. ``count`` is not returned. ``how`` is inner or left.
+    """
+    renamed = {k: f"_k_{k}" for k in keys}
+    table = written(per_key.withColumnsRenamed(renamed), "per-key")
+    n = table.agg(F.sum(count)).first()[0] or 0
+    many = F.col(count) * FREQUENT > n
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()])
+    found = [c for c in per_key.columns if c not in (*keys, count)]
+    frequent = table.filter(many)
+    hot = rows.join(F.broadcast(frequent), match, "inner").select(*rows.columns, *found)
+    rest = rows.join(F.broadcast(frequent.select(*renamed.values())), match, "left_anti")
+    return hot.unionByName(rest.join(table.filter(~many), match, how).select(*rows.columns, *found))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import exact, framed, htmltext, langid, licenses, linejoin, minhash, mixing, neighbours, packing
+from brindle.llm import exact, framed, htmltext, langid, licenses, linejoin, minhash, mixing, neighbours, packing, shallot, slices
 from brindle.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,71 @@ def _(spark, folder):
 @query("op6_nearest_neighbours")
 def _(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0"
+# Grid coordinates as doubles: whole numbers far below 2^53, so that dot products of them are exact.
+ON_GRID = "list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))"
+APART = "list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, c.v) + list_dot_product(c.v, c.v)"
+
+
+def _mean(sums: str, n: str) -> str:
+    """Floor of a quotient of whole numbers."""
+    return f"(({sums}) - ((({sums}) % ({n})) + ({n})) % ({n})) // ({n})"
+
+
+def _centroid_sql() -> str:
+    """The rounds one after another, every vector against every centroid."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT vec_id, {ON_GRID} AS v FROM embeddings WHERE len(embedding) = 64 AND {FINITE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8)"""]
+    for r in range(11):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT x.vec_id, any_value(x.v) AS v, min(ROW({APART}, c.c)) AS best FROM kept x, c{r} c GROUP BY x.vec_id)""")
+        if r < 10:
+            steps.append(f"""
+m{r} AS (SELECT c, i, {_mean('sum(CAST(x AS HUGEINT))', 'count(*)')} AS x FROM (
+         SELECT best[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+n{r} AS (SELECT c, list(CAST(x AS DOUBLE) ORDER BY i) AS v FROM m{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN n{r} n ON n.c = o.c)""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+       CAST(sum(CAST(best[1] AS BIGINT)) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+       CAST(sum(CAST(best[1] AS BIGINT)) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a10 JOIN c10 c ON c.c = best[2]"""
+
+
+def _codes_sql() -> str:
+    """The rounds one after another, every part against every entry of its codebook."""
+    steps = [f"""
+kept AS (SELECT vec_id, label, {ON_GRID} AS v FROM embeddings WHERE {FINITE}),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM kept, range(4) t(p)),
+c0 AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, v FROM parts
+                    WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))"""]
+    for r in range(5):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT x.vec_id, any_value(x.label) AS label, x.p, any_value(x.v) AS v, min(ROW({APART}, c.e)) AS best
+                      FROM parts x JOIN c{r} c ON c.p = x.p GROUP BY x.vec_id, x.p)""")
+        if r < 4:
+            steps.append(f"""
+m{r} AS (SELECT p, e, i, {_mean('sum(CAST(x AS HUGEINT))', 'count(*)')} AS x FROM (
+         SELECT p, best[2] AS e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY p, e, i),
+n{r} AS (SELECT p, e, list(CAST(x AS DOUBLE) ORDER BY i) AS v FROM m{r} GROUP BY p, e),
+c{r + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN n{r} n ON n.p = o.p AND n.e = o.e)""")
+    return f"""WITH {",".join(steps)},
+per AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(best[2] AS INTEGER)), '' ORDER BY p) AS code,
+               CAST(sum(CAST(best[1] AS BIGINT)) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS sha FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha FROM books) AS codebooks_sha256
+FROM per"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def _(spark, folder):
+    return slices.report(table(spark, folder, "embeddings"))
+
+
+@query("op13_centroids", _centroid_sql())
+def _(spark, folder):
+    return shallot.report(table(spark, folder, "embeddings"))
