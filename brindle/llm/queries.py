@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import exact, framed, htmltext, langid, licenses, linejoin, minhash, mixing, neighbours, packing, shallot, slices
+from brindle.llm import exact, framed, htmltext, langid, licenses, linejoin, minhash, mixing, neighbours, packing, shallot, slices, warc
 from brindle.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +171,23 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM per"""
 
 
+# base32 by 20 bits at a time: five hexadecimal digits give four letters.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@query("op11_warc_chunks", f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+numbered AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, 5 * i + 1, 5) AS INTEGER)) AS twenties,
+                    row_number() OVER (w ORDER BY page_id NULLS LAST) AS nth, first_value(page_id) OVER (w ORDER BY page_id NULLS LAST) AS head
+             FROM hashed WINDOW w AS (PARTITION BY payload))
+SELECT page_id, strlen(payload) AS payload_bytes,
+       array_to_string(list_transform(twenties, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('{ALPHABET}', ((n >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE nth WHEN 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN head END AS refers_to
+FROM numbered""")
+def _(spark, folder):
+    return warc.report(table(spark, folder, "pages"), fresh_path(spark, "archives"))
+
+
 @query("op12_vector_codes", _codes_sql())
 def _(spark, folder):
     return slices.report(table(spark, folder, "embeddings"))
