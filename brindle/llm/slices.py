@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.integers import SCALE, matrix, on_grid, sound, squared
-from brindle.llm.joins import join_per_key
+from brindle.operators.joins import join_per_key
 from brindle.session import written
 
 ENTRIES, PARTS, ROUNDS = 256, 4, 4

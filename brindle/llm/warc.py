@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.joins import join_per_key
-from brindle.session import fresh_path
+from brindle.operators.joins import join_per_key
 
 CHUNK_BYTES = 1 << 18
 # Rows and bytes given on at a time.
@@ -185,7 +184,7 @@ def write_archives(chunks: DataFrame, types: DataFrame, folder: str) -> DataFram
                             known = row
                             continue
                         if out is None:
-                            out = store.open_output_stream(f"{root}/{name}", buffer_size=1 << 20)
+                            out = store.open_output_stream(f"{root}/{name}", None, 1 << 20)
                         if row["chunk"] == 0:
                             start, packer = at, zlib.compressobj(6, zlib.DEFLATED, 31)
                             kind, head = _head(space, known | {"page_id": row["page_id"], "url": row["url"]})
@@ -297,7 +296,9 @@ def read_archives(index: DataFrame, folder: str, size: int = CHUNK_BYTES, data:
     With ``data`` false only the last row of each record comes, without its bytes; payloads are read and checked all the same. A
     file that holds another number of records than its index says is an error.
     """
+    # one row per file
     files = index.groupBy("file").agg(F.count("*").alias("records"))
+    files = files.withColumn("slot", (F.row_number().over(Window.orderBy("file")) - 1).cast("int"))
     slots = max(1, index.select("file").distinct().count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +306,7 @@ def read_archives(index: DataFrame, folder: str, size: int = CHUNK_BYTES, data:
         told = Gathered(FOUND)
         for row in (row for batch in batches for row in batch.to_pylist()):
             seen = 0
-            with store.open_input_stream(f"{root}/{row['file']}", buffer_size=1 << 20) as source:
+            with store.open_input_stream(f"{root}/{row['file']}", None, 1 << 20) as source:
                 for reader in members(source):
                     seen += 1
                     for found in read_record(reader, size):
@@ -320,7 +321,7 @@ def read_archives(index: DataFrame, folder: str, size: int = CHUNK_BYTES, data:
         if (rest := told.flush()) is not None:
             yield rest
 
-    return files.repartition(slots, "file").mapInArrow(read, FOUND)
+    return files.repartitionById(slots, F.col("slot")).mapInArrow(read, FOUND)
 
 
 def archive(pages: DataFrame, folder: str, least_bytes: int = 0, size: int = CHUNK_BYTES, page_id: str = "page_id", url: str = "url",
