@@ -82,14 +82,15 @@ def write_records(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: st
         store, root = _open(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:05d}-{uuid.uuid4().hex}.records"
-        encode, kind = encoder(path).encode, encoder(path).kind
-        end, at, out = np.array([END_ID], kind).tobytes(), 0, None
+        encode, kind = encoder(path).encode_batch, encoder(path).kind
+        at, out = 0, None
         try:
             for batch in batches:
+                encoded = encode(batch.column(1))
                 for lo in range(0, batch.num_rows, ROWS):
-                    some, index = batch.slice(lo, ROWS), []
-                    for key, one in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                        ids = np.frombuffer(encode(one) + end, kind)
+                    index = []
+                    for key, found in zip(batch.column(0).slice(lo, ROWS).to_pylist(), encoded):
+                        ids = np.append(found, END_ID).astype(kind)
                         record = frame(key, ids)
                         if out is None:
                             out = store.open_output_stream(f"{root}/{name}", buffer_size=1 << 20)

@@ -25,28 +25,31 @@ PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint, tier int, step_id bigint")
 
 
-def _dealt(doc_id: int | None, start: int, shares: int) -> int:
-    """Share of a piece: that of its document, or for full windows one per million ids of it."""
-    return zlib.crc32(f"{doc_id}/{start >> 20}".encode()) % shares
+def _dealt(doc_id: int | None, start: int, check: int, shares: int) -> int:
+    """Share of a piece: that of its document, or for full windows one per million ids of it.
+
+    ``check``, a checksum of the ids, parts documents without an id and those that repeat one.
+    """
+    return zlib.crc32(f"{doc_id}/{start >> 20}/{check}".encode()) % shares
 
 
 def cut(docs: DataFrame, shares: int, doc_id: str, text: str, vocabulary: str) -> DataFrame:
     """Full windows with their checksum, and the rest of each document with its ids."""
     def cut_batches(batches):
-        encode, kind = encoder(vocabulary).encode, encoder(vocabulary).kind
-        end = np.array([END_ID], kind).tobytes()
+        encode, kind = encoder(vocabulary).encode_batch, encoder(vocabulary).kind
         for batch in batches:
+            encoded = encode(batch.column(1))
             for lo in range(0, batch.num_rows, ROWS):
-                some, rows = batch.slice(lo, ROWS), []
-                for key, one in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    ids = np.frombuffer(encode(one) + end, kind)
+                rows = []
+                for key, found in zip(batch.column(0).slice(lo, ROWS).to_pylist(), encoded):
+                    ids = np.append(found, END_ID).astype(kind)
                     full = len(ids) // WINDOW * WINDOW
                     for at in range(0, full, WINDOW):
                         part = ids[at : at + WINDOW]
-                        rows.append((_dealt(key, at + 1, shares), key, at, WINDOW, ids_crc32(part), len(ids), None))
+                        rows.append((_dealt(key, at + 1, 0, shares), key, at, WINDOW, ids_crc32(part), len(ids), None))
                     if full < len(ids):
-                        rows.append((_dealt(key, 0, shares), key, full, len(ids) - full, None, len(ids),
-                                     ids[full:].astype("<u4").tobytes()))
+                        rest = ids[full:].astype("<u4").tobytes()
+                        rows.append((_dealt(key, 0, zlib.crc32(rest), shares), key, full, len(ids) - full, None, len(ids), rest))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.binary()])],
                     names=["share", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])

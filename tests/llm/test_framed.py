@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,6 @@ from brindle.session import fresh_path
 
 PATH = tokens.vocabulary_path()
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 
 
 def plain(text):
@@ -25,16 +26,23 @@ def ids_of(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \n\t\r\x0b\x1c\x1f\x85  　ab'sé!1<|>日", max_size=40))
+@given(st.text(alphabet=" \n\t\r\0\x0b\x1c\x1f.,;?ÿ×\x85  　ab'sé!1<|>日", max_size=40))
 def test_cut_texts_give_the_ids_of_whole_texts(text):
     assert ids_of(text) == plain(text)
 
 
-@pytest.mark.parametrize("text", [" a", "a ", "\n\na  b\n", "<|endoftext|> x", "it's we'll", "a\r\nb", "x" * 5000, "I  \n\n am"])
+@pytest.mark.parametrize("text", [" a", "a ", "\n\na  b\n", "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>\n\n<|endoftext|>", "Ends. Here, so!\nNew: a;b", "it's we'll", "a\r\nb", "x" * 5000, "I  \n\n am"])
 def test_special_spellings(text):
     assert ids_of(text) == plain(text)
 
 
+def test_batches_of_real_texts_give_the_ids_of_whole_texts():
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    texts = pa.concat_arrays([rows, pa.array([None, "", "a <|endoftext|> b", "x" * 9000, "a\n\n  b \t\n", "nul\0 in a text"])])
+    found = [ids.tolist() for ids in tokens.encoder(PATH).encode_batch(texts)]
+    assert found == [plain(t) for t in texts.to_pylist()]
+
+
 def brute(pairs):
     out, start = [], 0
     for i, t in sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1] or "")):
