@@ -25,6 +25,8 @@ MAX_LANGUAGES = 1_000
 SLICE_LETTERS, HELD_SEQUENCES = 1 << 20, 1 << 13
 BITS = 21
 COUNTS = "lang string, sequence bigint, n bigint"
+# How far above chance a cosine has to be, in standard deviations, and the length from which it can be told.
+NOISE_DEVIATIONS, SHORT_TEXT = 4.0, 64
 
 
 _alphabet: np.ndarray | None = None
@@ -245,8 +247,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose text has a language of the model with a cosine above ``least``; all columns, no shuffle."""
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", deviations: float = NOISE_DEVIATIONS, short: int = SHORT_TEXT) -> DataFrame:
+    """The rows whose text has letters and is like a language of the model; all columns, no shuffle.
+
+    Unrelated texts have cosines that scatter around 0 by 1 over the root of the dimensions; a text has to exceed ``deviations`` times that. One of fewer
+    than ``short`` characters may have a language and yet no more than noise, so it stays if it has letters. With no language to compare none stays.
+    """
     found = "__language"
     rows = docs.withColumn(found, language_of(F.col(text), model))
-    return rows.filter((F.col(f"{found}.lang") != UNKNOWN) & (F.col(f"{found}.score") > least)).drop(found)
+    like = F.col(f"{found}.score") > deviations / model.dimensions**0.5
+    return rows.filter((F.col(f"{found}.lang") != UNKNOWN) & (like | (F.char_length(text) < short))).drop(found)

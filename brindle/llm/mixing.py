@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,35 +190,12 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     return mixed(docs, doc_id, **options).select(F.col(doc_id).alias("doc_id"), "__mix.size", "__mix.source_size", "__mix.target", "__mix.taken")
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its ``n``-th word."""
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each row as often as it is taken, always whole.
 
-    @F.pandas_udf("string")
-    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, counts in parts:
-            out = []
-            for t, k in zip(texts, counts):
-                end = 0
-                for i, m in enumerate(re.finditer(WORD, t), 1):
-                    end = m.end()
-                    if i >= k:
-                        break
-                out.append(t[:end])
-            yield pd.Series(out, dtype=object)
-
-    return cut(text, n)
-
-
-def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each row as often as it is taken, at most one of them cut short.
-
-    Rows of size 0 carry no words and are left out. ``n_chars``, where given, follows the text.
+    The one row of a pattern that the mix takes in part is taken once more if that part is at least half of it, else not: whichever is nearer
+    to the target. Rows of size 0 carry no words and are left out.
     """
     rows = mixed(docs, doc_id, text, **options).filter("__mix.taken > 0")
-    whole = rows.withColumn("__n", F.expr("cast(__mix.taken div __mix.size as int)")).filter("__n > 0")
-    whole = whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
-    part = rows.withColumn("__words", F.col("__mix.taken") % F.col("__mix.size")).filter("__words > 0")
-    part = part.withColumn(text, first_words(F.col(text), F.col("__words")))
-    if n_chars in docs.columns:
-        part = part.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
-    return whole.unionByName(part.select(*docs.columns))
+    times = rows.withColumn("__n", F.expr("cast((2 * __mix.taken + __mix.size) div (2 * __mix.size) as int)")).filter("__n > 0")
+    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

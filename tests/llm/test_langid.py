@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import langid
 
@@ -97,3 +98,21 @@ def test_nothing_to_learn_and_empty_table(spark, docs_of):
     docs = labelled(spark)
     left = langid.keep_identified(docs, langid.train_on_rest(docs))
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} >= {0, 2, 3} and left.filter("doc_id in (100, 101)").count() == 0
+
+
+def test_unlearned_scripts_and_noise_go_and_short_texts_stay(spark, docs_of):
+    docs = labelled(spark)
+    model = langid.train_on_rest(docs)
+    strange = ["Это просто русский текст о погоде и природе нашей большой страны и её людей", "这是一个中文文本关于天气和自然" * 6,
+               "Αυτό είναι ένα ελληνικό κείμενο για τον καιρό και τη φύση της χώρας μας", "यह मौसम और प्रकृति के बारे में एक हिंदी पाठ है जो काफी लंबा है और चलता रहता है",
+               "xq zvkj wpt bqhz kkxv qqjj zzpw vxkq jzzq wqkx pzvq kqxj zzkw vqpx jkwz qxzv", "ЖЩ" * 300]
+    assert all(len(t) >= langid.SHORT_TEXT for t in strange)
+    rows = docs_of([*enumerate(strange), (50, "the"), (51, "Ж"), (52, "12"), (53, None)])
+    assert {r.doc_id for r in langid.keep_identified(rows, model).collect()} == {50, 51}
+
+
+def test_all_documents_with_letters_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train_on_rest(docs)
+    gone = docs.exceptAll(langid.keep_identified(docs, model))
+    assert gone.filter(F.col("text").rlike(r"\p{L}")).count() == 0

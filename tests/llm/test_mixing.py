@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import pairwise
 
 import pytest
@@ -98,16 +98,24 @@ def test_sources_meet_their_targets(frame):
 
 
 def test_documents_of_the_mix(frame):
+    """Whole documents only; one that is taken in part is there once more when half of it or more is taken."""
     docs = corpus(frame)
     out = mixing.mix_documents(docs)
     assert out.columns == docs.columns
-    words = defaultdict(int)
-    for r in out.select("doc_id", mixing.word_count(F.col("text")).alias("n")).collect():
-        words[r.doc_id] += r.n
-    want = defaultdict(int)
+    assert out.exceptAll(docs.withColumn("n", F.lit(3)).withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")).count() == 0
+    copies = Counter(r.doc_id for r in out.collect())
+    want = Counter()
     for r in mixing.mix_report(docs).filter("taken > 0").collect():
-        want[r.doc_id] += r.taken
-    assert words == want
+        times, part = divmod(r.taken, r.size)
+        want[r.doc_id] += times + (2 * part >= r.size)
+    assert copies == +want
+
+
+def test_a_long_boundary_document_stays_whole_or_goes(frame):
+    rows = [(1, "w " * 30_000, "a"), (2, "w " * 10, "b"), (3, "w " * 50_000, "c"), (4, "w " * 10, "c")]
+    docs = frame(rows, "doc_id long, text string, source string")
+    texts = {i: t for i, t, _ in rows}
+    assert all(r.text == texts[r.doc_id] for r in mixing.mix_documents(docs).collect())
 
 
 def test_overlapping_sources(frame):

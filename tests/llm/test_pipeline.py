@@ -58,11 +58,13 @@ def test_stages_like_brute_force(spark, docs_of):
     for r in seen["near_dedup"]:
         size[source[r.doc_id]] += len(r.text.split())
     for r in seen["mix"]:
-        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+        assert texts[r.doc_id] == r.text and r.n_chars == len(r.text)
         taken[source[r.doc_id]] += len(r.text.split())
     names = sorted(size, key=lambda s: (s is None, s or ""))
     want = mixing.water_filled(float(sum(size.values())), dict(zip(names, (5.0, 2.0, 1.0, 5.0))), {s: 3.0 * n for s, n in size.items()})
-    assert all(abs(taken[s] - want[s]) <= 1 for s in names)
+    # within half of the document on the edge
+    longest = {s: max(len(r.text.split()) for r in seen["near_dedup"] if r.source == s) for s in names}
+    assert all(abs(taken[s] - want[s]) <= longest[s] / 2 + 1 for s in names)
 
     mixed = defaultdict(list)
     for r in seen["mix"]:
@@ -72,7 +74,7 @@ def test_stages_like_brute_force(spark, docs_of):
 
 def test_registered_once_with_all_operators():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
