@@ -13,7 +13,7 @@ from brindle.session import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: no text, no letters, or nothing in common with any language."""
+    """Documents without a recognised language go: no text, no letters, or long enough to tell and no more like a language than chance."""
     return langid.keep_identified(docs, langid.train_on_rest(docs))
 
 
@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, always whole."""
     return mixing.mix_documents(docs)
 
 
