@@ -20,7 +20,7 @@ from brindle.operators.series import with_position
 from brindle.operators.stats import count_true, measures
 from brindle.session import written
 
-SEED, TRAIN_SHARE = 42, 0.8
+SEED, TRAIN_SHARE, TREES = 42, 0.8, 100
 MIN_CLASSIFIER_ROWS, MIN_REGRESSOR_ROWS = 50, 10
 UNKNOWN = "Unknown"
 PERFECT = 0.99
@@ -166,20 +166,20 @@ def _transform(trained: Trained, df: DataFrame) -> DataFrame:
     return trained.model.transform(encode_labels(df, list(trained.codes), trained.codes))
 
 
-def _classifier(algorithm: str, seed: int):
+def _classifier(algorithm: str, seed: int, trees: int):
     if algorithm == "gradient_boosting":
         return GBTClassifier(
-            labelCol="label", maxIter=100, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed, maxMemoryInMB=TREE_MEMORY_MB
+            labelCol="label", maxIter=trees, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed, maxMemoryInMB=TREE_MEMORY_MB
         )
     return RandomForestClassifier(
-        labelCol="label", numTrees=100, maxDepth=8, minInstancesPerNode=5,
+        labelCol="label", numTrees=trees, maxDepth=8, minInstancesPerNode=5,
         featureSubsetStrategy="sqrt", subsamplingRate=0.8, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
     )
 
 
 def train_classifier(
     df: DataFrame, target: str, ids: list[str], algorithm: str = "random_forest",
-    categorical: list[str] | None = None, numeric: list[str] | None = None, seed: int = SEED,
+    categorical: list[str] | None = None, numeric: list[str] | None = None, seed: int = SEED, trees: int = TREES,
 ) -> Trained:
     """Split 80/20 by class, fit on all training rows, measure on the rest."""
     if categorical is None and numeric is None:
@@ -193,7 +193,7 @@ def train_classifier(
     train, test = split.filter("is_train"), split.filter("NOT is_train")
     stages, features = numeric_stages(categorical, numeric)
     prepared = PipelineModel(stages).transform(encode_labels(train, categorical, codes)).select("features", "label")
-    fitted = _classifier(algorithm, seed).fit(prepared)
+    fitted = _classifier(algorithm, seed, trees).fit(prepared)
     model = PipelineModel(stages + [fitted])
     scored = score_batch(Trained(model, features, target, None, codes), test, ids)
     metrics = overfit_alert(classifier_metrics(scored, "actual", "probability")).withColumns({
@@ -280,7 +280,7 @@ def load_model(spark, path: str) -> Trained:
 # Rate regression
 
 def train_rate_regressor(
-    df: DataFrame, ids: list[str], value: str, categorical: list[str], numeric: list[str], seed: int = SEED
+    df: DataFrame, ids: list[str], value: str, categorical: list[str], numeric: list[str], seed: int = SEED, trees: int = TREES
 ) -> Trained:
     """Forest regression of a rate on coded attributes; metrics hold both R2 values and the entity counts."""
     rows = df.select(*ids, value, *categorical, *numeric)
@@ -290,7 +290,7 @@ def train_rate_regressor(
     split = split_stratified(rows.withColumn("_all", F.lit(1)), ids, "_all", TRAIN_SHARE, seed)
     coded = encode_labels(split, categorical, codes)
     stages, features = numeric_stages(categorical, numeric)
-    forest = RandomForestRegressor(labelCol=value, numTrees=100, maxDepth=10, seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
+    forest = RandomForestRegressor(labelCol=value, numTrees=trees, maxDepth=10, seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
     fitted = forest.fit(PipelineModel(stages).transform(coded.filter("is_train")).select("features", value))
     model = PipelineModel(stages + [fitted])
     scored = model.transform(coded).select("is_train", value, "prediction", *categorical)

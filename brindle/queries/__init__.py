@@ -53,6 +53,6 @@ def load_all() -> None:
 
     for part in (
         "tables", "cleaning", "predicates", "statistics", "shapes", "series", "scalars",
-        "retrieval", "questions", "models", "streams", "charts", "joins", "sessions", "index",
+        "retrieval", "questions", "models", "streams", "charts", "joins", "sessions", "index", "algebra",
     ):
         import_module(f"brindle.queries.{part}")
