@@ -2,7 +2,8 @@
 
 The question table is written once to the shared folder. Every task reads it in blocks of bounded size next to each batch of
 its chunks, so the chunk table is scanned once whatever the number of questions, and no question passes through the driver. A
-partition keeps only its own k best per question, and those are merged per question.
+partition keeps its own k best for a bounded number of questions; those of further questions leave with every batch. All are merged per question, so
+neither way changes the answer, and a worker's memory does not grow with the questions.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from brindle.functions.text import question_terms
 from brindle.session import fresh_path
 
 QUERY_BLOCK = 1024
+# Questions whose best chunks a worker keeps over its whole partition.
+HELD_QUESTIONS = 1 << 15
 # questions per block and texts per slice of the term search, which keep its matrices at a few megabytes
 TERM_BLOCK, TEXT_SLICE = 256, 512
 SCORE_DIGITS = 9
@@ -59,27 +62,37 @@ def _scan(
     path = fresh_path(queries.sparkSession, "questions")
     queries.write.parquet(path)
 
+    keep_blocks = HELD_QUESTIONS // block
+
+    def better(own: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scores, names = np.concatenate((own[0], scores)), np.concatenate((own[1], ids))
+        if floor is not None:
+            keep = scores > floor
+            scores, names = scores[keep], names[keep]
+        best = _best(scores, names, k)
+        return scores[best], names[best]
+
+    def rows(asked: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        parts = [pd.DataFrame({"query_id": asked[q], "chunk_id": names, "score": scores}) for q, (scores, names) in enumerate(found) if len(scores)]
+        if parts:
+            yield pd.concat(parts)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        asked: list[np.ndarray] = []
+        nothing = np.empty(0), np.empty(0, dtype=object)
+        held: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = []
         for batch in batches:
             ids = batch[key].to_numpy(dtype=object)
             for place, some in enumerate(question_blocks(path, block)):
+                scores = scorer(some)(batch[payload])
+                if place >= keep_blocks:
+                    yield from rows(some["q"].to_numpy(dtype=object), [better(nothing, row, ids) for row in scores])
+                    continue
                 if place == len(held):
-                    held.append([(np.empty(0), np.empty(0, dtype=object))] * len(some))
-                    asked.append(some["q"].to_numpy(dtype=object))
-                own = held[place]
-                for q, row in enumerate(scorer(some)(batch[payload])):
-                    scores, names = np.concatenate((own[q][0], row)), np.concatenate((own[q][1], ids))
-                    if floor is not None:
-                        keep = scores > floor
-                        scores, names = scores[keep], names[keep]
-                    best = _best(scores, names, k)
-                    own[q] = scores[best], names[best]
-        for names, own in zip(asked, held):
-            parts = [pd.DataFrame({"query_id": names[q], "chunk_id": found, "score": scores}) for q, (scores, found) in enumerate(own) if len(scores)]
-            if parts:
-                yield pd.concat(parts)
+                    held.append((some["q"].to_numpy(dtype=object), [nothing] * len(some)))
+                own = held[place][1]
+                own[:] = [better(before, row, ids) for before, row in zip(own, scores)]
+        for asked, own in held:
+            yield from rows(asked, own)
 
     return chunks.select(key, payload).mapInPandas(run, schema)
 

@@ -98,8 +98,11 @@ def test_vector_guards(spark):
     assert [r[0] for r in text.select(V.parse_vector(F.col("t"))).collect()] == [[1.0, 2.5], None, None, None]
 
 
+@pytest.mark.parametrize("held", [R.HELD_QUESTIONS, 4])
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
-def test_vector_search_with_ties_and_odd_rows(spark, metric):
+def test_vector_search_with_ties_and_odd_rows(spark, monkeypatch, metric, held):
+    """With ``held`` 4 the second and third block of questions leave with every batch."""
+    monkeypatch.setattr(R, "HELD_QUESTIONS", held)
     rng = np.random.default_rng(5)
     vectors = [rng.integers(-2, 3, 4).astype(float).tolist() for _ in range(120)] + [[0.0] * 4, [1.0, 2.0], []]
     chunks = spark.createDataFrame(list(enumerate(vectors)), "id int, v array<double>").repartition(5)
@@ -125,7 +128,9 @@ def test_vector_search_with_ties_and_odd_rows(spark, metric):
         assert np.allclose([s for _, s in got[name]], [s for s, _ in best])
 
 
-def test_keyword_search(spark):
+@pytest.mark.parametrize("held", [R.HELD_QUESTIONS, 2])
+def test_keyword_search(spark, monkeypatch, held):
+    monkeypatch.setattr(R, "HELD_QUESTIONS", held)
     docs = [(1, "alpha beta gamma"), (2, "Alphabet soup"), (3, "nothing"), (4, "beta alpha alpha"), (5, "gammaray")]
     chunks = spark.createDataFrame(docs, "id int, text string")
     queries = spark.createDataFrame([(1, "alpha BETA beta"), (2, "is a"), (3, "absent")], "q int, question string")
