@@ -8,6 +8,7 @@ that share a table are candidates; a link is confirmed on the full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 
 import numpy as np
@@ -127,10 +128,10 @@ def open_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that may reach the similarity; ``texts`` is (class_id, of, text).
 
     An exact filter: ordered by rarity, two sets of that similarity share one of their first shingles, as many as may differ and one
-    more; the shorter set of a pair needs only those that could be missing from a set of its own size. What is left of both behind
-    the shared shingle must still be enough. A passage that very many texts share is not among the rarest parts of a text unless
-    it is nearly all of it. Within a shingle a class meets the classes of the other components only, so groups of copies
-    do not meet themselves.
+    more; the shorter set of a pair needs only those that could be missing from a set of its own size, the longer one only those that
+    leave enough behind them for sets of the shorter one's band of sizes. A pair need not meet at a shingle when both have the same one before it, as it
+    has met there: texts that share a run of shingles meet where the run begins. A passage that very many texts share is not among the
+    rarest parts of a text unless it is nearly all of it, and texts of one component do not meet.
     """
     counts = _bucket_counts(texts, shingle)
 
@@ -147,24 +148,35 @@ def open_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                 sizes = [len(h) for h in heads]
                 owner = np.repeat(np.arange(len(sets)), sizes)
                 place = np.concatenate([np.arange(n) for n in sizes]) if heads else np.empty(0, np.int64)
+                every = np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)
+                before = pa.array(np.concatenate([every[:1], every[:-1]]), mask=place == 0)
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([
                     some.column(0).take(take), some.column(1).take(take), pa.array(np.array([len(x) for x in sets], np.int64)[owner]),
-                    pa.array(np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)), pa.array(place, pa.int64()),
-                ], names=["class_id", "of", "n", "shingle", "at"])
+                    pa.array(every), pa.array(place, pa.int64()), before,
+                ], names=["class_id", "of", "n", "shingle", "at", "before"])
 
-    rows = texts.select("class_id", "of", "text").mapInArrow(prefixes, "class_id bigint, of bigint, n bigint, shingle bigint, at bigint")
+    rows = texts.select("class_id", "of", "text").mapInArrow(
+        prefixes, "class_id bigint, of bigint, n bigint, shingle bigint, at bigint, before bigint")
     rows = written(rows, "prefixes")
     short = F.expr(f"at < n + 1 - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
     split = rows.groupBy("shingle").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.bool_or(short).alias("s")).filter("x < y AND s").select("shingle")
     rows = written(rows.join(split, "shingle", "left_semi"), "prefixes")
-    others = rows.select("shingle", F.col("of").alias("other")).distinct()
-    one, two = ([F.col(c).alias(f"{side}_{c}") for c in ("class_id", "n", "at")] for side in "xy")
-    asking = rows.filter(short).join(others, "shingle").filter("of <> other").select("shingle", "other", *one)
-    asked = rows.select("shingle", F.col("of").alias("other"), *two)
+    one, two = ([F.col(c).alias(f"{side}_{c}") for c in ("class_id", "of", "n", "at", "before")] for side in "xy")
+
+    def band(n):
+        return F.floor(F.log(n) / math.log(max(100 / percent, 1.05))).cast("int")
+
+    least = F.expr(f"({percent} * n + 99) div 100")
+    most = F.least("n", F.expr(f"({100 + percent} * (n - at)) div {percent} - n"))
+    asking = rows.filter(short).select("shingle", band(F.col("n")).alias("band"), *one)
+    asked = rows.withColumns({"least": least, "most": most}).filter("least <= most").select(
+        "shingle", F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"), *two)
     shorter = "(x_n < y_n OR (x_n = y_n AND x_class_id < y_class_id))"
     left = f"1 + least(x_n - x_at - 1, y_n - y_at - 1) >= ({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent}"
-    met = asking.join(asked, ["shingle", "other"]).filter(f"{shorter} AND 100 * x_n >= {percent} * y_n AND {left}")
+    begins = "(x_before IS NULL OR y_before IS NULL OR x_before <> y_before)"
+    on = [asking[c] == asked[c] for c in ("shingle", "band")]
+    met = asking.join(asked, [*on, F.expr(f"x_of <> y_of AND {begins} AND {shorter} AND 100 * x_n >= {percent} * y_n AND {left}")])
     return met.select(F.least("x_class_id", "y_class_id").alias("a"), F.greatest("x_class_id", "y_class_id").alias("b")).distinct()
 
 
