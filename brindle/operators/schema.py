@@ -40,6 +40,7 @@ DATE_PATTERNS = (
     r"\d{2}-\d{2}-\d{4}",
     r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)",
 )
+TIME_STARTS = [*range(33), *map(ord, "+-T0123456789")]
 IDENTIFIER_WORDS = ("id", "code", "number", "key", "ref", "uuid")
 TARGET_WORDS = ("total", "count", "amount", "revenue", "sales", "cost", "price", "quantity", "volume")
 CATEGORY_SHARE, CATEGORY_LIMIT = 0.5, 50
@@ -79,8 +80,20 @@ def sanitize_identifier(name: Column) -> Column:
 
 # Types
 
+# What a number may begin with: white space, a sign, a point or a digit; and the words that a cast reads as one.
+NUMBER_STARTS = [*range(33), *map(ord, "+-."), *map(ord, "0123456789")]
+NUMBER_WORDS = ("nan", "inf", "infinity")
+
+
+def _numeric(text: Column) -> Column:
+    """False only for texts that are no number: a look at the first letters costs far less than a cast that fails."""
+    dated = (F.substring(text, 5, 1) == "-") & F.substring(text, 4, 1).between("0", "9")
+    return ((text != "") & F.ascii(text).isin(NUMBER_STARTS) & ~dated & ~F.contains(text, F.lit(":"))) | F.lower(text).isin(*NUMBER_WORDS)
+
+
 def number_of(text: Column) -> Column:
-    return F.trim(text.cast("string")).try_cast("double")
+    trimmed = F.trim(text.cast("string"))
+    return F.when(_numeric(trimmed), trimmed.try_cast("double"))
 
 
 def leading_values(df: DataFrame, columns: list[str], order: str, count: int) -> DataFrame:
@@ -156,11 +169,11 @@ def coerce(value: Column, kind: str) -> Column:
     kind = kind.upper()
     if kind in ("BIGINT", "INT", "INTEGER"):
         # whole numbers are read as such: a double holds only those below 2^53 exactly
-        x = number_of(value)
-        return F.coalesce(F.trim(value.cast("string")).try_cast("bigint"), F.when(~F.isnan(x), x).try_cast("bigint"))
+        text = F.trim(value.cast("string"))
+        whole = F.when(_numeric(text) & ~F.contains(text, F.lit(".")), text.try_cast("bigint"))
+        return F.coalesce(whole, F.nanvl(number_of(value), F.lit(None).cast("double")).try_cast("bigint"))
     if kind in ("DOUBLE", "FLOAT", "DECIMAL"):
-        x = number_of(value)
-        return F.when(~F.isnan(x), x)
+        return F.nanvl(number_of(value), F.lit(None).cast("double"))
     if kind == "BOOLEAN":
         return value.try_cast("boolean")
     if kind == "TIMESTAMP":
@@ -272,14 +285,26 @@ def semantic_types(df: DataFrame, order: str, columns: list[str] | None = None)
     """
     chosen = columns or [c for c in df.columns if c != order]
 
+    kinds = {f.name: f.dataType for f in df.schema}
+
     def counted(place: int, column: str) -> Column:
         value = F.col(column)
         text = value.cast("string")
-        spelled = reduce(lambda a, b: a | b, [text.rlike("(?i)" + p) for p in DATE_PATTERNS])
+        if isinstance(kinds[column], T.NumericType):
+            numbers, dated, dates = F.count(value), F.lit(False), F.lit(False)
+        elif isinstance(kinds[column], (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            numbers, dated, dates = F.lit(0).cast("long"), F.count(value) > 0, F.count(value) > 0
+        else:
+            numbers = F.count(number_of(value))
+            # no text without a digit is spelled as a date, but those with the name of a month; a time begins with a digit, a sign or T
+            digits = reduce(lambda a, b: a | b, [text.rlike(p) for p in DATE_PATTERNS[:-1]])
+            spelled = F.when(F.contains(text, F.lit("-")) | F.contains(text, F.lit("/")), digits).otherwise(F.lit(False)) | text.rlike("(?i)" + DATE_PATTERNS[-1])
+            dated = F.bool_and(spelled)
+            timed = F.when(F.ascii(text).isin(TIME_STARTS), text.try_cast("timestamp").isNotNull()).otherwise(F.lit(False))
+            dates = F.bool_and(F.when(value.isNotNull(), timed))
         return F.struct(
             F.lit(column).alias("column"), F.lit(place).alias("position"), F.count("*").alias("rows"), F.count(value).alias("filled"),
-            F.count_distinct(value).alias("distinct"), F.count(number_of(value)).alias("numbers"), F.bool_and(spelled).alias("dated"),
-            F.bool_and(F.when(value.isNotNull(), text.try_cast("timestamp").isNotNull())).alias("dates"),
+            F.count_distinct(value).alias("distinct"), numbers.alias("numbers"), dated.alias("dated"), dates.alias("dates"),
         )
 
     stats = df.agg(F.array(*[counted(i, c) for i, c in enumerate(chosen)]).alias("all")).select(F.inline("all"))

@@ -212,10 +212,11 @@ def _(t):
     return run_spec(t.orders, spec)
 
 
-@query("list_limit", "SELECT 50 AS asked, CAST(count(*) AS INTEGER) AS n FROM (SELECT o_orderkey FROM orders LIMIT 50)")
+@query("list_limit", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT {LIST_LIMIT}")
 def _(t):
-    listed = run_spec(t.orders, QuerySpec(columns=("o_orderkey",), limit=LIST_LIMIT))
-    return listed.agg(F.count("*").cast("int").alias("n")).select(F.lit(LIST_LIMIT).alias("asked"), "n")
+    """The rows of a listing without a limit of its own, under a total order."""
+    ordered = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return run_spec(ordered, QuerySpec(columns=("o_orderkey", "o_totalprice"), limit=LIST_LIMIT))
 
 
 @query("top_groups", """

@@ -130,3 +130,25 @@ def test_unseen_category_gets_zero(spark):
     new = spark.createDataFrame([("c",), ("zzz",), (None,)], "c string")
     coded = {r["c"]: r["c_encoded"] for r in M.encode_labels(new, ["c"], tables).collect()}
     assert coded == {"c": 2, "zzz": 0, None: 0}
+
+
+def test_a_look_at_the_first_letters_decides_as_a_cast_does(spark):
+    import random
+
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("0123456789+-.eE: \t\x00naifNIyTdD/x", k=rnd.randrange(0, 9))) for _ in range(4000)]
+    texts += ["nan", "NaN", "inf", "-Infinity", "+inf", "Infinity", "1e-5", "123e-5", "1234-5", "2024-01-05", "12:30", "0x1p-3", "1d", ".5", "5.", "-", "", " 7 ", "\t7", "٣", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.trim("t").try_cast("double")
+    assert df.filter(~S.number_of(F.col("t")).eqNullSafe(plain)).collect() == []
+    whole = F.coalesce(F.trim("t").try_cast("bigint"), F.when(~F.isnan(plain), plain).try_cast("bigint"))
+    assert df.filter(~S.coerce(F.col("t"), "BIGINT").eqNullSafe(whole)).collect() == []
+    assert df.filter(~S.coerce(F.col("t"), "DOUBLE").eqNullSafe(F.when(~F.isnan(plain), plain))).collect() == []
+
+
+def test_kinds_of_typed_columns_need_no_texts(spark):
+    rows = [(i, float(i), None if i % 2 else "2024-03-0%d" % (i % 9 + 1), "a" if i % 2 else "Jan 3", i % 2 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "row int, amount double, day string, word string, flag boolean").withColumn("at", F.timestamp_seconds(F.col("row")))
+    df = df.withColumn("none", F.lit(None).cast("timestamp")).withColumn("spelled", F.lit("3 Feb 2024"))
+    kinds = {r.column: r.kind for r in S.semantic_types(df, "row").collect()}
+    assert kinds == {"amount": "numeric", "day": "timestamp", "word": "categorical", "flag": "categorical", "at": "timestamp", "none": "numeric", "spelled": "timestamp"}
