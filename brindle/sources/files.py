@@ -24,12 +24,25 @@ HEADER_ROWS, HEADER_CELLS = 20, 3
 SHEET_ROWS = "path string, row_idx bigint, cells array<struct<value:string,is_text:boolean>>"
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some record may go over several lines: the line on which it begins then holds an odd number of quotes.
+
+    Byte ranges of the files are looked through by many tasks. A stray quote also counts, and so does a carriage return inside a line, which
+    readers of lines would take for its end; that costs speed, not rows.
+    """
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    returned = F.instr("value", "\r").between(F.lit(1), F.length("value") - 1)
+    return not spark.read.option("lineSep", "\n").text(path).filter((quotes % 2 == 1) | returned).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All columns as text; quotes inside a quoted field are doubled, and a quoted field may hold line breaks.
 
-    Line breaks in fields make a file one task. Files that have none are read by many tasks with ``multi_line=False``.
-    Refuses an empty file.
+    Line breaks in fields make a file one task. Whether there are any is found out first unless ``multi_line`` says so; files
+    that have none are read by many tasks. Refuses an empty file.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"')
     if df.isEmpty():
         raise ValueError("file is empty")

@@ -112,3 +112,31 @@ def test_admission(spark):
     df = spark.createDataFrame(rows, "n string, s bigint, e string")
     got = df.select(files.admission(F.col("n"), F.col("s")).alias("a"), "e").select("a.*", "e").collect()
     assert all(r["verdict"] == r["e"] for r in got) and got[-1]["safe_name"] == "_b_c.TXT"
+
+
+PLAIN_CSV = 'k,v\r\n1,"a ""quoted"" word"\r\n2,"x, y"\r\n\r\n3,\r\n4,plain\r\n'
+
+
+@pytest.mark.parametrize("text, breaks", [
+    (PLAIN_CSV, False), (PLAIN_CSV + '5,"two\nlines"\n', True), (PLAIN_CSV + '5,"two ""q""\n""lines"""\n', True), ("k,v\n1,a\rb\n", True), ("k,v\r1,a\r2,b\r", True), ("k,v\n1,5\" pipe\n", True),
+])
+def test_line_breaks_in_quotes_are_found(spark, tmp_path, text, breaks):
+    path = str(tmp_path / "t.csv")
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    assert files.has_quoted_breaks(spark, path) == breaks
+    assert files.read_csv(spark, path).collect() == files.read_csv(spark, path, multi_line=True).collect()
+
+
+def test_a_file_without_them_is_split(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as f:
+        f.write("k,v\n" + "".join(f'{i},"row ""{i}"", whole"\n' for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = files.read_csv(spark, path)
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 20_000
+        assert df.filter(F.col("v") != F.concat(F.lit('row "'), F.col("k"), F.lit('", whole'))).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
