@@ -228,3 +228,19 @@ def test_scores_after_a_rollback_are_those_of_the_first_version(spark):
     both = G.written(G.retrain(first, df, ["id"], ["a", "b"]), "registry")
     back = G.rollback(both, both.filter("version LIKE 'v1%'").first()["version"])
     assert {r.id: r.score for r in A.score_with(G.active_forest(back), df, ["id"]).collect()} == before and len(set(before.values())) > 20
+
+
+def test_retrain_eval_measures(spark):
+    """The three measures of a retraining run, each taken from its parts."""
+    from brindle import queries as registry
+    from brindle.queries import models as Q
+
+    registry.load_all()
+    folder = "/root/testdata/sf0.001"
+    got = {r.measure: r.value for r in registry.QUERIES["retrain_eval"](spark, folder).collect()}
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    assert got["trends_fitted"] == len({r[0] for r in orders.select("o_orderpriority").collect()})
+    # price numeric, status and priority categories of text, date a time: all four columns fit their type
+    assert got["schema_accuracy"] == pytest.approx(1.0) or got["schema_accuracy"] == pytest.approx(100.0)
+    hits = [r.severity for r in A.anomaly_iforest(Q._priced(registry.Tables(spark, folder)), ["o_orderkey"], list(Q.COLS)).collect()]
+    assert hits and got["anomaly_precision"] == pytest.approx(100 * hits.count("high") / len(hits))
