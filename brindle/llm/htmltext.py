@@ -43,9 +43,17 @@ FURNITURE_NAMES = frozenset((
     "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 ))
 REPLY_NAMES = frozenset(("comment", "comments", "discussion", "disqus", "replies", "respond"))
+# Words that go along with those in names, so that related-posts is furniture and related-work or search-algorithms is not.
+BESIDE_NAMES = frozenset((
+    "area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "container", "content", "customer", "form", "group", "header", "inner", "js", "left", "link",
+    "links", "list", "main", "media", "message", "more", "post", "posts", "primary", "reader", "right", "secondary", "section", "site", "stories", "top", "user", "wrap", "wrapper",
+))
+# Names of what readers wrote below the text, of its whole name only.
+READER_NAMES = frozenset(("feedback", "opinions", "reviews"))
 # Names of elements that hold the whole main text, elements that are text beside it, and elements nobody reads.
 CONTENT_NAMES = frozenset(("article", "content", "entry", "main", "post", "story"))
 TEXT_ELEMENTS = frozenset(("blockquote", "dl", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "p", "pre", "table", "ul"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 UNREAD = RAW | frozenset(("head", "noscript", "select", "svg", "template"))
 
 _MARK = re.compile(
@@ -75,8 +83,15 @@ def _names_of(attributes: str) -> frozenset:
     if "=" not in attributes and "hidden" not in attributes:
         return frozenset()
     found = set()
-    for _, value, hidden, aria in _NAMES.findall(attributes):
-        found.update(_PARTS(value.lower()))
+    for kind, value, hidden, aria in _NAMES.findall(attributes):
+        low = value.lower()
+        found.update(_PARTS(low))
+        for name in low.strip("\"'").split():
+            parts = set(_PARTS(name))
+            if parts & (FURNITURE_NAMES | READER_NAMES) and parts <= FURNITURE_NAMES | READER_NAMES | BESIDE_NAMES:
+                found.add("#id-furniture" if kind.lower() == "id" else "#furniture")
+                if kind.lower() == "id" and parts & REPLY_NAMES - {"discussion"}:
+                    found.add("#furniture")
         if hidden or aria:
             found.add("#hidden")
     return frozenset(found)
@@ -86,6 +101,18 @@ def parse(page: str) -> Tree:
     """Tree of any page, well formed or not. ``text`` holds (node, text) with references decoded, and (node, None) for breaks."""
     tree, open_, at = Tree(), [0], 0
     tags, end = tree.tag, len(page)
+    # where the open elements of each tag lie in the stack, so that it is not searched for what is not open
+    places: dict[str, list[int]] = {}
+
+    def opened(node: int) -> None:
+        places.setdefault(tags[node], []).append(len(open_))
+        open_.append(node)
+
+    def shut(depth: int) -> None:
+        for node in open_[depth:]:
+            places[tags[node]].pop()
+        del open_[depth:]
+
     while at < end:
         mark = _MARK.search(page, at)
         stop = mark.start() if mark else end
@@ -98,16 +125,16 @@ def parse(page: str) -> Tree:
             continue
         tag = mark[2].lower()
         if mark[1]:
-            for depth in range(len(open_) - 1, 0, -1):
-                if tags[open_[depth]] == tag:
-                    del open_[depth:]
-                    break
+            if places.get(tag):
+                shut(places[tag][-1])
             continue
         for ended, stops in _ENDS.get(tag, ()):
+            if not places.get(ended) or max((places[s][-1] for s in stops if places.get(s)), default=0) > places[ended][-1]:
+                continue
             for depth in range(len(open_) - 1, 0, -1):
                 inside = tags[open_[depth]]
                 if inside == ended:
-                    del open_[depth:]
+                    shut(depth)
                 if inside == ended or inside in stops:
                     break
         node = tree.add(tag, open_[-1], _names_of(mark[3]))
@@ -116,11 +143,11 @@ def parse(page: str) -> Tree:
         elif tag in RAW:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
             at = close.start() if close else end
-            open_.append(node)
+            opened(node)
             if not close:
                 break
         elif not mark[3].endswith("/>"):
-            open_.append(node)
+            opened(node)
     return tree
 
 
@@ -139,24 +166,48 @@ def _most_text(tree: Tree) -> list[bool]:
     return [2 * h > held[0] for h in held]
 
 
+def _linked(tree: Tree) -> list[bool]:
+    """Nodes most of whose text is links."""
+    n = len(tree.tag)
+    in_link, held, links = [False] * n, [0] * n, [0] * n
+    for i in range(1, n):
+        in_link[i] = in_link[tree.parent[i]] or tree.tag[i] == "a"
+    for node, text in tree.text:
+        if text:
+            size = len(" ".join(text.split()))
+            held[node] += size
+            links[node] += size * in_link[node]
+    for i in range(n - 1, 0, -1):
+        held[tree.parent[i]] += held[i]
+        links[tree.parent[i]] += links[i]
+    return [2 * l > h for l, h in zip(links, held)]
+
+
 def _furniture(tree: Tree) -> list[bool]:
     """Nodes that are furniture by element or name, or lie inside one.
 
     A form or a named wrapper that holds the head of the text or most of the page's text is the page, not furniture. Replies may
-    well be longer than what they reply to: they are spared only where nothing else heads the page.
+    well be longer than what they reply to: they are spared only where nothing else heads the page. Inside an article a name has to be
+    one of furniture as a whole; an id alone, as headings and sections have it to be linked to, counts only for what mostly consists of
+    links, and never for headings, paragraphs, tables and their like.
     """
     n = len(tree.tag)
     holds_head = [t in ("h1", "main") or t == "article" and not names & FURNITURE_NAMES for t, names in zip(tree.tag, tree.names)]
     for i in range(n - 1, 0, -1):
         if holds_head[i]:
             holds_head[tree.parent[i]] = True
-    most = _most_text(tree)
+    most, linked = _most_text(tree), _linked(tree)
     inside_article, out = [False] * n, [False] * n
     for i in range(1, n):
         tag, up, names = tree.tag[i], tree.parent[i], tree.names[i]
         inside_article[i] = inside_article[up] or tag in ("article", "main")
         spared = holds_head[i] or most[i] and not (names & REPLY_NAMES and holds_head[0])
-        named = bool(names & FURNITURE_NAMES) and tag not in ("html", "body", "main") and not spared
+        if inside_article[up]:
+            by_id = "#id-furniture" in names and tag not in TEXT_ELEMENTS and linked[i]
+            named = "#furniture" in names and not (tag in HEADINGS) or by_id
+        else:
+            named = bool(names & FURNITURE_NAMES) or "#furniture" in names
+        named = named and tag not in ("html", "body", "main") and not spared
         header = (tag == "header" or "header" in names) and not inside_article[i] and not spared
         element = tag in FURNITURE_TAGS and not (tag == "form" and spared)
         out[i] = out[up] or element or named or header or "#hidden" in names and not holds_head[i]

@@ -1,6 +1,9 @@
+import math
+import time
+
 import pytest
 
-from brindle.llm.htmltext import extract_pages, main_text, parse
+from brindle.llm.htmltext import BLOCKS, RAW, _furniture, densities, extract_pages, main_text, parse
 
 PARAGRAPHS = ["First words of the story, with R&D and <signs>.", "Second part that goes on for a while, as stories do.",
               "A third one, rather short.", "Be."]
@@ -102,3 +105,87 @@ def test_wrapper_of_most_of_the_page(wrapper):
 def test_form_around_an_article_and_replies_longer_than_it():
     assert main_text(f"<body><form>{AROUND['menu']}{ARTICLE}<input name=x></form>{AROUND['footer']}</body>") == WANT
     assert main_text(f"<body>{ARTICLE}<div class=comments>{marked(paragraphs(9))}</div></body>") == WANT
+
+
+@pytest.mark.parametrize("slug", ["search", "menu-details", "alert", "share", "notice", "related", "discussion", "aside", "related-work"])
+def test_slugs_of_headings_and_sections_inside_an_article(slug):
+    text = paragraphs(6)
+    page = (f"<body>{AROUND['menu']}<article><h1>Head</h1>{marked(text[:3])}<h2 id={slug}>On it</h2><p id='{slug}'>Short one.</p>"
+            f"<section id={slug}><h3>More</h3>{marked(text[3:])}</section></article>{AROUND['footer']}</body>")
+    assert main_text(page) == "\n\n".join(["Head", *text[:3], "On it", "Short one.", "More", *text[3:]])
+
+
+@pytest.mark.parametrize("name", ["id=social-history", "class=search-algorithms", "class='related-work text'"])
+def test_names_that_only_begin_like_furniture(name):
+    text = paragraphs(4)
+    page = f"<body><main><h1>Head</h1>{marked(text[:2])}<div {name}><h2>Part</h2>{marked(text[2:])}</div></main></body>"
+    assert main_text(page) == "\n\n".join(["Head", *text[:2], "Part", *text[2:]])
+
+
+@pytest.mark.parametrize("extra", [
+    "<div class=ad>Buy this thing now.</div>", "<div class='related-posts'><p>More to read.</p></div>", "<section class=user-reviews><p>Very good.</p></section>",
+    "<div class=reader-feedback><p>Well said.</p></div>", "<div id=comments><p>I agree.</p></div>", "<div id=share-links><a href=a>One</a> <a href=b>Two</a></div>",
+    "<p class=advert>Buy now.</p>", "<ul class=share-buttons><li>Send</ul>", "<div class='cookie-notice'>Cookies.</div>", "<aside><p>Beside.</p></aside>",
+])
+def test_furniture_inside_an_article(extra):
+    text = paragraphs(4)
+    page = f"<body>{AROUND['menu']}<article><h1>Head</h1>{marked(text[:2])}{extra}{marked(text[2:])}</article>{AROUND['footer']}</body>"
+    assert main_text(page) == "\n\n".join(["Head", *text])
+
+
+def test_nesting_takes_linear_time():
+    begun = time.process_time()
+    assert main_text("<div>" * 100_000 + "deep") == "deep"
+    assert main_text("<b>" * 50_000 + "bold" + "</i>" * 50_000) == "bold"
+    assert main_text("<ul>" + "<li>" * 50_000 + "last") == "last"
+    assert time.process_time() - begun < 12
+
+
+def slow_densities(page):
+    """Sum of child densities of every node with text, each counted anew from all that lies below it."""
+    tree = parse(page)
+    n = len(tree.tag)
+    out = _furniture(tree)
+    def below(i, j):
+        while j > i:
+            j = tree.parent[j]
+        return j == i
+    def count(i, only_links):
+        def in_link(j):
+            while j > 0:
+                if tree.tag[j] == "a":
+                    return True
+                j = tree.parent[j]
+            return False
+        return sum(len(" ".join(t.split())) for j, t in tree.text if t and not out[j] and below(i, j) and (not only_links or in_link(j)))
+    every = [(len(" ".join(t.split())), j) for j, t in tree.text if t and tree.tag[j] not in RAW]
+    def linked(j):
+        while j > 0:
+            if tree.tag[j] == "a":
+                return True
+            j = tree.parent[j]
+        return False
+    share = sum(s for s, j in every if linked(j)) / max(1, sum(s for s, _ in every))
+    density = []
+    for i in range(n):
+        c, lc = count(i, False), count(i, True)
+        if out[i] or not c:
+            density.append(0.0)
+            continue
+        inner = [j for j in range(n) if j != i and not out[j] and below(i, j)]
+        marks, links = max(1, len(inner)), max(1, sum(tree.tag[j] == "a" for j in inner))
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        density.append(max(0.0, c / marks * math.log(max(1.0, c / max(1, lc) * marks / links)) / math.log(max(math.e, base))))
+    total = [sum(density[j] for j in range(1, n) if tree.parent[j] == i and not out[j] and tree.tag[j] in BLOCKS) for i in range(n)]
+    return density, total
+
+
+@pytest.mark.parametrize("page", [
+    ARTICLE, f"<body>{''.join(AROUND.values())}{ARTICLE}</body>", "<div><p>a <a href=x>link of words</a> b<p>more <b>bold</b> text</div><ul><li><a href=y>y</a><li>z</ul>",
+    "<table><tr><td>one<td><a>two</a></table><p>rest", "",
+])
+def test_densities_counted_node_by_node(page):
+    tree = parse(page)
+    density, total, _ = densities(tree, _furniture(tree))
+    slow, slow_total = slow_densities(page)
+    assert density == pytest.approx(slow) and total == pytest.approx(slow_total)
