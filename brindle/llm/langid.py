@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.memory import give_back
+
 DIMENSIONS = 1024
 SEED = 20_231
 UNKNOWN = "und"
 # A model is one vector per language and goes to all tasks, so the number of languages has a bound that is checked.
 MAX_LANGUAGES = 1_000
 # Code points of texts that are worked on together, and sequences whose vectors are held at a time.
-SLICE_LETTERS, HELD_SEQUENCES = 1 << 20, 1 << 13
+SLICE_LETTERS, HELD_SEQUENCES = 1 << 18, 1 << 13
 BITS = 21
 COUNTS = "lang string, sequence bigint, n bigint"
 # How far above chance a cosine has to be, in standard deviations, and the length from which it can be told.
@@ -153,6 +155,7 @@ def sequence_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([names[i] for i in cells // len(known)]), pa.array(known[cells % len(known)]), pa.array(n)],
                     names=["lang", "sequence", "n"])
+        give_back()
 
     rows = labelled.select(text, lang).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).mapInArrow(count, COUNTS)
     return rows.groupBy("lang", "sequence").agg(F.sum("n").alias("n"))
@@ -218,9 +221,12 @@ def language_of(text: Column, model: Model) -> Column:
     @F.pandas_udf("lang string, score double")
     def identify(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(model.dimensions, model.seed)
+        part = None
         for part in parts:
             names, scores = predict([t if isinstance(t, str) else None for t in part], model, vectors)
             yield pd.DataFrame({"lang": names, "score": scores})
+        del part, vectors
+        give_back()
 
     return identify(text)
 

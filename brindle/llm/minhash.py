@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import components
+from brindle.llm.memory import give_back
 from brindle.llm.shingles import mixed, shingle_sets, shingle_slices
 from brindle.session import written
 
@@ -65,6 +66,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, side: int
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ], names=["doc_id", "n_shingles", "set_key", "keys"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, SIGNATURE)
 
@@ -197,6 +199,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     kept.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept))
+        give_back()
 
     return rows.mapInArrow(confirm, "a bigint, b bigint")
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.memory import give_back
 from brindle.llm.tokens import END_ID, encoder, ids_crc32, vocabulary_path
 
 WINDOW = 1024
@@ -53,6 +54,7 @@ def cut(docs: DataFrame, shares: int, doc_id: str, text: str, vocabulary: str) -
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.binary()])],
                     names=["share", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut_batches, CUTS)
 
