@@ -20,6 +20,9 @@ SENTENCES = {
     "apache2-see": "See the License for the specific language governing permissions and limitations under the License.",
     "mit-reference": "Released under the MIT License.",
     "mit-reference-2": "Licensed under the MIT License.",
+    "mit-reference-3": "This project is licensed under the terms of the MIT license.",
+    "mit-reference-4": "Distributed under the MIT License.",
+    "mit-reference-5": "This project is licensed under the MIT License.",
     "mit-title": "MIT License",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -102,6 +105,9 @@ RULES = (
     ("apache2-reference", "Apache-2.0", ("apache2-reference",)),
     ("mit-reference", "MIT", ("mit-reference",)),
     ("mit-reference-2", "MIT", ("mit-reference-2",)),
+    ("mit-reference-3", "MIT", ("mit-reference-3",)),
+    ("mit-reference-4", "MIT", ("mit-reference-4",)),
+    ("mit-reference-5", "MIT", ("mit-reference-5",)),
     ("gpl3-reference", "GPL-3.0-only", ("gpl3-reference",)),
     ("cc-by-nc-4-reference", "CC-BY-NC-4.0", ("cc-by-nc-4-reference",)),
     ("cc-by-4-reference", "CC-BY-4.0", ("cc-by-4-reference",)),
@@ -154,16 +160,24 @@ NUMBER = r"\(?(?:[0-9]{1,2}|[a-zA-Z])[.)](?=\s|$)"
 COLON = r"(?<!Identifier)(?<!free software):(?=\s|$)"
 PARTS = rf"{COLON}[^\p{{L}}\p{{N}}]*+{NUMBER}|{COLON}\s*|(?:^|\n)[^\p{{L}}\p{{N}}\n]*?{NUMBER}"
 ADDRESS = r"\s+https?://\S+\s*$"
+# Holders stand by name in the endorsement clause; in normalised form any name counts as the holder.
+HOLDER = r"^neither the name of .{1,200} nor the names of (its|his|her|their|the) contributors may be used"
+# A holder's name may end in a point, which ends no sentence there.
+HOLDER_POINT = r"\.(\s+nor\s+the\s+names\s+of)"
+ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors may be used"
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower case, letters and digits only, one space between."""
-    return F.btrim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
+    """Lower case, letters and digits only, one space between; a named holder is the holder."""
+    plain = F.btrim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
+    return F.when(F.startswith(plain, F.lit("neither the name of ")), F.regexp_replace(plain, HOLDER, ANY_HOLDER)).otherwise(plain)
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text, be it a comment block or not; a line end alone does not end one."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT_WORDS, ""), OR_LATER, "$1-or-later")
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.contains(text, F.lit("the names")), F.regexp_replace(text, HOLDER_POINT, "$1")).otherwise(text)
+    plain = F.regexp_replace(F.regexp_replace(text, COMMENT_WORDS, ""), OR_LATER, "$1-or-later")
     return F.split(F.regexp_replace(plain, ENDS, f"$1$2{BREAK}"), BREAK)
 
 

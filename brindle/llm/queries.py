@@ -83,11 +83,12 @@ def _license_sql() -> str:
         left = f"replace({left}, '{sequence}', '{licenses.USED}')"
 
     def plain(x):
-        return rf"trim(regexp_replace(lower({x}), '{licenses.NOT_WORD}', ' ', 'g'))"
+        letters = rf"trim(regexp_replace(lower({x}), '{licenses.NOT_WORD}', ' ', 'g'))"
+        return f"regexp_replace({letters}, '{licenses.HOLDER}', '{licenses.ANY_HOLDER}')"
 
     return rf"""
 WITH known(sentence, sign) AS (VALUES {known}),
-cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+|\n\s*\n', '\1' || chr(30), 'g'), chr(30)) AS parts FROM documents),
+cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{licenses.HOLDER_POINT}', '\1', 'g'), '([.!?])\s+|\n\s*\n', '\1' || chr(30), 'g'), chr(30)) AS parts FROM documents),
 whole AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut),
 named AS (SELECT doc_id, i, part, sign FROM whole LEFT JOIN known ON sentence = {plain('part')}),
 line AS (SELECT doc_id, i, unnest(string_split(part, chr(10))) AS part, generate_subscripts(string_split(part, chr(10)), 1) AS j

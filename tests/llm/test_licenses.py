@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 from brindle.llm import licenses
@@ -154,3 +155,18 @@ def test_numbers_and_colons_inside_sentences_are_no_ends(docs_of):
              "List: 1. one\n" + SENTENCES["gpl3-reference"]]
     got = {(r.doc_id, r.rule) for r in licenses.scan(docs_of(list(enumerate(texts)))).collect()}
     assert got == {(0, "gpl3-reference"), (1, "gpl3-grant"), (2, "apache2-header-url"), (3, "gpl3-reference")}
+
+
+@pytest.mark.parametrize("holder", ["the University", "Google Inc.", "the copyright holder", "Jane Doe & Sons, Ltd."])
+@pytest.mark.parametrize("comment", ["", " * "])
+def test_bsd3_with_a_named_holder_is_not_bsd2(frame, holder, comment):
+    parts = [licenses.SENTENCES[k] for k in ("bsd-redistribution", "bsd-source", "bsd-binary")]
+    parts.append(licenses.SENTENCES["bsd-endorsement"].replace("the copyright holder", holder))
+    text = "\n".join(comment + p for p in parts)
+    rows = licenses.scan(frame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.license, r.rule) for r in rows] == [("BSD-3-Clause", "bsd3-text")]
+
+
+@pytest.mark.parametrize("text", ["This project is licensed under the terms of the MIT license.", "Distributed under the MIT License.", "This project is licensed under the MIT License."])
+def test_common_references_to_mit(frame, text):
+    assert [r.license for r in licenses.scan(frame([(1, text)], "doc_id long, text string")).collect()] == ["MIT"]
