@@ -21,6 +21,8 @@ from brindle.session import written
 DIRECTIONS = ("backward", "forward", "nearest")
 # Bins of one level are so many times as wide as those of the level below.
 WIDER = 8
+# Pairs in a common bin that a task of a range join compares, a few seconds' work.
+PAIRS_PER_TASK = 1 << 22
 
 
 def partitions(df: DataFrame) -> int:
@@ -213,7 +215,13 @@ def _meet(visitors: DataFrame, owners: DataFrame, names: Sequence[str], grid: _G
     come = come.withColumn("_at", F.explode(F.filter(grid.levels(used), lambda x: x["level"] >= least)))
     come = come.withColumn("_bin", F.explode(grid.bins(F.col("_vs"), F.col("_ve"), F.col("_at")["width"])))
     come = come.select(*names, F.col("_at")["level"].alias("_level"), "_bin", F.pmod("_row", F.col("_at")["salts"]).cast("int").alias("_salt"), "_vs", "_v")
-    met = come.join(rows, [*names, "_level", "_bin", "_salt"])
+    cells = [*names, "_level", "_bin", "_salt"]
+    per_cell = come.groupBy(*cells).agg(F.count("*").alias("_a")).join(rows.groupBy(*cells).agg(F.count("*").alias("_b")), cells)
+    tasks = math.ceil((per_cell.agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0) / PAIRS_PER_TASK)
+    if tasks > 1:
+        # few bytes may make many pairs, so tasks are not put together by what they read
+        come, rows = (side.repartition(max(tasks, grid.parts), *cells) for side in (come, rows))
+    met = come.join(rows, cells)
     first = F.floor((F.greatest("_vs", "_os") - grid.low) / F.col("_width"))
     return met.filter((F.col("_bin") == first) & condition).select("_v", "_o")
 

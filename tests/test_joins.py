@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.operators import joins as J
 from brindle.operators.joins import asof_join, interval_join, join_per_key, range_join
 
 LEFT, RIGHT = "lid int, k string, t int, note string", "rid int, k string, u int, v string"
@@ -156,3 +157,12 @@ def test_join_per_key_keeps_frequent_rare_and_null_keys(spark):
     assert join_per_key(rows, per, ["k"], "n").agg(F.count("*"), F.sum("most")).collect() == rows.join(
         per.select(F.col("k").alias("j"), "most"), F.expr("k <=> j")).agg(F.count("*"), F.sum("most")).collect()
     assert join_per_key(rows, per.filter("k = 'hot'"), ["k"], "n", "left").count() == 2000
+
+
+def test_pairs_of_few_bytes_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Both sides fit one task by their bytes; their pairs, which grow with the square, must not stay in it."""
+    monkeypatch.setattr(J, "PAIRS_PER_TASK", 100, raising=False)
+    side = lambda m: spark.range(400).select(F.col("id").alias(f"id_{m}"), F.lit(1).alias(f"k_{m}"), (F.col("id") % 40).cast("double").alias(f"s_{m}"), (F.col("id") % 40 + 0.5).alias(f"e_{m}"))
+    pairs = interval_join(side("a"), side("b"), "s_a", "e_a", "s_b", "e_b", [("k_a", "k_b")])
+    assert pairs.count() == 40 * 10 * 10
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 8
