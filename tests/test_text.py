@@ -183,3 +183,46 @@ def test_routes(spark):
     df = spark.createDataFrame([(q,) for q in asked], "t string")
     got = {r["t"]: r["query_type"] for r in Q.route_questions(df, "t").collect()}
     assert got == asked
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+def test_scores_are_made_for_a_bounded_slice_of_chunks(metric, monkeypatch):
+    """A worker's memory is that of a block of questions by a slice of chunks, whatever the batches hold."""
+    import pandas as pd
+
+    rnd = np.random.default_rng(3)
+    vectors = rnd.normal(size=(5000, 4)).round(1)
+    some = pd.DataFrame({"q": range(3), "v": list(vectors[:3])})
+    inner, seen = R._vector_scorer(metric, False), []
+
+    def scorer(block):
+        score = inner(block)
+        return lambda chunks: (seen.append(len(chunks)), score(chunks))[1]
+
+    class Frame:
+        """Stands for the question and chunk tables: hands the worker's function its batches."""
+        sparkSession = None
+        write = type("W", (), {"parquet": staticmethod(lambda path: None)})
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return pd.concat(run(iter([pd.DataFrame({"c": range(5000), "v": list(vectors)})])))
+
+    monkeypatch.setattr(R, "fresh_path", lambda *a: "")
+    monkeypatch.setattr(R, "question_blocks", lambda path, block: iter([some]))
+    found = R._scan(Frame(), Frame(), "c", "v", 4, 1024, scorer, "", None if metric == "cosine" else -np.inf)
+    assert max(seen) <= R.CHUNK_SLICE and sum(seen) == 5000
+    whole = inner(some)(pd.Series(list(vectors)))
+    for q in range(3):
+        assert list(found[found.query_id == q].chunk_id) == sorted(range(5000), key=lambda i: (-whole[q, i], i))[:4]
+
+
+def test_heavy_rows_of_one_small_file_go_to_all_cores(spark, tmp_path):
+    from brindle import queries as registry
+
+    registry.load_all()
+    spark.range(50).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["hash_embedding"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == 50
