@@ -63,7 +63,8 @@ def _workbooks(t):
             rows.append([int(r.c_custkey), r.c_name, float(r.c_acctbal), r.c_mktsegment, since, bool(r.c_acctbal < 0)][::turn])
         return pd.DataFrame({"path": [f"book-{number}.xlsx"], "content": [_workbook(rows)]})
 
-    books = t.customer.withColumn("book", F.floor(F.col("c_custkey") / 500))
+    # few bytes make many workbooks, so their tasks are not put together by what they read
+    books = t.customer.withColumn("book", F.floor(F.col("c_custkey") / 500)).repartition(t.spark.sparkContext.defaultParallelism, "book")
     return books.groupBy("book").applyInPandas(write, "path string, content binary")
 
 

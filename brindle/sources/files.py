@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import strip
+from brindle.session import written
 
 # Accepted endings and sizes of uploads.
 DOCUMENT_ENDINGS, DATA_ENDINGS = (".pdf", ".txt"), (".csv", ".xlsx", ".xls")
@@ -169,6 +170,8 @@ def sheet_table(rows: DataFrame) -> DataFrame:
     Workbooks read together are united by column name; a column that a workbook does not have is NULL in its rows. Columns
     without a title are called by their place, a title that repeats inside a workbook gets a number.
     """
+    # needed for widths, headers, names and the table itself, and parsed once
+    rows = written(rows, "sheets")
     shape = rows.groupBy("path").agg(F.max(F.size("cells")).alias("width")).join(header_rows(rows), "path")
     placed = rows.join(shape, "path")
     every = F.sequence(F.lit(0), F.col("width") - 1)

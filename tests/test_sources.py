@@ -140,3 +140,20 @@ def test_a_file_without_them_is_split(spark, tmp_path):
         assert df.filter(F.col("v") != F.concat(F.lit('row "'), F.col("k"), F.lit('", whole'))).isEmpty()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sheets_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def parse(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    cell = lambda v: (v, True)
+    rows = [("a", i, [cell(x) for x in ("one", "two", "three")] if i == 0 else [cell(str(i)), None, cell("x")]) for i in range(20)]
+    parsed = spark.createDataFrame(rows, files.SHEET_ROWS).mapInPandas(lambda batches: parse(batches), files.SHEET_ROWS)
+    table = files.sheet_table(parsed)
+    assert table.columns == ["one", "two", "three"] and table.count() == 19
+    assert {tuple(r) for r in table.collect()} == {(str(i), None, "x") for i in range(1, 20)}
+    assert seen.value == 20
