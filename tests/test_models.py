@@ -109,6 +109,19 @@ def test_measures_of_the_test_rows(fitted, table, rows):
     assert not got["alert"] and got["auc"] > 0.7
 
 
+def test_the_rows_of_a_fit_are_made_once(spark, table, rows):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(size):
+        made.add(1)
+        return size
+
+    trained = M.train_classifier(table.withColumn("size", seen("size")), "outcome", ["id"], "random_forest", ["kind"], ["size"], trees=2)
+    got = trained.metrics.first()
+    assert made.value == len(rows) and got.tp + got.tn + got.fp + got.fn == 48
+
+
 def test_new_rows_with_missing_inputs(fitted, spark, rows):
     trained, _, _, probability = fitted
     got = M.score_rows(trained, spark.createDataFrame([(1, 9.0), (2, None)], "id int, size double"), ["id"]).collect()
