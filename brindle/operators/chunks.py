@@ -4,7 +4,7 @@ the work is spread over documents in Arrow batches."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from brindle.functions.vectors import hash_embedding
 
 # Characters per chunk and words shared by neighbours.
 CHUNK_CHARS, OVERLAP_WORDS = 512, 50
+# Texts whose pieces a worker holds at a time.
+TEXTS = 128
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -68,10 +70,14 @@ def sentence_pieces(text: str, size: int) -> list[str]:
 
 
 def _cutter(cut: Callable[[str], list[str]]):
-    """Arrow-batched function from text to its pieces."""
+    """Arrow-batched function from text to its pieces. They leave after every ``TEXTS`` texts, so a worker never holds those of a whole batch."""
     @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([cut(t) if t else [] for t in texts])
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            if not len(texts):
+                yield pd.Series([], dtype=object)
+            for lo in range(0, len(texts), TEXTS):
+                yield pd.Series([cut(t) if t else [] for t in texts.iloc[lo:lo + TEXTS]])
 
     return pieces
 

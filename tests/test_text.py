@@ -226,3 +226,10 @@ def test_heavy_rows_of_one_small_file_go_to_all_cores(spark, tmp_path):
     spark.range(50).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     got = registry.QUERIES["hash_embedding"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == 50
+
+
+def test_pieces_of_a_batch_leave_in_slices():
+    texts = pd.Series(["a b", None, ""] * 100)
+    out = list(C.word_cutter().func(iter([texts, texts[:0]])))
+    assert [len(part) for part in out] == [128, 128, 44, 0]
+    assert [p for part in out for p in part] == [["a b"], [], []] * 100
