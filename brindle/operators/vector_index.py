@@ -2,14 +2,16 @@
 
 A vector falls into one bucket per table: a projection on each of the table's random directions is compared with the direction's
 median, one bit each. A search looks into the bucket of the query and into those that are cheapest to reach from it, by how far the
-query lies from the planes crossed. Buckets are compared as matrices, large ones in parts and many queries in blocks, so a
-task's memory is bounded whatever the data; what comes out is ranked again by the original vectors in double precision.
+query lies from the planes crossed. Buckets that agree in their lowest bits travel together as a group, so a query is sent once to a group
+of which it asks for several buckets and leaves it with its best hits. Buckets are compared as matrices, large groups in parts and many
+queries in blocks, so a task's memory is bounded whatever the data; what comes out is ranked again by the original vectors in double precision.
 
 Folder of an index: ``spec`` (one row: metric, directions' seed and medians), ``rows`` and ``buckets`` with one folder per batch.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.vectors import METRICS
-from brindle.operators.joins import join_per_key
+from brindle.operators.joins import join_per_key, partitions
 from brindle.operators.search import SCORE_DIGITS, vector_search
 from brindle.session import written
 
@@ -28,6 +30,8 @@ TABLES, PROBES = 12, 24
 PER_BUCKET, MOST_BITS = 64, 24
 # Rows that the medians are taken from; all rows are indexed whatever the medians.
 SAMPLE = 20_000
+# Vectors of a group of buckets that the number of groups aims at; vectors and queries of a group that one call takes at most.
+GROUP, PART, QUERY_PART = 32_768, 32_768, 32_768
 # Vectors and queries that one task compares at a time, planes that may be crossed, hits of a bucket kept beside the k best.
 BLOCK, QUERY_BLOCK, CROSSED, SPARE = 4096, 1024, 10, 8
 # Single-precision products that agree in so many digits count as equal until the originals are compared.
@@ -192,27 +196,30 @@ def _probes(spec: IndexSpec, count: int):
     return of
 
 
-def probe(queries: DataFrame, spec: IndexSpec, count: int, query_key: str, query_vector: str) -> DataFrame:
-    """(query_id, query, nth, bucket): the ``count`` cheapest buckets per table of each query, all of them if there are no more.
+def probe(queries: DataFrame, spec: IndexSpec, count: int, query_key: str, query_vector: str, groups: int = 1) -> DataFrame:
+    """(query_id, query, nth, group, wanted): the ``count`` cheapest buckets per table of each query, all of them if there are no more.
 
-    Beyond ``CROSSED`` planes only the nearest are crossed, so ``count`` reaches at most 2 to that power.
+    One row per group of buckets, ``groups`` of them per table by the lowest bits; ``wanted`` are the buckets of the group. Where all buckets
+    are asked for, one table has every vector. Beyond ``CROSSED`` planes only the nearest are crossed, so ``count`` reaches at most 2 to that power.
     """
     kind = queries.schema[query_key].dataType.simpleString()
     rows = usable(queries, query_vector, spec.dimensions).select(F.col(query_key).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
     of = _probes(spec, count)
+    tables = 1 if spec.bits <= CROSSED and count >= 1 << spec.bits else spec.tables
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 points = spec.queries(_vectors(some.column(1)))
-                buckets = of(spec.sides(points)) if spec.bits else np.zeros((len(points), spec.tables, 1), np.int64)
-                lists = [[{"nth": t, "bucket": b} for t, row in enumerate(q) for b in row] for q in buckets.tolist()]
+                buckets = of(spec.sides(points)[:, :tables]) if spec.bits else np.zeros((len(points), tables, 1), np.int64)
+                lists = [[{"nth": t, "group": g, "wanted": row[row % groups == g].tolist()} for t, row in enumerate(q) for g in np.unique(row % groups).tolist()]
+                         for q in buckets]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(lists, at)], names=["query_id", "query", "at"])
 
-    at = pa.list_(pa.struct([("nth", pa.int32()), ("bucket", pa.int64())]))
-    found = rows.mapInArrow(ask, f"query_id {kind}, query binary, at array<struct<nth:int,bucket:bigint>>")
+    at = pa.list_(pa.struct([("nth", pa.int32()), ("group", pa.int64()), ("wanted", pa.list_(pa.int64()))]))
+    found = rows.mapInArrow(ask, f"query_id {kind}, query binary, at array<struct<nth:int,group:bigint,wanted:array<bigint>>>")
     return found.select("query_id", "query", F.inline("at"))
 
 
@@ -226,20 +233,27 @@ def search(
     """
     spark = queries.sparkSession
     spec = read_spec(spark, path)
-    asked = written(probe(queries, spec, probes, query_key, query_vector), "probes")
     buckets = read_part(spark, path, "buckets")
     buckets = (buckets.filter(where) if where is not None else buckets).select(F.col(key).alias("chunk_id"), "code", "nth", "bucket")
-    sizes = buckets.groupBy("nth", "bucket").agg(F.count("*").alias("n"))
-    wanted = asked.groupBy("nth", "bucket").agg(F.count("*").alias("nq"))
-    cells = sizes.join(wanted, ["nth", "bucket"]).select(
-        "nth", "bucket", F.col("n").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("blocks"), "nq")
-    cells = written(cells, "cells")
-    # a large bucket meets its queries in parts, many queries meet it in blocks
-    left = join_per_key(buckets, cells.drop("nq"), ["nth", "bucket"], "rows").select(
-        "nth", "bucket", F.pmod(F.xxhash64("chunk_id", "nth"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk_id", "code")
-    right = join_per_key(asked, cells.drop("rows"), ["nth", "bucket"], "nq").select(
-        "nth", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("query_id", "nth"), "blocks").cast("int").alias("block"), "query_id", "query")
+    groups = 1 << max(0, min(spec.bits, (buckets.filter("nth = 0").count() // GROUP).bit_length()))
+    asked = written(probe(queries, spec, probes, query_key, query_vector, groups), "probes")
+    buckets = buckets.withColumn("group", F.col("bucket") % groups)
+    sizes = buckets.groupBy("nth", "group").agg(F.count("*").alias("n"))
+    wanted = asked.groupBy("nth", "group").agg(F.count("*").alias("nq"))
+    cells = written(sizes.join(wanted, ["nth", "group"]), "sizes")
+    # few groups are cut finer, so that all tasks have some
+    finer = max(1, math.ceil(math.sqrt(partitions(buckets) / max(1, cells.count()))))
+
+    def cut(n: str, most: int, least: int) -> Column:
+        return F.greatest(F.ceil(F.col(n) / most), F.least(F.lit(finer), F.ceil(F.col(n) / least))).cast("int")
+
+    cells = written(cells.select("nth", "group", F.col("n").alias("rows"), cut("n", PART, BLOCK).alias("parts"), cut("nq", QUERY_PART, QUERY_BLOCK).alias("blocks"), "nq"), "cells")
+    # a large group meets its queries in parts, many queries meet it in blocks
+    left = join_per_key(buckets, cells.drop("nq"), ["nth", "group"], "rows").select(
+        "nth", "group", F.pmod(F.xxhash64("chunk_id", "nth"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk_id", "code", "bucket")
+    right = join_per_key(asked, cells.drop("rows"), ["nth", "group"], "nq").select(
+        "nth", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("query_id", "nth"), "blocks").cast("int").alias("block"), "query_id", "query", "wanted")
     kept = k + SPARE
     kinds = [queries.schema[query_key].dataType.simpleString(), buckets.schema["chunk_id"].dataType.simpleString()]
     euclidean = spec.metric == "euclidean"
@@ -247,9 +261,32 @@ def search(
     def compare(rows: pa.Table, asking: pa.Table) -> pa.Table:
         if not rows.num_rows or not asking.num_rows:
             return pa.table({"query_id": asking.column("query_id").slice(0, 0), "chunk_id": rows.column("chunk_id").slice(0, 0), "near": pa.array([], pa.float64())})
-        # by chunk, so that a stable sort leaves equal ones in that order
-        rows = rows.sort_by("chunk_id")
-        x, q = _codes(rows.column("code")), _codes(asking.column("query"))
+        # copies of a row once, by chunk, so that of equal ones the first come first
+        rows = rows.group_by(["chunk_id", "bucket", "code"], use_threads=False).aggregate([]).sort_by("chunk_id")
+        x, q, bucket = _codes(rows.column("code")), _codes(asking.column("query")), rows.column("bucket").to_numpy()
+        best = np.full((len(q), kept), -np.inf), np.full((len(q), kept), len(x), np.int32)
+        lists = asking.column("wanted").combine_chunks()
+        asks = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+        asked_for = lists.flatten().to_numpy()
+        by_bucket, by_asked = np.argsort(bucket, kind="stable"), np.argsort(asked_for, kind="stable")
+        bucket, asked_for = bucket[by_bucket], asked_for[by_asked]
+        for b in np.intersect1d(bucket, asked_for).tolist():
+            members = by_bucket[slice(*np.searchsorted(bucket, [b, b + 1]))]
+            askers = asks[by_asked[slice(*np.searchsorted(asked_for, [b, b + 1]))]]
+            for lo in range(0, len(members), BLOCK):
+                some = members[lo:lo + BLOCK]
+                for at in range(0, len(askers), QUERY_BLOCK):
+                    who = askers[at:at + QUERY_BLOCK]
+                    near, which = nearest(q[who], x[some])
+                    near, which = np.hstack([best[0][who], near]), np.hstack([best[1][who], some[which].astype(np.int32)])
+                    order = np.lexsort((which, -near), axis=1)[:, :kept]
+                    best[0][who], best[1][who] = np.take_along_axis(near, order, axis=1), np.take_along_axis(which, order, axis=1)
+        hit = best[1] < len(x)
+        return pa.table({"query_id": asking.column("query_id").take(np.nonzero(hit)[0]), "chunk_id": rows.column("chunk_id").take(best[1][hit]),
+                         "near": pa.array(best[0][hit])})
+
+    def nearest(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Closeness and place of the best of ``x`` for each query, equal ones by place."""
         near = (q @ x.T).astype(np.float64)
         if euclidean:
             near = 2 * near - np.einsum("nd,nd->n", x, x)
@@ -259,13 +296,12 @@ def search(
         edge = np.take_along_axis(near, best, axis=1).min(axis=1)
         for row in np.flatnonzero((near >= edge[:, None]).sum(axis=1) > m):
             best[row] = np.argsort(-near[row], kind="stable")[:m]
-        ask = np.repeat(np.arange(len(q)), m)
-        return pa.table({"query_id": asking.column("query_id").take(ask), "chunk_id": rows.column("chunk_id").take(best.ravel()),
-                         "near": pa.array(np.take_along_axis(near, best, axis=1).ravel())})
+        near = np.take_along_axis(near, best, axis=1)
+        return np.where(np.isnan(near), -np.inf, near), best
 
-    cell = ["nth", "bucket", "part", "block"]
+    cell = ["nth", "group", "part", "block"]
     met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, near double")
-    # at most tables x probes x parts x kept rows per query
+    # at most tables x groups asked x parts x kept rows per query
     once = met.groupBy("query_id", "chunk_id").agg(F.max("near").alias("near"))
     first = Window.partitionBy("query_id").orderBy(F.desc("near"), "chunk_id")
     top = once.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= kept).drop("_n", "near")

@@ -119,3 +119,12 @@ def test_quality_table(spark, tmp_path):
     have, want = found(I.search(table.filter(F.col("id").isin(asked)), path, "id", "v", "id", 5, 1)), brute(rows, [rows[i] for i in asked], 5, "cosine")
     share = sum(len({i for i, _ in have[q]} & {i for i, _ in want[q]}) for q in asked) / 200
     assert got[5, 1].recall == pytest.approx(share)
+
+
+def test_a_query_goes_once_to_a_group_of_buckets(spark):
+    spec = I.IndexSpec("cosine", 4, 2, 2, 17, 0.0, (0.0,) * 4)
+    table = spark.createDataFrame(rows_of(10, 4, 6), SCHEMA)
+    # where all buckets are asked for, one table has every vector
+    assert [(r.nth, r.group, sorted(r.wanted)) for r in I.probe(table, spec, 4, "id", "v").collect()] == [(0, 0, [0, 1, 2, 3])] * 10
+    some = I.probe(table, spec, 3, "id", "v", 2).collect()
+    assert len(some) == 40 and {b % 2 == r.group for r in some for b in r.wanted} == {True}
