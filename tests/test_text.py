@@ -234,3 +234,20 @@ def test_pieces_of_a_batch_leave_in_slices():
     out = list(C.word_cutter().func(iter([texts, texts[:0]])))
     assert [len(part) for part in out] == [128, 128, 44, 0]
     assert [p for part in out for p in part] == [["a b"], [], []] * 100
+
+
+def test_topk_similarity_looks_beyond_the_vector_itself(spark, tmp_path):
+    from brindle import queries as registry
+
+    registry.load_all()
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(40, 6))
+    spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in registry.QUERIES["topk_similarity"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for i, row in enumerate(unit @ unit.T):
+        best = np.argsort(-row)[:5]
+        assert got[i] == [(j, pytest.approx(row[j], abs=1e-6)) for j in best]
