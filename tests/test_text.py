@@ -1,6 +1,7 @@
 """Chunking, search, vectors, screens and embedded JSON against plain Python."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -251,3 +252,53 @@ def test_topk_similarity_looks_beyond_the_vector_itself(spark, tmp_path):
     for i, row in enumerate(unit @ unit.T):
         best = np.argsort(-row)[:5]
         assert got[i] == [(j, pytest.approx(row[j], abs=1e-6)) for j in best]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+@pytest.mark.parametrize("shape", ["random", "far from zero", "all alike"])
+def test_single_precision_leaves_few_pairs_and_loses_no_hit(metric, shape, monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(4096, 16)) * (1e-4 if shape == "far from zero" else 1) + (5.0 if shape == "far from zero" else 0)
+    if shape == "all alike":
+        vectors[:] = vectors[0]
+    names, asked, pairs = rng.permutation(4096), R._Near(metric, vectors[:40].copy()), []
+    inner = R._Near.scores
+    monkeypatch.setattr(R._Near, "scores", lambda self, who, other, what: (pairs.append(len(who)), inner(self, who, other, what))[1])
+    rows, hits = R._Near(metric, vectors), R._Hits(40, 5, names.dtype)
+    near = rows.chunks()
+    for lo in range(0, 4096, R.CHUNK_SLICE):
+        part = np.arange(lo, lo + R.CHUNK_SLICE)
+        R._take(hits, np.arange(40), asked, asked.questions(), rows.some(part), near[part], names[part])
+    if shape == "random":
+        assert sum(pairs) < 40 * 4096 / 100
+    a, b = vectors[:40], vectors
+    lengths = np.linalg.norm(b, axis=1)
+    whole = {"cosine": lambda: a @ b.T / lengths[:40, None] / lengths, "dot_product": lambda: a @ b.T,
+             "euclidean": lambda: -np.stack([np.linalg.norm(b - q, axis=1) for q in a])}[metric]()
+    for q, row in enumerate(np.round(whole, R.SCORE_DIGITS)):
+        best = sorted(range(4096), key=lambda i: (-row[i], names[i]))[:5]
+        assert np.allclose(hits.scores[q], row[best], atol=2e-9, rtol=0)
+        if shape != "far from zero":
+            assert list(hits.names[q]) == [names[i] for i in best]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+def test_vectors_that_single_precision_cannot_hold(spark, metric):
+    odd = [[1e30, 0.0], [1e-30, 0.0], [None, 1.0], None, [0.0, 0.0], [1e40, 1.0]]
+    plain = np.random.default_rng(2).normal(size=(30, 2)).tolist()
+    rows = list(enumerate(odd + plain))
+    table = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    got = {}
+    for r in R.vector_search(table, table, "id", "v", "id", "v", 4, metric).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    for i, v in rows:
+        scored = []
+        for j, w in rows:
+            whole = v is not None and w is not None and None not in v and None not in w
+            if metric == "cosine":
+                norms = math.hypot(*v) * math.hypot(*w) if whole else 0.0
+                scored.append((round(float(np.dot(v, w)) / norms, 9) if 0 < norms < math.inf else 0.0, j))
+            elif whole:
+                scored.append((round(float(np.dot(v, w)) if metric == "dot_product" else -math.dist(v, w), 9), j))
+        best = sorted(scored, key=lambda x: (-x[0], x[1]))[:4]
+        assert [s for _, s in got.get(i, [])] == [pytest.approx(s, rel=1e-12, abs=2e-9) for s, _ in best]
