@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.vectors import METRICS
 from brindle.operators.joins import join_per_key, partitions
-from brindle.operators.search import SCORE_DIGITS, vector_search
+from brindle.operators.search import LONGEST, NEAR_CHUNKS, SCORE_DIGITS, vector_search
 from brindle.session import written
 
 TABLES, PROBES = 12, 24
@@ -265,6 +265,8 @@ def search(
         rows = rows.group_by(["chunk_id", "bucket", "code"], use_threads=False).aggregate([]).sort_by("chunk_id")
         x, q, bucket = _codes(rows.column("code")), _codes(asking.column("query")), rows.column("bucket").to_numpy()
         best = np.full((len(q), kept), -np.inf), np.full((len(q), kept), len(x), np.int32)
+        # products that fit single precision
+        sound = max(float(np.abs(x).max()), float(np.abs(q).max())) < LONGEST
         lists = asking.column("wanted").combine_chunks()
         asks = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
         asked_for = lists.flatten().to_numpy()
@@ -277,14 +279,55 @@ def search(
                 some = members[lo:lo + BLOCK]
                 for at in range(0, len(askers), QUERY_BLOCK):
                     who = askers[at:at + QUERY_BLOCK]
-                    near, which = nearest(q[who], x[some])
-                    near, which = np.hstack([best[0][who], near]), np.hstack([best[1][who], some[which].astype(np.int32)])
-                    order = np.lexsort((which, -near), axis=1)[:, :kept]
-                    best[0][who], best[1][who] = np.take_along_axis(near, order, axis=1), np.take_along_axis(which, order, axis=1)
+                    if sound:
+                        reach(best, who, q[who], x[some], some)
+                    else:
+                        take(best, who, q[who], x[some], some)
         hit = best[1] < len(x)
         return pa.table({"query_id": asking.column("query_id").take(np.nonzero(hit)[0]), "chunk_id": rows.column("chunk_id").take(best[1][hit]),
                          "near": pa.array(best[0][hit])})
 
+    def take(best: tuple[np.ndarray, np.ndarray], who: np.ndarray, q: np.ndarray, x: np.ndarray, some: np.ndarray) -> None:
+        """Merges the best of ``x``, the rows ``some``, into those of the queries ``who``."""
+        near, which = nearest(q, x)
+        near, which = np.hstack([best[0][who], near]), np.hstack([best[1][who], some[which].astype(np.int32)])
+        order = np.lexsort((which, -near), axis=1)[:, :kept]
+        best[0][who], best[1][who] = np.take_along_axis(near, order, axis=1), np.take_along_axis(which, order, axis=1)
+
+    def reach(best: tuple[np.ndarray, np.ndarray], who: np.ndarray, q: np.ndarray, x: np.ndarray, some: np.ndarray) -> None:
+        """As ``take``, but only rows that reach a query's last hit so far, or are among the best of ``x`` for a query with too few, are sorted."""
+        products = q @ x.T
+        near = products
+        if euclidean:
+            squares = np.einsum("nd,nd->n", x, x)
+            near = 2 * products - squares
+        # rounding to NEAR_DIGITS and that of the difference above
+        slack = 2 * 10.0 ** -NEAR_DIGITS + 2.0 ** -21 * max(float(np.abs(near).max()), float(squares.max()) if euclidean else 0.0)
+        least = best[0][who, -1] - slack
+        short = np.flatnonzero(np.isneginf(least))
+        if len(short) and len(some) > kept:
+            least[short] = np.partition(near[short], len(some) - kept, axis=1)[:, len(some) - kept] - slack
+        bound = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        asking = np.flatnonzero(near.max(axis=1) >= bound)
+        row, at = np.divmod(np.flatnonzero(near[asking] >= bound[asking, None]), len(some))
+        row = asking[row]
+        crowded = np.bincount(row, minlength=len(who)) > max(NEAR_CHUNKS, kept)
+        if crowded.any():
+            take(best, who[crowded], q[crowded], x, some)
+            row, at = row[~crowded[row]], at[~crowded[row]]
+        if not len(row):
+            return
+        value = products[row, at].astype(np.float64)
+        value = np.round(2 * value - squares[at] if euclidean else value, NEAR_DIGITS)
+        own = np.unique(row)
+        row = np.concatenate((np.repeat(own, kept), row))
+        value = np.concatenate((best[0][who[own]].ravel(), value))
+        which = np.concatenate((best[1][who[own]].ravel(), some[at].astype(np.int32)))
+        order = np.lexsort((which, -value, row))
+        starts = np.searchsorted(row[order], own)
+        first = order[starts[:, None] + np.arange(kept)]
+        best[0][who[own]], best[1][who[own]] = value[first], which[first]
+
     def nearest(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Closeness and place of the best of ``x`` for each query, equal ones by place."""
         near = (q @ x.T).astype(np.float64)

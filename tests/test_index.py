@@ -128,3 +128,15 @@ def test_a_query_goes_once_to_a_group_of_buckets(spark):
     assert [(r.nth, r.group, sorted(r.wanted)) for r in I.probe(table, spec, 4, "id", "v").collect()] == [(0, 0, [0, 1, 2, 3])] * 10
     some = I.probe(table, spec, 3, "id", "v", 2).collect()
     assert len(some) == 40 and {b % 2 == r.group for r in some for b in r.wanted} == {True}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot_product", "euclidean"])
+def test_copies_and_long_vectors_in_several_blocks(spark, tmp_path, metric, monkeypatch):
+    """Equal vectors beyond what is sorted one by one, and vectors too long for single precision, are found as by all pairs."""
+    monkeypatch.setattr(I, "BLOCK", 64)
+    monkeypatch.setattr(I, "NEAR_CHUNKS", 8)
+    rows = [(i, v, 0) for i, (_, v, _) in enumerate(rows_of(60, 5, 4) + rows_of(1, 5, 6) * 120 + rows_of(60, 5, 8))]
+    table = spark.createDataFrame(rows, SCHEMA)
+    path = str(tmp_path / "index")
+    I.create(table, path, "id", "v", metric=metric, tables=2, bits=2)
+    assert found(I.search(table.filter("id % 20 = 0"), path, "id", "v", "id", 4, 4)) == brute(rows, rows[::20], 4, metric)
