@@ -123,6 +123,45 @@ def test_the_rows_of_a_merged_fit_are_made_once(spark):
     assert made.value == 400 and got.tp + got.tn + got.fp + got.fn == 80
 
 
+@pytest.mark.parametrize("algorithm", ["random_forest", "gradient_boosting"])
+def test_many_single_rows_of_a_fit_are_made_once(spark, monkeypatch, algorithm):
+    monkeypatch.setattr(M, "FEW_ROWS", 100)
+    monkeypatch.setattr(M, "MERGED_ROWS", 1000)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(size):
+        made.add(1)
+        return size
+
+    rows = spark.range(400).select("id", F.col("id").cast("double").alias("size"), F.when(F.col("id") % 100 > 60, "Yes").otherwise("No").alias("outcome"))
+    table = rows.withColumn("size", seen("size"))
+    trained = M.train_classifier(table, "outcome", ["id"], algorithm, [], ["size"], trees=5)
+    got = trained.metrics.first()
+    assert made.value == 400 and got.tp + got.tn + got.fp + got.fn == 80
+    model = trained.model.stages[-1]
+    assert sum(t._java_obj.rootNode().impurityStats().rawCount() for t in model.trees) > 5 * 200 and got.accuracy > 0.8
+
+
+def test_scores_are_computed_once_for_the_measures(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(score):
+        made.add(1)
+        return score
+
+    rows = spark.range(500).select((F.col("id") % 2).cast("int").alias("label"), seen((F.col("id") % 7) / 7.0).alias("score"))
+    got = M.classifier_metrics(rows, "label", "score").first()
+    assert made.value == 500 and got.tp + got.tn + got.fp + got.fn == 500
+
+
+def test_columns_of_many_values(spark):
+    rows = spark.range(0, 400, 1, 5).select(*[(F.col("id") % n).cast("double").alias(f"c{n}") for n in (1, M.BINS, M.BINS + 1, 200)])
+    assert M._many_valued(rows, rows.columns) == {f"c{M.BINS + 1}", "c200"}
+    assert M._many_valued(rows.filter("c1 > 1"), rows.columns) == set()
+
+
 def test_new_rows_with_missing_inputs(fitted, spark, rows):
     trained, _, _, probability = fitted
     got = M.score_rows(trained, spark.createDataFrame([(1, 9.0), (2, None)], "id int, size double"), ["id"]).collect()
