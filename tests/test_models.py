@@ -347,3 +347,25 @@ def test_retrain_eval_measures(spark):
     assert got["schema_accuracy"] == pytest.approx(1.0) or got["schema_accuracy"] == pytest.approx(100.0)
     hits = [r.severity for r in A.anomaly_iforest(Q._priced(registry.Tables(spark, folder)), ["o_orderkey"], list(Q.COLS)).collect()]
     assert hits and got["anomaly_precision"] == pytest.approx(100 * hits.count("high") / len(hits))
+
+
+@pytest.mark.parametrize("name", ["join_pred_actual", "model_load"])
+def test_rows_that_two_sides_read_are_made_once(spark, monkeypatch, name):
+    from brindle import queries as registry
+    from brindle.queries import models as Q
+
+    registry.load_all()
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(size):
+        made.add(1)
+        return size
+
+    rows = spark.range(80).select(F.col("id").alias("o_orderkey"), (F.col("id") % 5).cast("double").alias("size"), F.when(F.col("id") % 5 > 2, "Yes").otherwise("No").alias("outcome"))
+    fit = M.train_classifier(rows, "outcome", ["o_orderkey"], "random_forest", [], ["size"], trees=2)
+    monkeypatch.setattr(Q, "trained", lambda t: fit)
+    monkeypatch.setattr(Q, "account", lambda t: rows.withColumn("size", seen("size")))
+    got = registry.QUERIES[name](spark, "").collect()
+    assert made.value == 80 and {r.o_orderkey for r in got} == set(range(80)) and len(got) == 80
+    assert all(r.same for r in got) if name == "model_load" else all(r.actual == (r.o_orderkey % 5 > 2) for r in got)
